@@ -15,13 +15,13 @@ from pyspark.sql.window import Window
 #: A word: a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a table that one Arrow batch carries; documents can be long, so batches stay short.
-BATCH_ROWS = 1000
+#: Bytes of a table that one Arrow batch carries; documents can be long, so rows alone don't bound it.
+BATCH_BYTES = 4 << 20
 
 
-def arrow_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lets Arrow batches carry at most `rows` rows, which bounds a Python worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Lets Arrow batches carry about `size` bytes at most, which bounds a Python worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def shared_dir(spark: SparkSession) -> str:
