@@ -21,7 +21,9 @@ common rare tokens of both prefixes are seen, overlap <= common + |x| - (rare to
 which drops pairs that share a stray token. Larger entries give a star around their best connected
 set; linked sets are contracted, and only entries that still hold several components go on, in
 blocks of `BLOCK` further pivots, until each pair across components was verified. No pair that can
-link is left out and no group is expanded into all of its pairs. Candidates are verified on whole sets.
+link is left out and no group is expanded into all of its pairs. Candidates are first held against
+bitmaps of about four bits a token: a bit of x that y lacks is a token of x that y lacks, so overlap
+<= |x| - |bits(x) not in bits(y)|, which never drops a link. What remains is verified on whole sets.
 
 Hash collisions (2**-64 per pair of different shingles or sets) are the only source of error.
 
@@ -51,7 +53,7 @@ LOCAL_COUNT = 4
 COUNT_BLOCK = 2_000_000
 FREQUENT = 1 << 17
 SMALL = 16
-BLOCK = 64
+BLOCK = 256
 SINGLES_BELOW = 16
 BLOOM_BITS = 1 << 24
 
@@ -90,6 +92,25 @@ def node_of(s: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's bitmap: a power of two of bits, at least 256 and four a token."""
+    bits = max(256, 1 << (4 * len(s) - 1).bit_length())
+    at = ((s >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
+    out = np.zeros(bits, bool)
+    out[at] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
+    """False only if sets of n and m tokens with these bitmaps can't link; wider ones are folded."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * most >= 75 * (n + m - most)
+
+
 def schemes(n: int) -> list[int]:
     """The size bands that a set of n tokens is indexed by: 0 for small sets, else floor(log2)."""
     if n < SINGLES_BELOW:
@@ -263,7 +284,7 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens) of the documents whose ids are wanted, and of a few that the filter lets through.
+    """(node, n, bits, tokens) of the documents whose ids are wanted, and of a few that the filter lets through.
 
     The ids reach the tasks as a Bloom filter of fixed size (BLOOM_BITS), never as a list.
     """
@@ -284,16 +305,24 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [s for s in sets if len(s)]
             if sets:
                 yield pa.RecordBatch.from_pydict({
-                    "node": pa.array([node_of(s) for s in sets], pa.int64()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary())
+                    "node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
+                    "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
                 })
 
     hashed = docs.select("text", *(F.xxhash64(F.lit(k), F.col("doc_id").cast("long")).bitwiseAND(BLOOM_BITS - 1).alias(f"h{k}") for k in (1, 2)))
-    return hashed.mapInArrow(emit, "node long, tokens binary")
+    return hashed.mapInArrow(emit, "node long, n int, bits binary, tokens binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole sets link."""
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_pylist() for c in ("n", "m"))
+            a, b = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("a", "b"))
+            keep = [may_link(*row) for row in zip(a, n, b, m, strict=True)]
+            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -304,9 +333,13 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep[k] = 100 * common >= 75 * (len(a) + len(b) - common)
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
+    left = sets.select(F.col("node").alias("x"), F.col("bits").alias("a"), "n")
+    right = sets.select(F.col("node").alias("y"), F.col("bits").alias("b"), F.col("n").alias("m"))
+    left_open = pairs.select("x", "y").join(left, "x").join(right, "y").mapInArrow(sift, "x long, y long")
+    left_open = written(left_open.distinct(), "sifted")
     left = sets.select(F.col("node").alias("x"), F.col("tokens").alias("a"))
     right = sets.select(F.col("node").alias("y"), F.col("tokens").alias("b"))
-    return pairs.select("x", "y").join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
+    return left_open.join(left, "x").join(right, "y").select("x", "y", "a", "b").mapInArrow(check, "x long, y long")
 
 
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
