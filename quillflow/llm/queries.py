@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import exact, near, pii, quality
+from quillflow.llm import exact, mixing, near, packing, pii, quality, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,28 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_spans(table(spark, sf_dir, "documents")).mapInArrow(digest, out)
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's ids, read back from the shard files."""
+    return tokenfiles.read_shards(*tokenfiles.write_shards(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, target and taken words of every document."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document."""
     found = exact.dedup_exact(table(spark, sf_dir, "documents"))
@@ -83,8 +105,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
         "op1_pii": op1_pii,
+        "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
+        "op8_mixing": op8_mixing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
     }
 
