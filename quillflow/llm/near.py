@@ -18,12 +18,13 @@ counted, and the table keeps the `FREQUENT` largest sums. It only steers the ord
 
 Candidates: an index entry with at most `SMALL` sets gives its pairs, which are counted: as all
 common rare tokens of both prefixes are seen, overlap <= common + |x| - (rare tokens in x's prefix),
-which drops pairs that share a stray token. Larger entries give a star around their best connected
-set; linked sets are contracted, and only entries that still hold several components go on, in
-blocks of `BLOCK` further pivots, until each pair across components was verified. No pair that can
-link is left out and no group is expanded into all of its pairs. Candidates are first held against
-bitmaps of about four bits a token: a bit of x that y lacks is a token of x that y lacks, so overlap
-<= |x| - |bits(x) not in bits(y)|, which never drops a link. What remains is verified on whole sets.
+which drops pairs that share a stray token. Sets chained by larger entries form clusters (connected
+components over the entries, no pairs). A cluster's sets are dealt to pairs of blocks of `BLOCK` sets
+of like sizes and compared inside one task each; only links that join different components leave it.
+
+Verification: bitmaps of about four bits a token first: a bit of x that y lacks is a token of x that
+y lacks, so overlap <= |x| - |bits(x) not in bits(y)|, which never drops a link. What remains is
+verified on whole sets. No pair that can link is left out, and no group is expanded into pair rows.
 
 Hash collisions (2**-64 per pair of different shingles or sets) are the only source of error.
 
@@ -52,8 +53,8 @@ WORDS = 5
 LOCAL_COUNT = 4
 COUNT_BLOCK = 2_000_000
 FREQUENT = 1 << 17
-SMALL = 16
-BLOCK = 256
+SMALL = 8
+BLOCK = 512
 SINGLES_BELOW = 16
 BLOOM_BITS = 1 << 24
 
@@ -327,10 +328,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for k, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((a, b)), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep[k] = 100 * common >= 75 * (len(a) + len(b) - common)
+                keep[k] = _linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64))
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     left = sets.select(F.col("node").alias("x"), F.col("bits").alias("a"), "n")
@@ -350,65 +348,119 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
 
 
-def _near_size(n, m):
-    return F.least(n, m) * 4 >= F.greatest(n, m) * 3
+def _clusters(large: DataFrame) -> DataFrame:
+    """(node, cluster): sets chained by larger entries; sets of different clusters share none."""
+    head = large.groupBy("sig").agg(F.min("x").alias("y"))
+    edges = large.join(head, "sig").select("x", "y").distinct()
+    return components(edges).select("node", F.col("root").alias("cluster"))
 
 
-def _hubs(large: DataFrame) -> DataFrame:
-    """The sets of larger entries with their degree: how many sets they meet there, with repeats."""
-    size = large.groupBy("sig").agg(F.count("*").alias("g"))
-    degree = large.join(size, "sig").groupBy("x").agg(F.sum("g").alias("degree"))
-    return written(large.select("sig", "x", "nx").join(degree, "x"), "large")
+def _blocks(members: DataFrame) -> DataFrame:
+    """(cluster, i, j, node, root): the sets of a cluster dealt to pairs of blocks of like sizes.
+
+    Blocks hold BLOCK sets in order of size; blocks too far apart in size are not paired. A set is
+    sent once per pair of blocks, so a cluster of m sets moves m * m / BLOCK rows at most.
+    """
+    order = Window.partitionBy("cluster").orderBy("n", "node")
+    dealt = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    ranges = dealt.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    ranges = ranges.groupBy("cluster").agg(F.collect_list(F.struct("block", "low", "high")).alias("blocks"))
+    pairs = F.expr(
+        "flatten(transform(blocks, a -> transform(filter(blocks, b -> a.block <= b.block and 4 * a.high >= 3 * b.low),"
+        " b -> struct(a.block as i, b.block as j))))"
+    )
+    tasks = ranges.select("cluster", F.explode(pairs).alias("t")).select("cluster", "t.i", "t.j")
+    ends = tasks.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return dealt.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "block", "node", "root")
+
+
+def _cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links that connect each cluster (cluster, node, n, root) as all its links do, found block by block."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        task = None
+        for batch in _then_none(batches):
+            key = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True)) if batch else []
+            cuts = [k for k in range(len(key)) if key[k] != (key[k - 1] if k else task)]
+            for low, high in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if low in cuts or batch is None:
+                    if held:
+                        yield _connect(pa.Table.from_batches(held))
+                    held = []
+                if high > low:
+                    held.append(batch.slice(low, high - low))
+            if key:
+                task = key[-1]
+
+    rows = _blocks(members).join(sets, "node").select("cluster", "i", "j", "block", "node", "root", "n", "bits", "tokens")
+    return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "node").mapInArrow(compare, "x long, y long")
+
+
+def _connect(table: pa.Table) -> pa.RecordBatch:
+    """Links between the two blocks of a task that join different components."""
+    node, root, n, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "n", "block"))
+    tokens = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")]
+    bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("bits")]
+    width = np.array([len(v) for v in bits])
+    maps = {w: (np.flatnonzero(width == w), np.stack([b for b in bits if len(b) == w])) for w in np.unique(width).tolist()}
+    for w in sorted(maps):  # each width also folded to the next smaller one
+        rows, matrix = maps[w]
+        maps[w] = rows, {w: matrix, w // 2: matrix[:, : w // 2] | matrix[:, w // 2 :]}
+    first = int(table.column("i")[0].as_py())
+    out = []
+    for a in np.flatnonzero(block == first).tolist():
+        for w in (width[a] // 2, width[a], 2 * width[a]):
+            if w not in maps:
+                continue
+            at = min(w, width[a])
+            mine = bits[a] if at == width[a] else bits[a][:at] | bits[a][at:]
+            rows, folded = maps[w]
+            other = root[rows] != root[a]
+            if block[-1] == first:
+                other &= rows > a
+            else:
+                other &= block[rows] != first
+            if not other.any():
+                continue
+            rows, matrix = rows[other], folded[at][other]
+            most = np.minimum(n[a] - np.bitwise_count(mine & ~matrix).sum(1, dtype=np.int64), n[rows] - np.bitwise_count(matrix & ~mine).sum(1, dtype=np.int64))
+            for b in rows[100 * most >= 75 * (n[a] + n[rows] - most)].tolist():
+                if root[a] != root[b] and _linked(tokens[a], tokens[b]):
+                    out.append((node[a], node[b]))
+                    root[root == root[b]] = root[a]
+    x, y = np.array(out, np.int64).reshape(-1, 2).T
+    return pa.RecordBatch.from_pydict({"x": x, "y": y})
 
 
-def _pivot_pairs(rows: DataFrame, pivots: DataFrame) -> DataFrame:
-    """Pairs of each entry's pivots with its other sets, by size; x is the pivot."""
-    p = pivots.select("sig", F.col("x").alias("p"), F.col("nx").alias("np"))
-    met = rows.join(p, "sig").where((F.col("x") != F.col("p")) & _near_size(F.col("nx"), F.col("np")))
-    return met.select(F.col("p").alias("x"), F.col("x").alias("y")).distinct()
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    both = np.sort(np.concatenate((a, b)), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
 def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Edges between nodes that connect exactly the documents connected by links."""
     frequent = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     found = written(_probe(_entries(docs, frequent)), "candidates")
-
-    large = found.where("kind = 1")
-    over = large.where("rare").groupBy("x").agg(F.count("*").alias("over"))
+    # A pair that shares a larger entry meets in its cluster, so here all its common rare tokens are counted.
     needed = F.ceil((F.col("nx") + F.col("ny")) * 3 / 7 - 1e-9) - F.greatest("sx", "sy")
     pairs = found.where("kind = 0").groupBy("x", "y").agg(F.sum(F.col("rare").cast("int")).alias("common"), F.max(needed).alias("needed"))
-    pairs = pairs.join(over.withColumnRenamed("over", "ox"), "x", "left").join(over.select(F.col("x").alias("y"), F.col("over").alias("oy")), "y", "left")
-    unseen = F.least(F.coalesce("ox", F.lit(0)), F.coalesce("oy", F.lit(0)))
-    pairs = written(pairs.where(F.col("common") + unseen >= F.col("needed")).select("x", "y", "common"), "pairs")
-
-    rows = _hubs(large)
-    best = rows.groupBy("sig").agg(F.max(F.struct("degree", "x", "nx")).alias("b")).select("sig", "b.x", "b.nx")
-    stars = written(_pivot_pairs(rows, best), "stars")
+    pairs = written(pairs.where("common >= needed").select("x", "y", "common"), "pairs")
+    large = found.where("kind = 1").select("sig", "x")
+    clusters = written(_clusters(large), "clusters")
 
-    used = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(rows.select("x")).distinct()
-    owner = scanned.where("kind = 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(_sets(docs, owner.join(used, F.col("node") == F.col("x"), "left_semi").select("doc_id")), "sets")
+    used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
+    owner = scanned.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    sets = written(_sets(docs, owner.join(used, "node", "left_semi").select("doc_id")), "sets")
 
     ends = pairs.select("x", "y", "common").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common"))
     nearest = ends.groupBy("x").agg(F.max(F.struct("common", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y"))
-    links = written(_verify(nearest.unionByName(stars).distinct(), sets), "links")
+    links = written(_verify(nearest.distinct(), sets), "links")
+    links = written(links.unionByName(_verify(_across(pairs, components(links)), sets)), "links")
     roots = components(links)
-    links = written(links.unionByName(_verify(_across(pairs, roots), sets)), "links")
-
-    tried = Window.partitionBy("sig").orderBy(F.desc("degree"), F.desc("x"))
-    block = 0
-    rows = rows.withColumn("turn", F.floor((F.row_number().over(tried) - 1) / BLOCK))
-    while True:
-        roots = components(links)
-        placed = rows.join(roots.withColumnRenamed("node", "x"), "x", "left").withColumn("root", F.coalesce("root", "x"))
-        several = placed.groupBy("sig").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.max("turn").alias("last"))
-        open_ = several.where((F.col("a") != F.col("b")) & (F.col("last") >= block)).select("sig")
-        placed = written(placed.join(open_, "sig", "left_semi"), "open")
-        if placed.isEmpty():
-            return links
-        more = _across(_pivot_pairs(placed, placed.where(F.col("turn") == block)), roots)
-        links = written(links.unionByName(_verify(more, sets)), "links")
-        rows, block = placed.drop("root"), block + 1
+    members = clusters.join(owner.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return links.unionByName(written(_cluster_links(members, sets), "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

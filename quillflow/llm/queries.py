@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import exact, mixing, near, packing, pii, quality, tokenfiles, toxicity
+from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, tokenfiles, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License matches of every document: names, and template:start:end:coverage of each."""
+    found = license.license_matches(table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["template"], m["start"], m["end"], F.format_number(m["coverage"], 4)))
+    names = F.array_join(F.array_sort(F.array_distinct("matches.template")), ",")
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -106,17 +114,24 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.a = w.doc_id
 """
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and verdict of every document."""
+    return classifier.quality_classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
         "op1_pii": op1_pii,
         "op2_packing": op2_packing,
+        "op3_license_scan": op3_license_scan,
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_token_files": op6_token_files,
         "op7_quality_rules": op7_quality_rules,
         "op8_mixing": op8_mixing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 

@@ -87,14 +87,15 @@ def _forest(votes: np.ndarray, count: np.ndarray, q: np.ndarray) -> list[int]:
     return parents
 
 
-def fit(votes: np.ndarray, count: np.ndarray, prior: float, correlated: bool = False) -> LabelModel:
+def fit(votes: np.ndarray, count: np.ndarray, prior: float, correlated: bool = False, veto: bool = False) -> LabelModel:
     """The model of distinct vote rows (n x voters) with their counts; `prior` starts the share of yes.
 
-    It starts from voters that are right more often than not, which fixes which class is yes.
+    It starts from voters that are right more often than not, which fixes which class is yes; with
+    `veto`, from rows without a no as yes, for labellers that each know one kind of fault.
     """
     votes, count = np.asarray(votes, np.int64), np.asarray(count, float)
     yes, no = (votes == YES).sum(1), (votes == NO).sum(1)
-    q = np.clip(prior + 0.4 * np.sign(yes - no), 0.02, 0.98)
+    q = np.where(no > 0, 0.1, 0.95) if veto else np.clip(prior + 0.4 * np.sign(yes - no), 0.02, 0.98)
     parents = [-1] * votes.shape[1]
     model = None
     for stage in range(1 + correlated):

@@ -64,7 +64,7 @@ def corpus(seed, n, words=300, hot=0):
 @pytest.mark.parametrize(("seed", "hot", "small"), [(1, 0, 16), (2, 3, 2)])
 def test_same_as_brute_force(spark, monkeypatch, seed, hot, small):
     monkeypatch.setattr(near, "SMALL", small)
-    monkeypatch.setattr(near, "BLOCK", 20)
+    monkeypatch.setattr(near, "BLOCK", 7)
     rows = corpus(seed, 200, hot=hot)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(map(tuple, near.near_duplicates(docs).collect())) == brute(rows)
