@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 800_000
+CACHE = 350_000
 CUT = "\0"
 _SPACE = re.compile(r"\s")
 
