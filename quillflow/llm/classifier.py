@@ -29,6 +29,8 @@ TRAIN_ROWS = 4_000
 BITS = 12
 MARKS = 8
 SCALE = 20.0
+#: Grams that a short text counts as at least, so that a few rare ones do not decide.
+LEAST = 200
 
 SCORES = "doc_id long, score double, posterior double, kept boolean"
 LABELLERS = ("symbols", "capitals", "repetition", "duplicate lines", "bars", "exclamations", "word length", "sentences")
@@ -124,7 +126,7 @@ def train(docs: DataFrame, model: weak.LabelModel) -> np.ndarray:
             r = ratios(array)
             owner, bucket, grams = _grams(array)
             counts = np.bincount(owner * (1 << BITS) + bucket, minlength=len(array) << BITS).reshape(len(array), -1)
-            x = (SCALE * counts / np.maximum(1, grams)[:, None]).astype(np.float16)
+            x = (SCALE * counts / np.maximum(LEAST, grams)[:, None]).astype(np.float16)
             code = _code(votes_of(r, r[:, 6] > 0))
             rows = [np.concatenate((a, b)).astype(np.float16).tobytes() for a, b in zip(x, _marks(r), strict=True)]
             yield pa.RecordBatch.from_pydict({"code": code, "x": pa.array(rows, pa.binary())})
@@ -149,7 +151,7 @@ def quality_classes(docs: DataFrame) -> DataFrame:
             array = texts(batch)
             r = ratios(array)
             owner, bucket, grams = _grams(array)
-            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(1, grams) + _marks(r) @ w[1 << BITS : -1]
+            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams) + _marks(r) @ w[1 << BITS : -1]
             value = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             posterior = model_.posterior(votes_of(r, r[:, 6] > 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(value), pa.array(posterior), pa.array(value >= 0.5)], names=["doc_id", "score", "posterior", "kept"])

@@ -16,6 +16,8 @@ import numpy as np
 ABSTAIN, NO, YES = 0, 1, 2
 ROUNDS = 60
 MIN_INFORMATION = 0.01
+#: With `veto`, the share of yes rows to which a labeller says no; its other rates are estimated.
+FALSE_ALARM = 0.001
 
 
 @dataclass
@@ -91,7 +93,8 @@ def fit(votes: np.ndarray, count: np.ndarray, prior: float, correlated: bool = F
     """The model of distinct vote rows (n x voters) with their counts; `prior` starts the share of yes.
 
     It starts from voters that are right more often than not, which fixes which class is yes; with
-    `veto`, from rows without a no as yes, for labellers that each know one kind of fault.
+    `veto`, from rows without a no as yes and with a fixed rate of false alarms, for labellers that
+    each know one kind of fault: votes of one kind agree too often to be told from the class otherwise.
     """
     votes, count = np.asarray(votes, np.int64), np.asarray(count, float)
     yes, no = (votes == YES).sum(1), (votes == NO).sum(1)
@@ -103,7 +106,12 @@ def fit(votes: np.ndarray, count: np.ndarray, prior: float, correlated: bool = F
             parents = _forest(votes, count, q)
         for _ in range(ROUNDS):
             share = float(np.clip((count * q).sum() / max(count.sum(), 1e-12), 0.005, 0.995))
-            model = LabelModel(share, parents, _tables(votes, count, q, parents))
+            tables = _tables(votes, count, q, parents)
+            for table in tables if veto else []:
+                rest = table[1].sum(1) - table[1, :, NO]
+                table[1] *= ((1 - FALSE_ALARM) / rest)[:, None]
+                table[1, :, NO] = FALSE_ALARM
+            model = LabelModel(share, parents, tables)
             q = model.posterior(votes)
     return model
 
