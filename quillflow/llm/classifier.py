@@ -5,7 +5,7 @@ words; no labels are read. Votes are counted per distinct vote row over all docu
 most 3 ** labellers rows reach the driver), and expectation-maximisation estimates the labellers'
 accuracies. Posterior labels of at most TRAIN_ROWS documents, picked by a fixed hash order, train a
 logistic regression on 2**BITS hashed counts of byte 4-grams and word-shape marks; it scores
-every whole text. A document is kept when its score is at least 0.5.
+every whole text. A document is kept when its score is at least KEEP_SCORE.
 
 Defined cases: null or empty texts vote nothing, have no features and are scored by the bias; repeated
 rows are each scored; an empty table gives no rows; other columns are ignored.
@@ -29,15 +29,18 @@ TRAIN_ROWS = 4_000
 BITS = 12
 MARKS = 8
 SCALE = 20.0
+#: Words under which a text is too short to be faulted for repetition or shape.
+SHORT = 50
 #: Grams that a short text counts as at least, so that a few rare ones do not decide.
-LEAST = 200
+LEAST = 500
+KEEP_SCORE = 0.4
 
 SCORES = "doc_id long, score double, posterior double, kept boolean"
 LABELLERS = ("symbols", "capitals", "repetition", "duplicate lines", "bars", "exclamations", "word length", "sentences")
 
 
 def ratios(array: pa.Array) -> np.ndarray:
-    """Per text: shares of symbols, capitals, repeated words, duplicate lines, bars, exclamation marks, the mean word length, words per full stop."""
+    """Per text: shares of symbols, capitals, repeated words, duplicate lines, bars, exclamation marks, the mean word length, full stops a word, the number of words."""
     n = len(array)
     base = base_counts(array)
     data, offsets = raw_bytes(array)
@@ -52,7 +55,7 @@ def ratios(array: pa.Array) -> np.ndarray:
     stops = share(data == 46)
     return np.stack([
         base["n_symbols"] / words, upper / np.maximum(1, upper + lower), base["n_repeat_words"] / words, base["n_dup_lines"] / lines,
-        share(data == 124) / words, share(data == 33) / words, base["word_chars"] / words, stops / words,
+        share(data == 124) / words, share(data == 33) / words, base["word_chars"] / words, stops / words, base["n_words"],
     ], axis=1)
 
 
@@ -62,10 +65,11 @@ def votes_of(r: np.ndarray, sized: np.ndarray) -> np.ndarray:
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, weak.NO, np.where(good, weak.YES, weak.ABSTAIN))
 
-    symbols, capitals, repeats, lines, bars, shouts, length, stops = r.T
+    symbols, capitals, repeats, lines, bars, shouts, length, stops, words = r.T
+    enough = words >= SHORT
     votes = np.stack([
-        vote(symbols > 0.5, symbols < 0.05), vote(capitals > 0.5, capitals < 0.25), vote(repeats > 0.5, repeats < 0.2), vote(lines > 0.5, lines < 0.2),
-        vote(bars > 0.3, bars < 0.02), vote(shouts > 0.5, shouts < 0.05), vote(length > 12, (length > 2) & (length < 9)), vote(stops > 0.6, (stops > 0.01) & (stops < 0.5)),
+        vote(symbols > 0.5, symbols < 0.05), vote(capitals > 0.5, capitals < 0.25), vote((repeats > 0.5) & enough, repeats < 0.2), vote((lines > 0.5) & enough, lines < 0.2),
+        vote(bars > 0.3, bars < 0.02), vote(shouts > 0.5, shouts < 0.05), vote((length > 12) & enough, (length > 2) & (length < 9)), vote((stops > 0.6) & enough, (stops > 0.01) & (stops < 0.5)),
     ], axis=1)
     return np.where(sized[:, None], votes, weak.ABSTAIN)
 
@@ -88,8 +92,8 @@ def _grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _marks(r: np.ndarray) -> np.ndarray:
-    """Word-shape marks: the ratios, limited to 0 to 1."""
-    return np.clip(r * np.array([1, 1, 1, 1, 1, 1, 0.05, 1]), 0, 1)
+    """Word-shape marks: which labellers see their kind of fault."""
+    return (votes_of(r, r[:, 6] > 0) == weak.NO).astype(float)
 
 
 def fit_labels(docs: DataFrame) -> weak.LabelModel:
@@ -154,6 +158,6 @@ def quality_classes(docs: DataFrame) -> DataFrame:
             logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams) + _marks(r) @ w[1 << BITS : -1]
             value = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             posterior = model_.posterior(votes_of(r, r[:, 6] > 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(value), pa.array(posterior), pa.array(value >= 0.5)], names=["doc_id", "score", "posterior", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(value), pa.array(posterior), pa.array(value >= KEEP_SCORE)], names=["doc_id", "score", "posterior", "kept"])
 
     return docs.select("doc_id", "text").mapInArrow(score, SCORES)
