@@ -13,8 +13,9 @@ order: rare ones first (by hash), then the frequent ones by rising count. If |x
 * G depends on the size band of the smaller set (powers of two), so sets just above a band's lower
   end also index by the band below. Sets under 16 tokens index frequent tokens alone.
 
-Frequent tokens are those met `LOCAL_COUNT` times in some block of documents; all documents are
-counted, and the table keeps the `FREQUENT` largest sums. It only steers the order, never the result.
+Frequent tokens: each block of documents counts its tokens and reports those it meets `LOCAL_COUNT`
+times; tokens whose reports sum up to `OFTEN` are frequent, of which the table keeps the `FREQUENT`
+largest sums. All documents are counted. The table only steers the order, never the result.
 
 Candidates: an index entry with at most `SMALL` sets gives its pairs, which are counted: as all
 common rare tokens of both prefixes are seen, overlap <= common + |x| - (rare tokens in x's prefix),
@@ -50,10 +51,11 @@ from quillflow.llm.common import arrow_batches, mix64, texts, words_of, written
 from quillflow.llm.graph import components
 
 WORDS = 5
-LOCAL_COUNT = 4
+LOCAL_COUNT = 2
+OFTEN = 6
 COUNT_BLOCK = 2_000_000
-FREQUENT = 1 << 17
-SMALL = 8
+FREQUENT = 1 << 18
+SMALL = 16
 BLOCK = 512
 SINGLES_BELOW = 16
 BLOOM_BITS = 1 << 24
@@ -349,9 +351,14 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _clusters(large: DataFrame) -> DataFrame:
-    """(node, cluster): sets chained by larger entries; sets of different clusters share none."""
-    head = large.groupBy("sig").agg(F.min("x").alias("y"))
-    edges = large.join(head, "sig").select("x", "y").distinct()
+    """(node, cluster): sets chained by larger entries, neighbours in size within an entry.
+
+    Of an entry's sets in order of size, neighbours are chained when their sizes let them link; then
+    so is any pair whose sizes do. Sets of different clusters share no entry that matters.
+    """
+    order = Window.partitionBy("sig").orderBy("nx", "x")
+    chained = large.select("x", "nx", F.lag("x").over(order).alias("y"), F.lag("nx").over(order).alias("ny"))
+    edges = chained.where("3 * nx <= 4 * ny").select("x", "y").distinct()
     return components(edges).select("node", F.col("root").alias("cluster"))
 
 
@@ -441,13 +448,13 @@ def _linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """Edges between nodes that connect exactly the documents connected by links."""
-    frequent = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
+    frequent = scanned.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).toPandas()
     found = written(_probe(_entries(docs, frequent)), "candidates")
     # A pair that shares a larger entry meets in its cluster, so here all its common rare tokens are counted.
     needed = F.ceil((F.col("nx") + F.col("ny")) * 3 / 7 - 1e-9) - F.greatest("sx", "sy")
     pairs = found.where("kind = 0").groupBy("x", "y").agg(F.sum(F.col("rare").cast("int")).alias("common"), F.max(needed).alias("needed"))
     pairs = written(pairs.where("common >= needed").select("x", "y", "common"), "pairs")
-    large = found.where("kind = 1").select("sig", "x")
+    large = found.where("kind = 1").select("sig", "x", "nx")
     clusters = written(_clusters(large), "clusters")
 
     used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
