@@ -5,7 +5,9 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def ratio(a: str, b: str) -> float:
@@ -27,13 +29,19 @@ def token_set(a: str, b: str) -> float:
     return 100 * max(ratio(p, q) for p, q in pairs)
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """`ratio` of two columns; null if either is null."""
+def _sequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(ratio(x, y), 6) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """`token_set` of two columns; null if either is null."""
+def _tokens(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else round(token_set(x.upper(), y.upper()), 4) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
+    """`ratio` of two columns; null if either is null."""
+    return F.pandas_udf(_sequence, DoubleType())(a, b)
+
+
+def token_set_ratio(a: Column | str, b: Column | str) -> Column:
+    """`token_set` of two columns, ignoring case; null if either is null."""
+    return F.pandas_udf(_tokens, DoubleType())(a, b)

@@ -146,7 +146,7 @@ def path_template(spark, sf_dir):
 WITH f AS (SELECT p_partkey AS fid, list_distinct(string_split(lower(p_name), ' ')) AS fs, p_brand FROM part WHERE p_size = 1),
 d AS (SELECT p_partkey AS id, list_distinct(string_split(lower(p_name), ' ')) AS ds, p_brand FROM part),
 s AS (SELECT id, fid, d.p_brand = f.p_brand AS same, len(list_intersect(ds, fs)) / len(list_distinct(ds || fs)) AS score FROM d JOIN f ON d.p_brand = f.p_brand OR list_has_any(ds, fs)),
-r AS (SELECT *, CASE WHEN same THEN 1.0 ELSE score END AS final, row_number() OVER (PARTITION BY id ORDER BY same DESC, score DESC, fid) AS rn FROM s)
+r AS (SELECT *, CASE WHEN same THEN 1.0 ELSE score END AS final, row_number() OVER (PARTITION BY id ORDER BY same DESC, CASE WHEN same THEN 0 ELSE -score END, fid) AS rn FROM s)
 SELECT id, fid, final::DOUBLE AS score FROM r WHERE rn = 1 AND final >= 0.3
 """)
 def format_match(spark, sf_dir):

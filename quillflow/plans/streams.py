@@ -1 +1,38 @@
-"""..."""
+"""Stream operators run over the whole table at once; tests run them as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillflow.plans.registry import query
+from quillflow.sources.tables import table
+from quillflow.streaming import events as ops
+
+STAMP = "yyyy-MM-dd HH:mm:ss"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS begins, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ends, count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s
+""")
+def sessions(spark, sf_dir):
+    """Sessions closed after 30 idle minutes."""
+    found = ops.sessions(_events(spark, sf_dir))
+    return found.select("user_id", F.date_format("begins", STAMP).alias("begins"), F.date_format("ends", STAMP).alias("ends"), "n")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_audit(spark, sf_dir):
+    """Daily counts of the audit log."""
+    return ops.tumbling_counts(_events(spark, sf_dir)).select(F.date_format("begins", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query()
+def touch_sampled(spark, sf_dir):
+    """Last-seen refreshes, at most one an hour and user."""
+    return ops.sampled_touches(table(spark, sf_dir, "events"), 3600).select("user_id", "event_id", "at")
