@@ -1,0 +1,88 @@
+"""Scalar functions and rules on hand-made rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillflow.functions import dates, fuzzy, money, text
+from quillflow.operators import joins, merge, rules, window
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).first()
+
+
+@pytest.mark.parametrize(
+    ("given", "wanted"),
+    [("10-Nov-25", "10-11-2025"), ("10-11-2025", "10-11-2025"), ("Nov 10, 2025", "10-11-2025"), ("2025-11-10", "10-11-2025"), ("32-13-2025", ""), ("", ""), (None, "")],
+)
+def test_date(spark, given, wanted):
+    assert one(spark, dates.normalize(F.lit(given).cast("string")))[0] == wanted
+
+
+def test_terms(spark):
+    days = [dates.term_days(F.lit(t)) for t in ("30 DAYS", "100% ADVANCE PAYMENT", "AGAINST INVOICE", "", "7 day")]
+    assert list(one(spark, *days)) == [30, 0, 30, 30, 7]
+
+
+def test_numbers(spark):
+    assert list(one(spark, *[money.number(F.lit(t)) for t in ("1,234.5", "18%", "x", " 7 ")])) == [1234.5, 18.0, None, 7.0]
+    assert one(spark, money.nearest_slab(F.lit(8.5)))[0] == 5.0
+
+
+@pytest.mark.parametrize(
+    ("q", "r", "a", "t", "wanted"),
+    [
+        (2.0, 5.0, 10.0, None, (2.0, 5.0, 10.0, "agrees")),
+        (2.0, 5.0, 0.0, None, (2.0, 0.0, 0.0, "free")),
+        (2.0, None, 10.0, None, (2.0, None, 10.0, "incomplete")),
+        (10.0, 100.0, 1180.0, None, (10.0, 100.0, 1000.0, "amount held tax")),
+        (10.0, 118.0, 1000.0, None, (10.0, 100.0, 1000.0, "rate held tax")),
+        (1.0, 100.0, 700.0, None, (7.0, 100.0, 700.0, "quantity misread")),
+        (3.0, 10.0, 100.0, None, (3.0, 33.33, 100.0, "rate misread")),
+        (10.0, 100.0, 700.0, 0.0, (10.0, 100.0, 700.0, "discount")),
+    ],
+)
+def test_reconcile(spark, q, r, a, t, wanted):
+    lit = lambda v: F.lit(v).cast("double")
+    assert tuple(one(spark, money.reconcile(lit(q), lit(r), lit(a), lit(t)))[0]) == wanted
+
+
+def test_text(spark):
+    row = one(spark, text.collapse(F.lit("  A \n b ")), text.canonical(F.lit("l1z6")), text.garbled(F.lit("aaaa")), text.safe_name(F.lit("a/b:c")), text.prettify(F.lit("unitCost_x")))
+    assert list(row) == ["a b", "IIZG", True, "a_b_c", "unit Cost x"]
+
+
+def test_fuzzy():
+    assert fuzzy.ratio("abcd", "bcde") == 0.75
+    assert fuzzy.token_set("A B", "B A C") == 100.0
+    assert fuzzy.token_set("", "A") == 0.0
+
+
+def test_blank_and_missing(spark):
+    missing = rules.missing_fields({"b": F.lit("  "), "a": F.lit(None).cast("string"), "c": F.lit("x")})
+    assert one(spark, missing)[0] == ["a", "b"]
+
+
+def test_queue(spark):
+    lines = spark.createDataFrame([("k", 1, 2), ("k", 2, 1)], "k string, line int, qty int")
+    for n, wanted in ((2, [1, 1]), (3, [1, 1, 2]), (4, [1, 1, 2, None])):
+        rows = spark.createDataFrame([("k", i) for i in range(n)], "k string, row_id int")
+        found = joins.queue_match(lines, rows, ["k"], "qty", "line", "row_id").orderBy("row_id").collect()
+        assert [r.line for r in found] == wanted
+
+
+def test_sibling_fill_takes_direct_values_only(spark):
+    rows = spark.createDataFrame([("h", 1, None), ("h", 2, "B"), ("h", 3, None), ("g", 4, None)], "k string, o int, v string")
+    assert [r.out for r in joins.sibling_fill(rows, ["k"], "o", "v", "out").orderBy("o").collect()] == ["B", "B", "B", None]
+
+
+def test_global_row_number(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(7)
+    assert [r.n for r in window.global_row_number(rows, "x", "n", 5).orderBy("x").collect()] == list(range(5, 1005))
+
+
+def test_merge_scope(spark):
+    old = spark.createDataFrame([("a", 1, 5, True), ("a", 2, 6, True), ("b", 1, 7, False)], "g string, k int, v int, active boolean")
+    new = spark.createDataFrame([("a", 1, 50), ("a", 3, 60)], "g string, k int, v int")
+    found = merge.upsert_soft_delete(old, new, ["g", "k"], ["v"], "g")
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 50, True), ("a", 2, 6, False), ("a", 3, 60, True), ("b", 1, 7, False)]
