@@ -4,8 +4,9 @@ Byte-level and word-level BPE both split a text before merging, so equal chunks
 spaces and line ends give equal ids wherever they stand. `Encoder` cuts a batch of texts there,
 encodes the chunks that it has not met with the library, and joins ids by chunk. A text with white
 space of another kind or in a row, where the byte-level split looks around, goes to the library
-whole; the ids are the library's own either way. The cache is cleared at `CACHE` chunks, so a
-worker's memory stays bounded.
+whole; the ids are the library's own either way. The cache has two generations of at most about
+`CACHE` chunks: a full one becomes the old one, from which chunks in use move back, so a worker's
+memory stays bounded and frequent chunks stay known.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 350_000
+CACHE = 250_000
 CUT = "\0"
 _SPACE = re.compile(r"\s")
 
@@ -34,6 +35,7 @@ class Encoder:
         self.spaces = spaces
         self.mark = "\n" if spaces else " \x01 "  # between chunks: a token of its own that no chunk holds
         self.mark_id = self.library.encode(self.mark, add_special_tokens=False).ids[0]
+        self.old: dict[str, bytes | None] = {}
         self.known: dict[str, bytes | None] = {}  # None: texts with this chunk go to the library whole
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -73,9 +75,12 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         chunks, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if len(self.known) > CACHE:
-            self.known.clear()
-        if new := [c for c in chunks if c not in self.known]:
-            self._learn(new)
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        if missing := [c for c in chunks if c not in known]:
+            known.update((c, old[c]) for c in missing if c in old)
+            if new := [c for c in missing if c not in old]:
+                self._learn(new)
         found = [self.known[c] for c in chunks]
         owner = np.repeat(np.arange(n), parts)
         odd = np.array([x is None for x in found], bool)

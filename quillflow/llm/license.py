@@ -4,7 +4,7 @@ Templates are normalised to tokens (lower-case letters and digits of each white-
 `GRAM` tokens in a row are winnowed (the least of each `WINDOW` neighbours) into an inverted index
 from fingerprint to template positions, small and fixed, so it is broadcast. A document's hashes are
 looked up in the index; hits vote for (template, diagonal), and each cluster of near diagonals is
-aligned token by token within a band of `BAND` around it (match +1, mismatch or gap -1, local). A
+aligned token by token within a band of at most `BAND` around it (match +1, mismatch or gap -1, local). A
 match reports the share of the template's tokens that the alignment covers and its span in the
 document. Any run of GRAM + WINDOW - 1 template tokens in a text is found.
 
@@ -156,13 +156,15 @@ def find(index: Index, tokens: np.ndarray, spots: np.ndarray, hashes: np.ndarray
     found = []
     for template, diagonals in votes.items():
         diagonals.sort()
+        size = len(index.tokens[template])
+        band = min(BAND, max(1, size // 3))  # narrower for short templates, so that repeats stay apart
         last = None
         for diagonal in diagonals:
-            if last is not None and diagonal - last <= BAND:
+            if last is not None and diagonal - last <= band:
                 continue
             last = diagonal
-            matched, start, end = align(index.tokens[template], tokens, diagonal)
-            coverage = matched / len(index.tokens[template])
+            matched, start, end = align(index.tokens[template], tokens, diagonal, band)
+            coverage = matched / size
             if coverage >= MIN_COVERAGE:
                 found.append((index.names[template], start, end, round(coverage, 4)))
     found = list(dict.fromkeys(sorted(found, key=lambda m: (m[1], -m[2], -m[3], m[0]))))

@@ -2,9 +2,10 @@
 
 A vote is 0 (abstain), 1 (says no) or 2 (says yes). `fit` runs expectation-maximisation over distinct
 vote rows with their counts, so its cost follows the number of distinct rows, not of documents. With
-`correlated`, a second fit gives each voter at most one parent voter: the maximum spanning forest of
-the voters' mutual information given the label, whose dependence is then part of the model, so voters
-that repeat one another aren't counted as independent evidence.
+`correlated`, each voter has at most one parent voter: the maximum spanning forest of the voters'
+mutual information given the majority vote, whose dependence is part of the model, so voters that
+repeat one another aren't counted as independent evidence. (Given labels fitted without it, such
+voters would look independent, as those labels follow them.)
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 
 ABSTAIN, NO, YES = 0, 1, 2
 ROUNDS = 60
-MIN_INFORMATION = 0.01
+MIN_INFORMATION = 0.1
 #: With `veto`, the share of yes rows to which a labeller says no; its other rates are estimated.
 FALSE_ALARM = 0.001
 
@@ -73,7 +74,7 @@ def _forest(votes: np.ndarray, count: np.ndarray, q: np.ndarray) -> list[int]:
         for b in range(a):
             for w in (count * q, count * (1 - q)):
                 p = np.bincount(votes[:, a] * 3 + votes[:, b], weights=w, minlength=9).reshape(3, 3) + 1e-9
-                share = w.sum() / count.sum()
+                share = w.sum() / max(count.sum(), 1e-12)
                 p /= p.sum()
                 info[a, b] += share * (p * np.log(p / p.sum(1, keepdims=True) / p.sum(0, keepdims=True))).sum()
             info[b, a] = info[a, b]
@@ -101,18 +102,17 @@ def fit(votes: np.ndarray, count: np.ndarray, prior: float, correlated: bool = F
     q = np.where(no > 0, 0.1, 0.95) if veto else np.clip(prior + 0.4 * np.sign(yes - no), 0.02, 0.98)
     parents = [-1] * votes.shape[1]
     model = None
-    for stage in range(1 + correlated):
-        if stage:
-            parents = _forest(votes, count, q)
-        for _ in range(ROUNDS):
-            share = float(np.clip((count * q).sum() / max(count.sum(), 1e-12), 0.005, 0.995))
-            tables = _tables(votes, count, q, parents)
-            for table in tables if veto else []:
-                rest = table[1].sum(1) - table[1, :, NO]
-                table[1] *= ((1 - FALSE_ALARM) / rest)[:, None]
-                table[1, :, NO] = FALSE_ALARM
-            model = LabelModel(share, parents, tables)
-            q = model.posterior(votes)
+    if correlated:
+        parents = _forest(votes, count, q)
+    for _ in range(ROUNDS):
+        share = float(np.clip((count * q).sum() / max(count.sum(), 1e-12), 0.005, 0.995))
+        tables = _tables(votes, count, q, parents)
+        for table in tables if veto else []:
+            rest = table[1].sum(1) - table[1, :, NO]
+            table[1] *= ((1 - FALSE_ALARM) / rest)[:, None]
+            table[1, :, NO] = FALSE_ALARM
+        model = LabelModel(share, parents, tables)
+        q = model.posterior(votes)
     return model
 
 
