@@ -23,14 +23,14 @@ def _parts(spark, sf_dir):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'Charge (Item)' ELSE 'Item' END AS "Type", (l_linenumber * 10000)::VARCHAR AS "Line No.",
+SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN 'Charge (Item)' ELSE 'Item' END AS "Type", (l_linenumber * 10000)::VARCHAR AS "Line_No",
   'INR' AS "Currency", o_orderpriority AS "Priority" FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 """)
 def mapped_projection(spark, sf_dir):
     """Columns by specification: an override first, then literals (=x), item fields, header fields."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    mapping = {"Type": "l_returnflag", "Line No.": "l_linenumber", "Currency": "=INR", "Priority": "o_orderpriority"}
-    override = {"Type": F.when(F.col("l_returnflag") == "A", "Charge (Item)").otherwise("Item"), "Line No.": (F.col("l_linenumber") * 10000).cast("string")}
+    mapping = {"Type": "l_returnflag", "Line_No": "l_linenumber", "Currency": "=INR", "Priority": "o_orderpriority"}
+    override = {"Type": F.when(F.col("l_returnflag") == "A", "Charge (Item)").otherwise("Item"), "Line_No": (F.col("l_linenumber") * 10000).cast("string")}
     shown = [override.get(k, F.lit(v[1:]) if v.startswith("=") else F.col(v)).alias(k) for k, v in mapping.items()]
     return lines.select("l_orderkey", "l_linenumber", *shown)
 
