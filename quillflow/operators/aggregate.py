@@ -22,7 +22,7 @@ def zero_filled_counts(dimension: DataFrame, fact: DataFrame, key: str, counted:
     Facts are counted before the join, so the join moves one row per member.
     """
     counts = fact.groupBy(key).agg(F.count(counted).alias("n"))
-    return dimension.join(F.broadcast(counts) if counts.isStreaming else counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return dimension.join(counts, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def mode_first(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

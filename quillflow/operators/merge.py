@@ -15,7 +15,7 @@ def upsert_soft_delete(old: DataFrame, new: DataFrame, keys: list[str], values:
     gone = F.col("_hit").isNull()
     if scope:
         mentioned = new.select(scope).distinct().withColumn("_in", F.lit(True))
-        joined = joined.join(F.broadcast(mentioned), scope, "left")
+        joined = joined.join(mentioned, scope, "left")
         gone = gone & F.col("_in").isNotNull()
     shown = [F.when(F.col("_hit"), F.col(f"_n_{v}")).otherwise(F.col(f"_o_{v}")).alias(v) for v in values]
     return joined.select(*keys, *shown, F.when(F.col("_hit"), True).when(gone, False).otherwise(F.col("_o_active")).alias("active"))

@@ -17,7 +17,7 @@ def global_row_number(df: DataFrame, order: str, out: str, start: int = 1) -> Da
     """Dense numbers over all rows in an order without bringing them to one task.
 
     Rows are range-partitioned; each range numbers its own, and the ranges' sizes, one row each, are
-    added up before.
+    added up before; that table is broadcast, as it has no more rows than the session has partitions.
     """
     ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(order)
@@ -29,7 +29,7 @@ def global_row_number(df: DataFrame, order: str, out: str, start: int = 1) -> Da
 
 def mint(df: DataFrame, prefix: str, order: str, last: DataFrame, out: str) -> DataFrame:
     """Numbers per prefix in an order, going on from the last number used (prefix, last), padded to six."""
-    dealt = df.join(F.broadcast(last), prefix, "left")
+    dealt = df.join(last, prefix, "left")
     number = F.row_number().over(Window.partitionBy(prefix).orderBy(order)) + F.coalesce("last", F.lit(0))
     return dealt.withColumn(out, F.concat(prefix, F.lpad(number.cast("string"), 6, "0"))).drop("last")
 

@@ -161,7 +161,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionke
 """)
 def rollup_totals(spark, sf_dir):
     """Totals at nation, region and grand level."""
-    nations = F.broadcast(table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")))
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     joined = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
     totals = joined.rollup("r_name", "n_name").agg(F.count("*").alias("n"), agg.money("c_acctbal").alias("balance"))
     return totals.select(F.coalesce("r_name", F.lit("ALL")).alias("region"), F.coalesce("n_name", F.lit("ALL")).alias("nation"), "n", "balance")

@@ -19,7 +19,7 @@ WHERE NOT o_orderpriority LIKE '5%'
 """)
 def invoice_list(spark, sf_dir):
     """Rows with the names of their dimensions."""
-    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation")))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("nation"))
     buyers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     rows = trackers(spark, sf_dir).where(~F.coalesce("excluded", F.lit(False))).join(buyers, F.col("buyer") == F.col("c_custkey"))
     return rows.join(F.broadcast(statuses(spark)), "status", "left").select("id", F.col("c_name").alias("buyer_name"), "nation", "batch", "status_name")

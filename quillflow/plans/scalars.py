@@ -304,7 +304,7 @@ def vendor_code_fix(spark, sf_dir):
     part = _parts(spark, sf_dir)
     known = part.select(F.col("p_brand").alias("known"), text.canonical(F.col("p_brand")).alias("form")).distinct().groupBy("form").agg(F.min("known").alias("known"), F.count("*").alias("n"))
     read = part.select("p_partkey", F.translate("p_brand", "12", "L2").alias("read")).withColumn("form", text.canonical(F.col("read")))
-    fixed = read.join(F.broadcast(known), "form", "left")
+    fixed = read.join(known, "form", "left")
     return fixed.select("p_partkey", "read", F.coalesce("known", "read").alias("code"), F.round(F.coalesce(1 / F.col("n"), F.lit(0.0)), 4).alias("confidence"))
 
 
