@@ -53,3 +53,33 @@ def sampled_touches(events: DataFrame, seconds: int = 60) -> DataFrame:
 
     rows = events.select("user_id", "event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInPandas(keep, rows.schema)
+
+
+def first_wins(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """The first event of each key; a stream forgets keys once they are older than `late`."""
+    if events.isStreaming:
+        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    return events.dropDuplicates(keys)
+
+
+def touches(events: DataFrame, seconds: int = 60) -> DataFrame:
+    """`sampled_touches` as a stateful stream: the state is the time of a user's last kept event."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        kept = []
+        for event_id, at in zip(rows["event_id"], rows["at"], strict=True):
+            if last is None or at - last >= seconds:
+                last = int(at)
+                kept.append((key[0], event_id, last))
+        state.update((last,))
+        yield pd.DataFrame(kept, columns=["user_id", "event_id", "at"])
+
+    rows = events.select("user_id", "event_id", F.unix_timestamp("ts").alias("at"))
+    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_id long, at long", "last long", "append", "NoTimeout")
+
+
+def upsert_batches(events: DataFrame, merge, checkpoint: str):
+    """Starts a stream that hands each micro-batch to `merge(batch, number)`, over what is there now."""
+    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -36,3 +36,43 @@ def test_sessions(spark, folder):
 def test_touches(spark):
     rows = spark.sql("SELECT * FROM VALUES (1, 1L, TIMESTAMP '2024-01-01 00:00:00'), (2, 1L, TIMESTAMP '2024-01-01 00:00:30'), (3, 1L, TIMESTAMP '2024-01-01 00:01:00'), (4, 2L, TIMESTAMP '2024-01-01 00:00:10') t(event_id, user_id, ts)")
     assert sorted(r.event_id for r in ops.sampled_touches(rows, 60).collect()) == [1, 3, 4]
+
+
+def test_touches_as_stream(spark, folder):
+    wanted = ops.sampled_touches(spark.read.parquet(folder), 3600).collect()
+    df = ops.touches(ops.event_stream(spark, folder), 3600)
+    query = df.writeStream.format("memory").queryName("touches").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    assert sorted((r.user_id, r.event_id) for r in spark.table("touches").collect()) == sorted((r.user_id, r.event_id) for r in wanted)
+
+
+def test_upsert_batches(spark, folder, tmp_path):
+    from quillflow.operators.merge import upsert_soft_delete
+    from quillflow.sources.sinks import replace
+
+    state = {"path": replace(spark.createDataFrame([], "user_id long, n long, active boolean"), str(tmp_path / "t"), 0)}
+
+    def merge(batch, number):
+        old = spark.read.parquet(state["path"])
+        counts = batch.groupBy("user_id").agg(F.count("*").alias("m"))
+        new = counts.join(old, "user_id", "left").select("user_id", (F.col("m") + F.coalesce("n", F.lit(0))).alias("n"))
+        merged = upsert_soft_delete(old, new, ["user_id"], ["n"]).withColumn("active", F.lit(True))
+        state["path"] = replace(merged, str(tmp_path / "t"), number + 1)
+
+    ops.upsert_batches(ops.event_stream(spark, folder, 1), merge, str(tmp_path / "check")).awaitTermination(180)
+    wanted = spark.read.parquet(folder).groupBy("user_id").count().collect()
+    assert {r.user_id: r.n for r in spark.read.parquet(state["path"]).collect()} == {r.user_id: r["count"] for r in wanted}
+
+
+def test_sinks(spark, tmp_path):
+    from quillflow.sources import sinks, tables
+
+    docs = spark.createDataFrame([("a", "x", [(1, "p"), (2, "q")]), ("b", "y", [])], "no string, kind string, items array<struct<qty:int,name:string>>")
+    sinks.write_documents(docs, str(tmp_path / "json"), ["kind"])
+    assert tables.files(spark, str(tmp_path / "json"), "*.json").count() >= 1
+    back = tables.json_documents(spark, str(tmp_path / "json"))
+    assert back.count() == 2
+    header, lines = sinks.shred(docs, "no", "items")
+    assert header.columns == ["no", "kind"] and [tuple(r) for r in lines.orderBy("line_no").collect()] == [("a", 10000, 1, "p"), ("a", 20000, 2, "q")]
+    sinks.write_sheets({"Header": header}, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "Header")).count() == 2
