@@ -26,6 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillflow.llm.common import arrow_batches, texts, written
 
@@ -223,7 +224,22 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns; of repeated rows of the largest id, one."""
-    stay = dedup_exact(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents that stay, with their columns; of repeated rows of the largest id, one.
+
+    Texts are shuffled once, by doc_id. Of equal texts that have no id at all, one row stays; such rows
+    are found by digest.
+    """
+    keys = keyed(docs)
+    index = written(build_index(keys).select("digest", "keep_id"), "index")
+    stay = keys.join(index, "digest").where("doc_id = keep_id").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array(digests(texts(batch)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_digest"])
+
+    nameless = docs.where("doc_id is null").mapInArrow(hashed, schema)
+    unclaimed = index.where("keep_id is null").select(F.col("digest").alias("_digest"))
+    return kept.unionByName(nameless.join(unclaimed, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest"))

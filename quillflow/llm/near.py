@@ -45,6 +45,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillflow.llm.common import arrow_batches, mix64, texts, words_of, written
@@ -470,20 +471,42 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     return links.unionByName(written(_cluster_links(members, sets), "links"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node, n_shingles) of every document, and (node, component) of every set."""
     arrow_batches(docs.sparkSession)
     scanned = written(_scan(docs), "scanned")
     members = scanned.where("kind = 0").select("doc_id", "node", F.col("n").alias("n_shingles"))
     roots = components(_links(docs, scanned))
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    named = nodes.join(least, "root").select("node", "component")
+    least = nodes.groupBy("root").agg(F.min("least").alias("component"), F.min("node").alias("first"))
+    return members, nodes.join(least, "root").select("node", "component", "first")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    members, named = _labelled(docs)
     return members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document of each component whose id is smallest, with all its columns."""
-    stay = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    """The document of each component whose id is smallest, with all its columns.
+
+    Texts are shuffled once, by doc_id. A component without any id keeps a row of one set; rows
+    without id and without words all stay.
+    """
+    members, named = _labelled(docs)
+    named = written(named, "named")
+    stay = members.join(named, "node", "left").where("doc_id = coalesce(component, doc_id)").select("doc_id").distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
+
+    def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts(batch))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+
+    nameless = docs.where("doc_id is null").mapInArrow(noded, schema)
+    unclaimed = named.where("component is null and node = first").select(F.col("node").alias("_node"))
+    single = nameless.join(unclaimed, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
+    return kept.unionByName(single).unionByName(nameless.where("_node is null").drop("_node"))
