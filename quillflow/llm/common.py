@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillflow.session import ship_package
+
 #: A word: a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,8 +22,9 @@ BATCH_BYTES = 4 << 20
 
 
 def arrow_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
-    """Lets Arrow batches carry about `size` bytes at most, which bounds a Python worker's memory."""
+    """Lets Arrow batches carry about `size` bytes at most, which bounds a worker's memory, and ships this package."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    ship_package(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +54,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed and sorted by a key, so that joins on the key don't shuffle it."""
+    spark = df.sparkSession
+    name, parts = f"quillflow_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).format("parquet")
+    writer.option("path", shared_path(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The text column of a batch; nulls become empty texts."""
     return pc.fill_null(batch.column(column), "")

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillflow.llm.common import arrow_batches, mix64, texts, words_of, written
+from quillflow.llm.common import arrow_batches, bucketed, mix64, texts, words_of, written
 from quillflow.llm.graph import components
 
 WORDS = 5
@@ -460,7 +460,7 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
     used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
     owner = scanned.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    sets = written(_sets(docs, owner.join(used, "node", "left_semi").select("doc_id")), "sets")
+    sets = bucketed(_sets(docs, owner.join(used, "node", "left_semi").select("doc_id")), "node")
 
     ends = pairs.select("x", "y", "common").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common"))
     nearest = ends.groupBy("x").agg(F.max(F.struct("common", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y"))
