@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quillflow.functions import dates, fuzzy, money, text
 from quillflow.operators.aggregate import money as total
 from quillflow.plans.registry import query
+from quillflow.session import ship_package
 from quillflow.sources.tables import table
 
 
@@ -287,12 +288,14 @@ def gazetteer_longest(spark, sf_dir):
 @query()
 def fuzzy_ratio(spark, sf_dir):
     """Matched characters of two texts over all their characters."""
+    ship_package(spark)
     return _parts(spark, sf_dir).select("p_partkey", fuzzy.sequence_ratio("p_name", "p_type").alias("ratio"))
 
 
 @query()
 def desc_mismatch(spark, sf_dir):
     """Descriptions whose shared-token ratio is below 45; a blank catalogue text never fits."""
+    ship_package(spark)
     ratio = fuzzy.token_set_ratio("p_name", "p_type")
     rows = _parts(spark, sf_dir).select("p_partkey", ratio.alias("ratio"), (F.trim("p_name") == "").alias("blank"))
     return rows.select("p_partkey", "ratio", (F.col("blank") | (F.col("ratio") < 45)).alias("mismatch"))
@@ -357,7 +360,8 @@ def reconcile_line(spark, sf_dir):
     rate = F.lit(10.0) * (F.col("l_partkey") % 50)
     amount = F.round(rate * F.col("l_quantity") * (1 + (F.col("l_suppkey") % 3) * 0.09), 2)
     quantity = F.when(F.col("l_partkey") % 7 == 0, 1.0).otherwise(F.col("l_quantity"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", money.reconcile(quantity, rate, amount, F.col("l_tax") * 100)["why"].alias("why"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", quantity.alias("q"), rate.alias("r"), amount.alias("a"), (F.col("l_tax") * 100).alias("t"))
+    lines = lines.select("l_orderkey", money.reconcile(F.col("q"), F.col("r"), F.col("a"), F.col("t"))["why"].alias("why"))
     return lines.groupBy("l_orderkey", "why").agg(F.count("*").alias("n"))
 
 
