@@ -96,7 +96,7 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end in _emails(text):
         yield "email", start, end
     for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) < 4 and int(x) < 256 for x in m.groups()):
+        if all(len(y := x.lstrip("0")) < 4 and int(y or "0") < 256 for x in m.groups()):
             yield "ip", m.start(), m.end()
     for m in _CARD.finditer(text):
         if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
