@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -72,16 +72,24 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarra
     return given
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (words) of every document, as a table."""
+def _row_key() -> dict[str, Column]:
+    """128 bits that only rows with the same id, source and text share."""
+    parts = [x for c in ("doc_id", "source", "text") for x in (F.col(c), F.col(c).isNull())]
+    return {f"_key{k}": F.xxhash64(F.lit(SEED + k), *parts) for k in (1, 2)}
+
+
+def sized(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words) and the long columns `keys` of every document, as a table."""
     arrow_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = np.bincount(words_of(texts(batch))[1], minlength=batch.num_rows).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pc.cast(batch.column("source"), pa.string()), pa.array(size)], names=["doc_id", "source", "size"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pc.cast(batch.column("source"), pa.string()), pa.array(size), *(batch.column(k) for k in keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "source", "size", *keys])
 
-    return written(docs.select("doc_id", "text", "source").mapInArrow(count, "doc_id long, source string, size long"), "sized")
+    schema = ", ".join(["doc_id long, source string, size long", *(f"{k} long" for k in keys)])
+    return written(docs.select("doc_id", "text", "source", *keys).mapInArrow(count, schema), "sized")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -105,7 +113,11 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
-    sizes = sized(docs)
+    return _taken(sized(docs), (), block_words, seed)
+
+
+def _taken(sizes: DataFrame, keys: tuple[str, ...], block_words: int, seed: int) -> DataFrame:
+    """The rows of mix_sources with their `keys`, which deal and order rows without id if there are any."""
     goals = written(targets(sizes), "targets")
 
     def share(rows: pd.DataFrame) -> pd.DataFrame:
@@ -118,6 +130,8 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEE
     quotas = written(quotas, "quotas")
 
     place = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    if keys:
+        place = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), *keys)).otherwise(place)
     # Joined by a source's hash code so that a null source matches itself.
     code = F.xxhash64(F.lit(1), F.coalesce("source", F.lit("")), F.col("source").isNull())
     per_source = quotas.select(code.alias("_code"), "source_size", "target", "quota")
@@ -136,7 +150,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEE
     blocks = by_shard.groupBy("_code").applyInPandas(share_shards, "_code long, shard long, words long, blocks long")
     blocks = written(blocks, "blocks")
 
-    ring = Window.partitionBy("_code", "shard").orderBy("_turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ring = Window.partitionBy("_code", "shard").orderBy("_turn", "doc_id", "size", *keys).rowsBetween(Window.unboundedPreceding, -1)
     laid = rows.withColumn("at", F.coalesce(F.sum("size").over(ring), F.lit(0))).join(blocks, ["_code", "shard"])
     wanted, words = F.col("blocks") * block_words, F.greatest("words", F.lit(1))
     rest = wanted % words
@@ -147,14 +161,22 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEE
 
     rounds = ((wanted - rest) / words).cast("long")
     taken = rounds * F.col("size") + overlap(begin, F.least(begin + rest, words)) + overlap(F.lit(0), begin + rest - words)
-    return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *keys)
 
 
 def repeat_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: each document whole as often as its taken words come to, by seeded rounding."""
-    mix = mix_sources(docs, block_words, seed).select(F.col("doc_id").alias("_id"), "size", "taken")
+    """The mixed corpus: each document whole as often as its taken words come to, by seeded rounding.
+
+    Rows are told apart by id, source and text, so rows without id and rows that share one keep counts
+    of their own. Rows that agree in all three share their sum, as evenly as whole rows allow.
+    """
+    keys = tuple(_row_key())
+    keyed = docs.withColumns(_row_key())
+    mix = _taken(sized(keyed, keys), keys, block_words, seed).groupBy(*keys).agg(F.sum("taken").alias("taken"), F.first("size").alias("size"), F.count("*").alias("_rows"))
     times = F.col("taken") / F.greatest("size", F.lit(1))
-    chance = F.pmod(F.xxhash64(F.lit(seed + 3), "_id"), F.lit(1_000_000)) / 1_000_000
-    mix = mix.groupBy("_id").agg(F.max(F.floor(times) + F.when(chance < times - F.floor(times), 1).otherwise(0)).alias("_times"))
-    mixed = docs.join(mix.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return mixed.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_times")
+    chance = F.pmod(F.xxhash64(F.lit(seed + 3), *keys), F.lit(1_000_000)) / 1_000_000
+    mix = mix.select(*keys, "_rows", (F.floor(times) + F.when(chance < times - F.floor(times), 1).otherwise(0)).alias("_sum")).where("_sum > 0")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))
+    mixed = keyed.join(mix, list(keys)).withColumn("_nth", nth)
+    mixed = mixed.withColumn("_times", F.expr("int(_sum div _rows) + int(_nth <= _sum % _rows)")).where("_times > 0")
+    return mixed.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

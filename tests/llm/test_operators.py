@@ -278,6 +278,21 @@ def test_mixing(spark):
         assert abs(taken[s] - target[s]) <= 2 * mixing.BLOCK_WORDS
 
 
+@pytest.mark.parametrize("doc_id", [lambda k: None, lambda k: k // 50])
+def test_rows_without_own_id_are_repeated_by_their_own_counts(spark, doc_id):
+    rng = random.Random(8)
+    rows = [(doc_id(k), " ".join(f"w{k}-{j}" for j in range(rng.randint(1, 9))), "abc"[k % 3]) for k in range(900)]
+    rows += [(doc_id(900), "the same text", "b")] * 30
+    df = docs(spark, rows)
+    target = {r.source: r.target for r in mixing.mix_sources(df).select("source", "target").distinct().collect()}
+    words, times = Counter(), Counter()
+    for r in mixing.repeat_documents(df).collect():
+        words[r.source] += len(r.text.split())
+        times[r.doc_id, r.text] += 1
+    assert all(abs(words[s] - target[s]) < 0.08 * target[s] for s in "abc")
+    assert times.pop((doc_id(900), "the same text")) <= 3 * 30 and max(times.values()) <= 3
+
+
 # Weak supervision
 
 
