@@ -226,13 +226,12 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; of repeated rows of the largest id, one.
 
-    Texts are shuffled once, by doc_id. Of equal texts that have no id at all, one row stays; such rows
+    Texts are shuffled once, by doc_id and digest, so an id that stands on several texts keeps a row of
+    each text it is the largest id of. Of equal texts that have no id at all, one row stays; such rows
     are found by digest.
     """
     keys = keyed(docs)
     index = written(build_index(keys).select("digest", "keep_id"), "index")
-    stay = keys.join(index, "digest").where("doc_id = keep_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,6 +239,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
             found = pa.array(digests(texts(batch)), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_digest"])
 
+    stay = index.where("keep_id is not null").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("_digest"))
+    named = docs.where("doc_id is not null").mapInArrow(hashed, schema)
+    kept = named.join(stay, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
     nameless = docs.where("doc_id is null").mapInArrow(hashed, schema)
     unclaimed = index.where("keep_id is null").select(F.col("digest").alias("_digest"))
-    return kept.unionByName(nameless.join(unclaimed, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest"))
+    return kept.select(docs.columns).unionByName(nameless.join(unclaimed, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest"))

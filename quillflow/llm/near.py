@@ -492,13 +492,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The document of each component whose id is smallest, with all its columns.
 
-    Texts are shuffled once, by doc_id. A component without any id keeps a row of one set; rows
-    without id and without words all stay.
+    Texts are shuffled once, by doc_id and node, so an id that stands on several texts keeps one row in
+    each component where it is the smallest. A component without any id keeps a row of one set; an id
+    keeps one of its rows without words; rows without id and without words all stay.
     """
     members, named = _labelled(docs)
     named = written(named, "named")
-    stay = members.join(named, "node", "left").where("doc_id = coalesce(component, doc_id)").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
 
     def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,6 +505,12 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
             nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts(batch))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
 
+    # `first` tells components apart that have the same smallest id; no words stand as node 0.
+    least = members.join(named, "node").where("doc_id = component").groupBy("first").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node")).drop("first")
+    wordless = members.where("node is null and doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("_node"))
+    stay = least.unionByName(wordless)
+    with_id = docs.where("doc_id is not null").mapInArrow(noded, schema).withColumn("_node", F.coalesce("_node", F.lit(0).cast("long")))
+    kept = with_id.join(stay, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"]).select(docs.columns)
     nameless = docs.where("doc_id is null").mapInArrow(noded, schema)
     unclaimed = named.where("component is null and node = first").select(F.col("node").alias("_node"))
     single = nameless.join(unclaimed, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")

@@ -79,6 +79,13 @@ def test_edge_cases(spark):
     assert near.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_id_on_two_texts(spark):
+    one, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(7, one), (7, other), (7, one + " more"), (7, ""), (8, other + " more"), (9, one), (10, "c"), (10, "")]
+    kept = [(r.doc_id, (r.text or "-")[0]) for r in near.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept) == [(7, "-"), (7, "a"), (7, "b"), (10, "-"), (10, "c")]
+
+
 def test_prefix_shares_a_key():
     """Any two sets at the threshold share a key, whatever tokens are frequent."""
     rng = np.random.default_rng(5)

@@ -114,6 +114,12 @@ def test_dedup_and_update(spark):
     assert sorted((r.keep_id, r.group_size) for r in index.collect()) == [(2, 2), (6, 2), (9, 2), (10, 1)]
 
 
+def test_one_id_on_two_texts(spark):
+    rows = [(7, "A", "s"), (7, "B", "s"), (9, "a", "s"), (9, "a", "s"), (None, "b", "s"), (None, "c", "s"), (None, "C", "s")]
+    kept = sorted(((r.doc_id, r.text.lower()) for r in exact.drop_duplicates(docs(spark, rows)).collect()), key=str)
+    assert kept == [(7, "b"), (9, "a"), (None, "c")]
+
+
 # Quality
 
 
