@@ -15,16 +15,19 @@ def norm_key(value: Column | str) -> Column:
 def queue_match(lines: DataFrame, incoming: DataFrame, keys: list[str], quantity: str, line_order: str, row_order: str) -> DataFrame:
     """Each line offers `quantity` slots of its key; incoming rows claim the next slot in order.
 
-    Slots are numbered by the running quantity, so a line is a range of slots and is never expanded
-    beyond the incoming rows: the join is on the key and a range, with one match per incoming row.
+    Slots are numbered by the running quantity, so a line is a range of slots and is never expanded.
+    Lines and incoming rows of a key are laid in one order by slot, where a row's line is the last one
+    before it: no pairs are tried. Lines without a positive quantity offer nothing.
     """
     w = Window.partitionBy(*keys).orderBy(line_order)
-    upto = F.sum(quantity).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    offers = lines.withColumn("_to", upto).withColumn("_from", upto - F.col(quantity))
-    claims = incoming.withColumn("_slot", F.row_number().over(Window.partitionBy(*keys).orderBy(row_order)))
-    return claims.join(offers, [*[claims[k].eqNullSafe(offers[k]) for k in keys], claims["_slot"] > offers["_from"], claims["_slot"] <= offers["_to"]], "left").select(
-        *[claims[c] for c in incoming.columns], claims["_slot"].cast("long").alias("slot"), offers[line_order]
-    )
+    offers = lines.where(F.col(quantity) > 0).withColumn("_to", F.sum(quantity).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("double"))
+    offers = offers.select(*keys, (F.col("_to") - F.col(quantity) + 1).alias("_slot"), F.struct("_to", F.col(line_order).alias("line")).alias("_offer"))
+    claims = incoming.withColumn("_slot", F.row_number().over(Window.partitionBy(*keys).orderBy(row_order)).cast("double"))
+    claims = claims.select(*keys, "_slot", F.struct(*incoming.columns).alias("_row"))
+    laid = Window.partitionBy(*keys).orderBy("_slot", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = offers.unionByName(claims, allowMissingColumns=True).withColumn("_offer", F.last("_offer", ignorenulls=True).over(laid)).where("_row is not null")
+    line = F.when(F.col("_slot") <= F.col("_offer._to"), F.col("_offer.line"))
+    return met.select("_row.*", F.col("_slot").cast("long").alias("slot"), line.alias(line_order))
 
 
 def positional(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:

@@ -95,7 +95,7 @@ claim AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS row_id, row_n
 
 def _queue_sides(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    offers = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("id").alias("line"), F.least("l_quantity", F.lit(3)).cast("int").alias("qty"))
+    offers = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("k"), F.col("id").alias("line"), F.greatest(F.lit(1), F.col("l_quantity").cast("int")).alias("qty"))
     return offers, lines.where("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("k"), F.col("id").alias("row_id"))
 
 

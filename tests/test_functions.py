@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quillflow.functions import dates, fuzzy, money, text
 from quillflow.operators import joins, merge, rules, window
+from quillflow.plans import joins as plan_joins
 
 
 def one(spark, *columns):
@@ -71,6 +72,19 @@ def test_queue(spark):
         assert [r.line for r in found] == wanted
 
 
+def test_queue_takes_whole_quantities(spark):
+    folder, queues, wanted = "/root/testdata/sf0.001", {}, []
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_suppkey k", "l_orderkey * 10 + l_linenumber id", "l_quantity q", "l_returnflag f").orderBy("id").collect()
+    for r in rows:
+        if r.f == "R":
+            queues.setdefault(r.k, []).extend([r.id] * max(1, int(r.q)))
+    for r in rows:
+        if r.f != "R":
+            wanted.append((r.k, r.id, queues[r.k].pop(0) if queues.get(r.k) else None))
+    found = [(r.k, r.row_id, r.line) for r in plan_joins.enrich_queue(spark, folder).collect()]
+    assert sorted(found, key=str) == sorted(wanted, key=str)
+
+
 def test_sibling_fill_takes_direct_values_only(spark):
     rows = spark.createDataFrame([("h", 1, None), ("h", 2, "B"), ("h", 3, None), ("g", 4, None)], "k string, o int, v string")
     assert [r.out for r in joins.sibling_fill(rows, ["k"], "o", "v", "out").orderBy("o").collect()] == ["B", "B", "B", None]
