@@ -65,7 +65,7 @@ FROM (SELECT *, unnest(range(1, least(l_quantity, 3)::INTEGER + 1)) AS unit FROM
 """)
 def shred_nested(spark, sf_dir):
     """Documents nested as header and lines, shredded to one row per unit and summed."""
-    item = F.struct("l_linenumber", "l_extendedprice", F.least("l_quantity", F.lit(3)).cast("int").alias("qty"))
+    item = F.struct("l_linenumber", "l_extendedprice", F.greatest(F.lit(1), F.col("l_quantity").cast("int")).alias("qty"))
     nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # bounded by a document's lines
     units = nested.select("l_orderkey", F.explode("items").alias("i")).select("l_orderkey", "i.*", F.explode(F.sequence(F.lit(1), F.col("i.qty"))).alias("unit"))
     return units.groupBy("l_orderkey", F.col("unit").cast("long").alias("unit")).agg(F.count("*").alias("n"), total("l_extendedprice").alias("amount"))

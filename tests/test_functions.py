@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillflow.functions import dates, fuzzy, money, text
 from quillflow.operators import joins, merge, rules, window
 from quillflow.plans import joins as plan_joins
+from quillflow.plans import scalars
 
 
 def one(spark, *columns):
@@ -100,3 +101,13 @@ def test_merge_scope(spark):
     new = spark.createDataFrame([("a", 1, 50), ("a", 3, 60)], "g string, k int, v int")
     found = merge.upsert_soft_delete(old, new, ["g", "k"], ["v"], "g")
     assert sorted(map(tuple, found.collect())) == [("a", 1, 50, True), ("a", 2, 6, False), ("a", 3, 60, True), ("b", 1, 7, False)]
+
+
+def test_shred_nested_has_a_row_for_each_unit(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_quantity").collect()
+    wanted = {}
+    for r in rows:
+        for unit in range(1, max(1, int(r.l_quantity)) + 1):
+            wanted[r.l_orderkey, unit] = wanted.get((r.l_orderkey, unit), 0) + 1
+    assert {(r.l_orderkey, r.unit): r.n for r in scalars.shred_nested(spark, folder).collect()} == wanted
