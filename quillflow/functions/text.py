@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: Characters that readers confuse, each with the one it stands for.
 CONFUSED, STANDS_FOR = "|81L26", "IBIIZG"
 
+#: Groups of characters that stand for one another in vendor codes, each by its first.
+CODE_GROUPS = ("0OUD", "1ILJF^|!", "2Z", "5S", "6G", "8B", "9P")
+
 
 def collapse(value: Column) -> Column:
     """Lower case, trimmed, white space collapsed."""
@@ -24,6 +27,14 @@ def canonical(value: Column) -> Column:
     return F.translate(F.upper(value), CONFUSED, STANDS_FOR)
 
 
+def confusable_score(a: Column, b: Column) -> Column:
+    """Equal characters at equal places as far as both texts go, those of one group counted as equal."""
+    known, first = "".join(CODE_GROUPS), "".join(g[0] * len(g) for g in CODE_GROUPS)
+    shorter = F.least(F.length(a), F.length(b))
+    left, right = (F.slice(F.split(F.translate(F.upper(x), known, first), ""), F.lit(1), shorter) for x in (a, b))
+    return F.aggregate(F.zip_with(left, right, lambda x, y: (x == y).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+
+
 def word_cap(value: Column, limit: int) -> Column:
     """At most `limit` characters, cut at a word's end where there is one."""
     cut = F.regexp_replace(F.substring(value, 1, limit), r"\s+\S*\z", "")

@@ -187,9 +187,7 @@ SELECT p_partkey, list_sum(list_transform(range(1, 9), lambda i: (substr(transla
 """)
 def confusable_score(spark, sf_dir):
     """Equal characters at equal places, confusable ones counted as equal."""
-    chars = lambda c: F.split(text.canonical(F.rpad(c, 8, " ")), "")
-    same = F.zip_with(F.slice(chars("p_name"), 1, 8), F.slice(chars("p_type"), 1, 8), lambda a, b: (a == b).cast("long"))
-    return _parts(spark, sf_dir).select("p_partkey", F.aggregate(same, F.lit(0).cast("long"), lambda x, y: x + y).alias("score"))
+    return _parts(spark, sf_dir).select("p_partkey", text.confusable_score(F.col("p_name"), F.col("p_type")).alias("score"))
 
 
 @query(r"SELECT doc_id, regexp_extract(text, '(?i)license(?:d under| [^\n]*?version)\s+(?:the\s+)?([A-Za-z0-9. ]+)', 1) AS value FROM documents WHERE contains(text, 'icense')")

@@ -111,3 +111,8 @@ def test_shred_nested_has_a_row_for_each_unit(spark):
         for unit in range(1, max(1, int(r.l_quantity)) + 1):
             wanted[r.l_orderkey, unit] = wanted.get((r.l_orderkey, unit), 0) + 1
     assert {(r.l_orderkey, r.unit): r.n for r in scalars.shred_nested(spark, folder).collect()} == wanted
+
+
+@pytest.mark.parametrize(("a", "b", "wanted"), [("T9MGoR", "TPMGUR", 6), ("ABCDEFGHIJK", "abcdefghiLk", 11), ("AB", "ABC", 2), ("A ", "A", 1), ("", "", 0), ("5S0|", "s5Uf", 4), ("A", "B", 0)])
+def test_confusable_score(spark, a, b, wanted):
+    assert one(spark, text.confusable_score(F.lit(a), F.lit(b)))[0] == wanted
