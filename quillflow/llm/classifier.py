@@ -3,12 +3,16 @@
 Every document is voted on by heuristics about symbols, capitals, repetition, tables and function
 words; no labels are read. Votes are counted per distinct vote row over all documents in Spark (at
 most 3 ** labellers rows reach the driver), and expectation-maximisation estimates the labellers'
-accuracies. Posterior labels of at most TRAIN_ROWS documents, picked by a fixed hash order, train a
-logistic regression on 2**BITS hashed counts of byte 4-grams and word-shape marks; it scores
-every whole text. A document is kept when its score is at least KEEP_SCORE.
-
-Defined cases: null or empty texts vote nothing, have no features and are scored by the bias; repeated
-rows are each scored; an empty table gives no rows; other columns are ignored.
+rates in both classes; the class of bad texts is a mixture of kinds of faults (`weak`), as labellers
+that see one kind agree too often to be told from the class otherwise. Posterior labels of about
+`train_rows` documents, drawn by a fixed hash threshold, train a logistic regression on 2**BITS hashed
+features: counts of byte 4-grams, and one feature for the range in which each shape ratio of the text
+lies. The labellers' votes are no features. It scores every whole text; a document is kept when its
+score is at least KEEP_SCORE.
+
+Defined cases: null or empty texts vote nothing, have no features but their shape and are judged by
+that; very long texts are read whole; equal texts get equal scores; repeated rows are each scored; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,25 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm import weak
-from quillflow.llm.common import arrow_batches, is_in, raw_bytes, texts
+from quillflow.llm.common import arrow_batches, mix64, raw_bytes, texts, words_of
 from quillflow.llm.quality import base_counts, gram_buckets
 
 TRAIN_ROWS = 4_000
 BITS = 12
-MARKS = 8
 SCALE = 20.0
 #: Words under which a text is too short to be faulted for repetition or shape.
 SHORT = 50
 #: Grams that a short text counts as at least, so that a few rare ones do not decide.
 LEAST = 500
 KEEP_SCORE = 0.4
+#: Weight of a shape feature beside a gram's share, and the ends of the ranges of each ratio (see `ratios`).
+SHAPE = 0.5
+EDGES = (
+    (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.8), (0.02, 0.05, 0.1, 0.25, 0.4, 0.6, 0.8), (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75), (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75),
+    (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.6), (0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.8), (2, 3, 4.5, 6, 7.5, 9, 12), (0.01, 0.03, 0.06, 0.1, 0.25, 0.5, 0.7), (1, 5, 20, 50, 150, 600, 2000), (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.6), (0.3, 0.5, 0.65, 0.72, 0.8, 0.85, 0.93),
+)
 
 SCORES = "doc_id long, score double, posterior double, kept boolean"
-LABELLERS = ("symbols", "capitals", "repetition", "duplicate lines", "bars", "exclamations", "word length", "sentences")
+LABELLERS = ("symbols", "capitals", "repetition", "duplicate lines", "bars", "exclamations", "word length", "sentences", "echoes", "letters")
 
 
 def ratios(array: pa.Array) -> np.ndarray:
-    """Per text: shares of symbols, capitals, repeated words, duplicate lines, bars, exclamation marks, the mean word length, full stops a word, the number of words."""
+    """Per text: shares of symbols, capitals, repeated words, duplicate lines, bars, exclamation marks, the mean word length, full stops a word, the number of words, the share of words that repeat the word before, the share of letters among bytes that aren't white space."""
     n = len(array)
     base = base_counts(array)
     data, offsets = raw_bytes(array)
@@ -53,9 +62,14 @@ def ratios(array: pa.Array) -> np.ndarray:
     lines = np.maximum(1, pc.count_substring(array, "\n").to_numpy(zero_copy_only=False) + 1)
     upper, lower = share((data >= 65) & (data <= 90)), share((data >= 97) & (data <= 122))
     stops = share(data == 46)
+    letters = upper + lower + share(data >= 128)
+    chunks, parent = words_of(array)
+    code = chunks.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    echoes = np.bincount(parent[1:][(code[1:] == code[:-1]) & (parent[1:] == parent[:-1])], minlength=n)
     return np.stack([
         base["n_symbols"] / words, upper / np.maximum(1, upper + lower), base["n_repeat_words"] / words, base["n_dup_lines"] / lines,
         share(data == 124) / words, share(data == 33) / words, base["word_chars"] / words, stops / words, base["n_words"],
+        echoes / words, letters / np.maximum(1, share(data > 32)),
     ], axis=1)
 
 
@@ -65,11 +79,12 @@ def votes_of(r: np.ndarray, sized: np.ndarray) -> np.ndarray:
     def vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
         return np.where(bad, weak.NO, np.where(good, weak.YES, weak.ABSTAIN))
 
-    symbols, capitals, repeats, lines, bars, shouts, length, stops, words = r.T
+    symbols, capitals, repeats, lines, bars, shouts, length, stops, words, echoes, letters = r.T
     enough = words >= SHORT
     votes = np.stack([
         vote(symbols > 0.5, symbols < 0.05), vote(capitals > 0.5, capitals < 0.25), vote((repeats > 0.5) & enough, repeats < 0.2), vote((lines > 0.5) & enough, lines < 0.2),
         vote(bars > 0.3, bars < 0.02), vote(shouts > 0.5, shouts < 0.05), vote((length > 12) & enough, (length > 2) & (length < 9)), vote((stops > 0.6) & enough, (stops > 0.01) & (stops < 0.5)),
+        vote((echoes > 0.3) & enough, echoes < 0.05), vote(letters < 0.72, letters > 0.85),
     ], axis=1)
     return np.where(sized[:, None], votes, weak.ABSTAIN)
 
@@ -91,9 +106,11 @@ def _grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return head[inside], gram_buckets(data, BITS)[inside], np.bincount(head[inside], minlength=len(array))
 
 
-def _marks(r: np.ndarray) -> np.ndarray:
-    """Word-shape marks: which labellers see their kind of fault."""
-    return (votes_of(r, r[:, 6] > 0) == weak.NO).astype(float)
+def _shapes(r: np.ndarray) -> np.ndarray:
+    """texts x ratios: the bucket of each ratio's range."""
+    ranges = np.stack([np.digitize(r[:, k], edges) for k, edges in enumerate(EDGES)], axis=1)
+    number = (16 * np.arange(len(EDGES)) + ranges + 1).astype(np.uint64)
+    return (mix64(number * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
 def fit_labels(docs: DataFrame) -> weak.LabelModel:
@@ -111,43 +128,38 @@ def fit_labels(docs: DataFrame) -> weak.LabelModel:
     rows = docs.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toPandas()
     if not len(rows):
         rows = rows.reindex([0]).fillna(0)
-    return weak.fit(_decode(rows["code"].to_numpy(np.int64)), rows["n"].to_numpy(float), prior=0.8, veto=True)
+    votes = _decode(rows["code"].to_numpy(np.int64))
+    return weak.fit(votes, rows["n"].to_numpy(float), np.where((votes == weak.NO).any(axis=1), 0.1, 0.95), said=weak.NO)
 
 
-def train(docs: DataFrame, model: weak.LabelModel) -> np.ndarray:
-    """Weights of buckets, marks and bias, from posterior labels of a bounded sample."""
-    spark = docs.sparkSession
-    key = F.crc32(F.col("doc_id").cast("string"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(key, "doc_id").limit(TRAIN_ROWS).toPandas()["doc_id"]
-    sample = spark.sparkContext.broadcast(np.sort(ids.to_numpy(np.int64)))
+def train(docs: DataFrame, model: weak.LabelModel, train_rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Weights of the buckets and the bias, from posterior labels of about `train_rows` documents."""
+    drawn = F.pmod(F.xxhash64(F.lit(10), "doc_id", "text"), F.lit(1 << 30)) < int(min(1.0, train_rows / max(1, docs.count())) * (1 << 30))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chosen = is_in(batch.column("doc_id"), sample.value)
-            if not chosen.any():
-                continue
-            array = texts(batch).filter(pa.array(chosen))
+            array = texts(batch)
             r = ratios(array)
             owner, bucket, grams = _grams(array)
             counts = np.bincount(owner * (1 << BITS) + bucket, minlength=len(array) << BITS).reshape(len(array), -1)
-            x = (SCALE * counts / np.maximum(LEAST, grams)[:, None]).astype(np.float16)
+            x = SCALE * counts / np.maximum(LEAST, grams)[:, None]
+            np.add.at(x, (np.arange(len(array))[:, None], _shapes(r)), SHAPE)
             code = _code(votes_of(r, r[:, 6] > 0))
-            rows = [np.concatenate((a, b)).astype(np.float16).tobytes() for a, b in zip(x, _marks(r), strict=True)]
-            yield pa.RecordBatch.from_pydict({"code": code, "x": pa.array(rows, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"code": code, "x": pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())})
 
-    rows = docs.select("doc_id", "text").mapInArrow(read, "code long, x binary").toPandas()
+    rows = docs.where(drawn).select("text").mapInArrow(read, "code long, x binary").toPandas()
     if not len(rows):
-        return np.zeros((1 << BITS) + MARKS + 1)
-    x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32)
+        return np.zeros((1 << BITS) + 1)
+    x = np.stack([np.frombuffer(v, np.float16) for v in rows["x"]]).astype(np.float32).view(weak.Dense)
     soft = model.posterior(_decode(rows["code"].to_numpy(np.int64)))
     weight = np.where(soft >= 0.5, 0.5 / max(1.0, (soft >= 0.5).sum()), 0.5 / max(1.0, (soft < 0.5).sum()))
     return weak.logistic(x, soft, weight, penalty=1e-5)
 
 
-def quality_classes(docs: DataFrame) -> DataFrame:
+def quality_classes(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, score, posterior (of the labellers alone) and kept of every document."""
     model = fit_labels(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((model, train(docs, model)))
+    shared = docs.sparkSession.sparkContext.broadcast((model, train(docs, model, train_rows)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model_, w = shared.value
@@ -155,7 +167,7 @@ def quality_classes(docs: DataFrame) -> DataFrame:
             array = texts(batch)
             r = ratios(array)
             owner, bucket, grams = _grams(array)
-            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams) + _marks(r) @ w[1 << BITS : -1]
+            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams) + SHAPE * w[_shapes(r)].sum(axis=1)
             value = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             posterior = model_.posterior(votes_of(r, r[:, 6] > 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(value), pa.array(posterior), pa.array(value >= KEEP_SCORE)], names=["doc_id", "score", "posterior", "kept"])
