@@ -7,23 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a range that one task numbers, and ranges at most (so a bounded table is broadcast).
+PART_ROWS = 1_000_000
+MOST_PARTS = 1_024
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first n rows of each key in an order."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col("_rn") <= n).drop("_rn")
 
 
-def global_row_number(df: DataFrame, order: str, out: str, start: int = 1) -> DataFrame:
-    """Dense numbers over all rows in an order without bringing them to one task.
+def range_bounds(df: DataFrame, order: str, part_rows: int = PART_ROWS) -> list:
+    """Values of a column that part its rows into ranges of about `part_rows`, MOST_PARTS ranges at most.
+
+    They are taken from the distinct values that a hash picks, about 16 a range, which reach the driver.
+    """
+    n = df.count()
+    parts = min(MOST_PARTS, n // part_rows + 1)
+    if parts == 1:
+        return []
+    drawn = F.pmod(F.xxhash64(order), F.lit(max(1, n // (16 * parts)))) == 0
+    values = [r[0] for r in df.select(order).where(drawn & F.col(order).isNotNull()).distinct().orderBy(order).limit(64 * parts).collect()]
+    return values[:: max(1, -(-len(values) // parts))][1:]
+
+
+def global_row_number(df: DataFrame, order: str, out: str, start: int = 1, part_rows: int = PART_ROWS) -> DataFrame:
+    """Dense numbers over all rows in the order of a key, nulls first, without bringing them to one task.
 
-    Rows are range-partitioned; each range numbers its own, and the ranges' sizes, one row each, are
-    added up before; that table is broadcast, as it has no more rows than the session has partitions.
+    A row's range follows from its value and bounds taken once, so both uses of the rows agree on it
+    whatever plan, partitions or retries there are. Each range numbers its own rows, and the ranges'
+    sizes, one row each, are added up before. The rows shuffle once, by range. Rows of equal value follow
+    each other in any order and share a range, so the column should be a key.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(order)
+    bounds = range_bounds(df, order, part_rows)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", part)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = ranged.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(offsets), "_part")
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order))).join(F.broadcast(offsets), "_part")
     return numbered.withColumn(out, F.col("_before") + F.col("_rn") + F.lit(start - 1)).drop("_part", "_rn", "_before")
 
 
