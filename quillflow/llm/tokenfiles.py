@@ -1,20 +1,22 @@
 """Token-id shard files with a minimal perfect hash index for constant-time access by document key.
 
 A shard file holds, little-endian: the magic and seven counts; the keys of its documents in ascending
-order (int64, nulls first as the lowest value); n + 1 offsets in ids (int64); one displacement per
-bucket (int32) and, per hash slot, a 32-bit fingerprint and the key's first row (uint32): the minimal
-perfect hash over the distinct keys; then the raw ids (uint16 when the vocabulary allows, else
-uint32). A key hashes to a bucket, the bucket's displacement to a slot; the fingerprint rejects other
+order (int64, first those without a key, as 0, whose number is a count); n + 1 offsets in ids (int64);
+one displacement per bucket (int32) and, per hash slot, a 32-bit fingerprint and the key's first row
+(uint32): the minimal perfect hash over the distinct keys; then the raw ids (uint16 when the vocabulary
+allows, else uint32). A key hashes to a bucket, the bucket's displacement to a slot; the fingerprint rejects other
 keys, and the row's two offsets give the payload: no search and no scan.
 
-Writing: documents are range-partitioned by doc_id and sorted; a task writes shards of about
+Writing: documents are range-partitioned by doc_id, then a hash of the text, and sorted, so rows without an id or of
+one id spread over tasks; a task writes shards of about
 `SHARD_IDS` ids through the file system that the shared folder's address names. File names are new for
 each attempt and only the manifest that Spark commits counts, so lost or repeated tasks leave at most
 unused files. Reading goes through Spark's binaryFile source.
 
-Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id follow each other
-and the index points at the first; null ids come first; an empty table writes no shard; other columns
-are ignored.
+Defined cases: a null or empty text is its end id alone; rows that repeat a doc_id follow each other in
+the order of their texts' hashes and a shard's index points at the first there; null ids come
+first and are in no index; an empty table writes no shard; very long texts are written whole; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +35,10 @@ from pyspark.sql import functions as F
 from quillflow.llm.common import arrow_batches, mix64, running_total, shared_path, texts, written
 from quillflow.llm.encode import encoder
 
-MAGIC = b"QFTOKEN1"
+MAGIC = b"QFTOKEN2"
 SHARD_IDS = 4 << 20
 END_ID = 0
-NULL_KEY = -(2**63)
-_HEAD = struct.Struct("<8s7q")
+_HEAD = struct.Struct("<8s6q")
 _MANIFEST = "part int, seq int, name string, first_key long, last_key long, n_docs long, n_ids long"
 
 
@@ -95,13 +96,13 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return shift, prints, rows
 
 
-def shard_bytes(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard file of documents in ascending key order."""
+def shard_bytes(keys: np.ndarray, nulls: int, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A shard file of documents in ascending key order, the first `nulls` of which have no key."""
     wide = 4 if len(ids) and int(ids.max()) > 0xFFFF else 2
-    shift, prints, rows = build_index(keys)
-    head = _HEAD.pack(MAGIC, len(keys), len(prints), len(shift), len(ids), wide, int(keys[0]), int(keys[-1]))
+    shift, prints, rows = build_index(keys[nulls:])
+    head = _HEAD.pack(MAGIC, len(keys), nulls, len(prints), len(shift), len(ids), wide)
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype("<i8")
-    parts = (keys.astype("<i8"), offsets, shift.astype("<i4"), prints.astype("<u4"), rows.astype("<u4"), ids.astype(f"<u{wide}"))
+    parts = (keys.astype("<i8"), offsets, shift.astype("<i4"), prints.astype("<u4"), (rows + np.uint32(nulls)).astype("<u4"), ids.astype(f"<u{wide}"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
@@ -109,7 +110,7 @@ class Shard:
     """A shard file's parts as views of its bytes; `get` returns a key's ids or None."""
 
     def __init__(self, data: bytes | memoryview):
-        magic, n, distinct, buckets, total, wide, self.first, self.last = _HEAD.unpack_from(data)
+        magic, n, self.nulls, distinct, buckets, total, wide = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
         at = _HEAD.size
@@ -121,6 +122,8 @@ class Shard:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The first row of each key, -1 when the fingerprint or the key there is another's."""
+        if not len(self.prints):
+            return np.full(len(keys), -1)
         hashed = _hashes(keys)
         bucket = (hashed >> np.uint64(33)).astype(np.int64) % len(self.shift)
         slot = _slots(hashed, self.shift[bucket].astype(np.int64), len(self.prints))
@@ -152,11 +155,13 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, lengths, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys, lengths, ids = (np.concatenate(c) for c in list(zip(*held, strict=True))[:3])
+            nulls = sum(h[3] for h in held)
             name = f"{part:07d}-{seq:05d}-{uuid.uuid4().hex}.tok"
             with files.open_output_stream(f"{top}/{name}") as out:
-                out.write(shard_bytes(keys, lengths, ids))
-            row = (part, seq, name, int(keys[0]), int(keys[-1]), len(keys), len(ids))
+                out.write(shard_bytes(keys, nulls, lengths, ids))
+            first, last = (int(keys[nulls]), int(keys[-1])) if nulls < len(keys) else (None, None)
+            row = (part, seq, name, first, last, len(keys), len(ids))
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             names = ["part", "seq", "name", "first_key", "last_key", "n_docs", "n_ids"]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
@@ -164,19 +169,19 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = batch.column("doc_id").cast(pa.int64()).fill_null(NULL_KEY).to_numpy()
+            keys = batch.column("doc_id").cast(pa.int64())
             ids, offsets = encoder(tokenizer, True).encode(texts(batch))
             ids = np.insert(ids, offsets[1:], np.uint32(END_ID))
-            if not held or len(keys):
-                held.append((keys, np.diff(offsets) + 1, ids.astype(np.uint16) if not len(ids) or ids.max() <= 0xFFFF else ids))
-                size += len(ids)
+            held.append((keys.fill_null(0).to_numpy(), np.diff(offsets) + 1, ids.astype(np.uint16) if ids.max() <= 0xFFFF else ids, keys.null_count))
+            size += len(ids)
             if size >= shard_ids:
                 yield flush()
                 seq, held, size = seq + 1, [], 0
         if held:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc())
+    ordered = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     return folder, written(ordered.mapInArrow(write, _MANIFEST), "manifest")
 
 
@@ -190,13 +195,14 @@ def read_shards(folder: str, manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 shard = Shard(content.as_buffer())
-                again = np.concatenate(([False], shard.keys[1:] == shard.keys[:-1]))
-                row = np.where(again, np.arange(len(again)), shard.find(shard.keys))  # repeated keys follow their first row
+                at = np.arange(len(shard.keys))
+                again = np.concatenate(([False], shard.keys[1:] == shard.keys[:-1])) & (at != shard.nulls) | (at < shard.nulls)
+                row = np.where(again, at, shard.find(shard.keys))  # repeated keys follow their first row
                 if (row < 0).any():
                     raise ValueError(f"a key of {path} is not in its index")
                 low, high = shard.offsets[row], shard.offsets[row + 1]
                 crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(low, high, strict=True)]
-                ids = pa.array(shard.keys, mask=shard.keys == NULL_KEY)
+                ids = pa.array(shard.keys, mask=at < shard.nulls)
                 name = pa.array([path.rsplit("/", 1)[-1]] * len(row), pa.string())
                 yield pa.RecordBatch.from_arrays([name, ids, pa.array(low), pa.array(high - low), pa.array(crc, pa.int64())], names=["name", "doc_id", "low", "n_tokens", "ids_crc32"])
 
