@@ -8,10 +8,20 @@ from pyspark.sql import functions as F
 #: Accepted spellings, tried in this order.
 FORMATS = ("dd-MM-yyyy", "dd-MMM-yy", "MMM d, yyyy", "yyyy-MM-dd", "dd/MM/yyyy")
 
+#: These and the spellings with dots, full month names and four-digit years.
+ALL_FORMATS = (*FORMATS, "dd.MM.yyyy", "d MMMM yyyy", "MMMM d, yyyy", "dd-MMM-yyyy", "dd MMM yyyy")
 
-def normalize(value: Column) -> Column:
+
+def normalize(value: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """`dd-MM-yyyy` of the first format that fits, blank if none does."""
-    tries = [F.try_to_timestamp(value, F.lit(f)) for f in FORMATS]
+
+    def parsed(form: str) -> Column:
+        found = F.try_to_timestamp(value, F.lit(form))
+        if "yyyy" in form:
+            return found
+        return F.when(F.year(found) >= 2069, found - F.expr("INTERVAL 100 YEARS")).otherwise(found)  # two digits: 1969 to 2068
+
+    tries = [parsed(f) for f in formats]
     return F.coalesce(F.date_format(F.coalesce(*tries), "dd-MM-yyyy"), F.lit(""))
 
 

@@ -15,18 +15,36 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a row of the table at a time as bits of one number."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    whole = (1 << len(a)) - 1
+    row = whole
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = ((row + hit) | (row - hit)) & whole
+    return len(a) - row.bit_count()
+
+
 def token_set(a: str, b: str) -> float:
-    """Best ratio (0 to 100) among the shared tokens and the shared tokens with either side's rest."""
+    """Best likeness (0 to 100) of the shared tokens, and the shared tokens with either side's rest, to one another.
+
+    Likeness: 100 less the share of characters to insert or delete. A side without a rest is wholly shared.
+    """
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
-    both = " ".join(sorted(x & y))
-    left = " ".join(filter(None, (both, " ".join(sorted(x - y)))))
-    right = " ".join(filter(None, (both, " ".join(sorted(y - x)))))
-    if both and (both in (left, right)):
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and not (left and right):
         return 100.0
-    pairs = [(left, right)] + ([(both, left), (both, right)] if both else [])
-    return 100 * max(ratio(p, q) for p, q in pairs)
+    gap = bool(both)
+    n, m = len(both) + gap + len(left), len(both) + gap + len(right)
+    found = 1 - (len(left) + len(right) - 2 * common(left, right)) / (n + m)
+    if both:
+        found = max(found, 1 - (1 + len(left)) / (len(both) + n), 1 - (1 + len(right)) / (len(both) + m))
+    return 100 * found
 
 
 def _sequence(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -20,20 +20,37 @@ def nearest_slab(rate: Column) -> Column:
     return F.array_min(F.transform(slabs, lambda s: F.struct(F.abs(s - rate).alias("d"), s.alias("s"))))["s"]
 
 
-def reconcile(quantity: Column, rate: Column, amount: Column, tax: Column) -> Column:
-    """(quantity, rate, amount, why) of a line after checks against tax-inclusive and misread values."""
+#: What `reconcile_code` says.
+REASONS = ("free", "incomplete", "agrees", "amount held tax", "rate held tax", "quantity misread", "rate misread", "discount")
+
+
+def reconcile_code(quantity: Column, rate: Column, amount: Column, tax: Column) -> Column:
+    """Number of the reason (REASONS) that explains a line, by the first check that holds; numbers only, no structs."""
     product = quantity * rate
     near = F.greatest(F.lit(0.5), amount * 0.0005)
     wide = F.greatest(near, amount * 0.001)
-    row = lambda q, r, a, why: F.struct(q.alias("quantity"), r.alias("rate"), a.alias("amount"), F.lit(why).alias("why"))
-    out = F.when((amount == 0) & (rate > 0), row(quantity, F.lit(0.0), amount, "free"))
-    out = out.when(~F.coalesce((quantity > 0) & (rate > 0) & (amount > 0), F.lit(False)), row(quantity, rate, amount, "incomplete"))
-    out = out.when(F.abs(product - amount) <= near, row(quantity, rate, amount, "agrees"))
+    out = F.when((amount == 0) & (rate > 0), 0).when(~F.coalesce((quantity > 0) & (rate > 0) & (amount > 0), F.lit(False)), 1).when(F.abs(product - amount) <= near, 2)
     for slab in (F.when((tax > 0) & (tax <= 40), tax), *map(F.lit, SLABS)):
         factor = 1 + slab / 100
-        out = out.when(F.abs(product * factor - amount) <= wide, row(quantity, rate, F.round(product, 2), "amount held tax"))
-        out = out.when(F.abs(product / factor - amount) <= wide, row(quantity, F.round(amount / quantity, 2), amount, "rate held tax"))
+        out = out.when(F.abs(product * factor - amount) <= wide, 3).when(F.abs(product / factor - amount) <= wide, 4)
     whole = F.round(amount / rate)
     misread = (product < 0.98 * amount) & (quantity == 1) & (F.abs(amount / rate - whole) <= 0.005) & whole.between(2, 100)
-    out = out.when(misread, row(whole, rate, amount, "quantity misread"))
-    return out.when(product < 0.98 * amount, row(quantity, F.round(amount / quantity, 2), amount, "rate misread")).otherwise(row(quantity, rate, amount, "discount"))
+    return out.when(misread, 5).when(product < 0.98 * amount, 6).otherwise(7)
+
+
+def reason(code: Column) -> Column:
+    """The name of a reason's number."""
+    return F.element_at(F.array(*map(F.lit, REASONS)), code + 1)
+
+
+def reconcile(quantity: Column, rate: Column, amount: Column, tax: Column) -> Column:
+    """(quantity, rate, amount, why) of a line after checks against tax-inclusive and misread values.
+
+    Each value is built once, from the reason's number.
+    """
+    code = reconcile_code(quantity, rate, amount, tax)
+    fixed_rate = F.when(code == 0, 0.0).when(code.isin(4, 6), F.round(amount / quantity, 2)).otherwise(rate)
+    return F.struct(
+        F.when(code == 5, F.round(amount / rate)).otherwise(quantity).alias("quantity"), fixed_rate.alias("rate"),
+        F.when(code == 3, F.round(quantity * rate, 2)).otherwise(amount).alias("amount"), reason(code).alias("why"),
+    )

@@ -28,8 +28,8 @@ def zero_filled_counts(dimension: DataFrame, fact: DataFrame, key: str, counted:
 def mode_first(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
     """The most frequent value per key; of equal counts the one seen first in `order`."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
-    best = counts.groupBy(*keys).agg(F.max("n").alias("n"))
-    return counts.join(best, [*keys, "n"]).groupBy(*keys, "n").agg(F.min_by(value, "first").alias(value))
+    best = F.min(F.struct((-F.col("n")).alias("n"), "first", value)).alias("_best")
+    return counts.groupBy(*keys).agg(best).select(*keys, (-F.col("_best.n")).alias("n"), F.col(f"_best.{value}").alias(value))
 
 
 def char_vote(df: DataFrame, keys: list[str], reading: str, order: str) -> DataFrame:
@@ -54,3 +54,20 @@ def batch_label(df: DataFrame) -> Column:
         .when(F.col("pending") > 0, "DOWNLOADED")
         .otherwise("CREATED")
     )
+
+
+def tier_label(reincluded: Column, downloaded: Column) -> Column:
+    """Label of a batch by its counts (total, excluded, loaded, posted, completed, rejected), by the first rule that holds."""
+    total, excluded, loaded, posted, completed = (F.col(c) for c in ("total", "excluded", "loaded", "posted", "completed"))
+    reached, counted = loaded + posted + completed, total - excluded
+    cleared = reached + F.col("rejected")
+    tier = F.when(loaded > 0, "LOADED").when(posted > 0, "POSTED").otherwise("COMPLETED")
+    return (
+        F.when((total > 0) & (excluded == total), "EXCLUDED")
+        .when((total > 0) & (completed + excluded == total), "COMPLETED")
+        .when((counted > 0) & (reached > 0) & (cleared == counted), tier)
+        .when(reincluded, "DOWNLOADED")
+        .when(cleared > 0, "IN PROGRESS")
+        .when(downloaded, "DOWNLOADED")
+        .otherwise("CREATED")
+    )

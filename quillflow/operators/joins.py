@@ -40,9 +40,13 @@ def positional(left: DataFrame, right: DataFrame, keys: list[str], left_order: s
 
 
 def sibling_fill(df: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
-    """Null values take the value of the first row of the same keys that has one of its own."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.withColumn(out, F.coalesce(value, F.first(value, ignorenulls=True).over(w)))
+    """Null values take the value of the first row of the same keys that has one of its own.
+
+    The first values are one row per key, found with partial aggregates, so a hot key is not gathered.
+    Rows with a null among the keys have no siblings.
+    """
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias("_sibling"))
+    return df.join(own, keys, "left").withColumn(out, F.coalesce(value, "_sibling")).drop("_sibling")
 
 
 def unique_or_null(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -54,3 +58,31 @@ def jaccard(a: Column, b: Column) -> Column:
     """Share of two label sets' union in both; zero when the union is empty."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def first_of(rows: DataFrame, formats: DataFrame, key: str) -> DataFrame:
+    """(id, fid): for each row the first format with its key. Formats are reduced to one a key before the join."""
+    return rows.select("id", key).join(formats.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("fid").alias("fid")), key).select("id", "fid")
+
+
+def best_overlap(rows: DataFrame, formats: DataFrame, least: float) -> DataFrame:
+    """(id, fid, score): for each row the format of the best Jaccard of label sets from `least` on, the first of equals.
+
+    Sets of n and m labels can only reach it with `least` n common labels, so of each set's labels in one
+    fixed order (rare ones first) some label of the first n - ceil(least n) + 1 is common: both sides are
+    joined on these alone, equal sets first reduced to one each.
+    """
+    sets = rows.select("labels").distinct()
+    best = formats.groupBy("labels").agg(F.min("fid").alias("fid"))
+    counts = sets.unionByName(best.select("labels")).select(F.explode("labels").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        ranked = df.select("labels", F.explode("labels").alias("t")).join(counts, "t").groupBy("labels").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))  # bounded by the set
+        size = F.size("labels")
+        return ranked.select("labels", F.explode(F.slice("o", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("x")).select("labels", "x.t")
+
+    a, b = prefixes(sets).withColumnRenamed("labels", "x"), prefixes(best.select("labels")).withColumnRenamed("labels", "y")
+    near = (F.size("x") >= least * F.size("y") - 1e-9) & (F.size("y") >= least * F.size("x") - 1e-9)
+    scored = a.join(b, "t").where(near).select("x", "y").distinct().withColumn("score", jaccard(F.col("x"), F.col("y")))
+    found = scored.where(F.col("score") >= least).join(best, F.col("y") == F.col("labels")).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "fid")).alias("f"))
+    return rows.join(found, F.col("labels") == F.col("x")).select("id", "f.fid", (-F.col("f.s")).alias("score"))

@@ -39,3 +39,24 @@ def patch_by_position(old: DataFrame, new: DataFrame, parent: str, old_order: st
     b = new.select(parent, F.col(column).alias("_new"), F.row_number().over(Window.partitionBy(parent).orderBy(new_order)).alias("_pos"))
     use = F.col("_new").isNotNull() & (F.trim("_new") != "")
     return a.join(b, [parent, "_pos"], "left").withColumn(column, F.when(use, F.col("_new")).otherwise(F.col(column))).drop("_new", "_pos")
+
+
+def absorb(rows: DataFrame, moves: DataFrame, key: str, values: list[str], children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, children) after each shell's values went over its target's, blanks never, and its children to the target.
+
+    moves: (shell, target), each shell once. Shells are dropped.
+    """
+    given = moves.join(rows.select(F.col(key).alias("shell"), *[F.col(v).alias(f"_n_{v}") for v in values]), "shell").withColumnRenamed("target", key).drop("shell")
+    left = rows.join(moves.select(F.col("shell").alias(key)), key, "left_anti").join(given, key, "left")
+    merged = left.withColumns({v: F.coalesce(f"_n_{v}", v) for v in values}).drop(*[f"_n_{v}" for v in values])
+    moved = children.join(moves.select(F.col("shell").alias(key), "target"), key, "left").withColumn(key, F.coalesce("target", key)).drop("target")
+    return merged, moved
+
+
+def evolve(df: DataFrame, add: dict[str, str], rename: dict[str, str], drop: list[str]) -> DataFrame:
+    """Columns renamed, added with nulls and dropped, each only where it isn't done yet."""
+    for old, new in rename.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in add.items() if c not in df.columns})
+    return df.drop(*drop)

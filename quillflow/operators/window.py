@@ -49,6 +49,18 @@ def global_row_number(df: DataFrame, order: str, out: str, start: int = 1, part_
     return numbered.withColumn(out, F.col("_before") + F.col("_rn") + F.lit(start - 1)).drop("_part", "_rn", "_before")
 
 
+def global_running_sum(df: DataFrame, order: str, value: str, out: str, part_rows: int = PART_ROWS) -> DataFrame:
+    """The sum of a value over all rows before each in the order of a key, by ranges as in global_row_number."""
+    bounds = range_bounds(df, order, part_rows)
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
+    offsets = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(offsets), "_part")
+    return summed.withColumn(out, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def mint(df: DataFrame, prefix: str, order: str, last: DataFrame, out: str) -> DataFrame:
     """Numbers per prefix in an order, going on from the last number used (prefix, last), padded to six."""
     dealt = df.join(last, prefix, "left")

@@ -86,7 +86,7 @@ def enrich_lookup(spark, sf_dir):
 
 QUEUE = """
 WITH offer AS (
-  SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS line, least(l_quantity, 3)::INTEGER AS qty FROM lineitem WHERE l_returnflag = 'R'),
+  SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS line, greatest(1, trunc(l_quantity))::INTEGER AS qty FROM lineitem WHERE l_returnflag = 'R'),
 slots AS (SELECT k, line, row_number() OVER (PARTITION BY k ORDER BY line, i) AS slot FROM (SELECT k, line, unnest(range(qty)) AS i FROM offer)),
 claim AS (SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS row_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS slot
   FROM lineitem WHERE l_returnflag <> 'R')
@@ -152,18 +152,14 @@ SELECT id, fid, final::DOUBLE AS score FROM r WHERE rn = 1 AND final >= 0.3
 def format_match(spark, sf_dir):
     """First format by precedence: equal trusted key, else the best label overlap above a threshold.
 
-    Candidates come from equi-joins on the key and on single labels, never from all pairs.
+    Formats are reduced to one per key and per label set before they are joined, on keys and on labels.
     """
-    labels = F.array_distinct(F.split(F.lower("p_name"), " "))
-    part = table(spark, sf_dir, "part")
-    formats = part.where("p_size = 1").select(F.col("p_partkey").alias("fid"), labels.alias("fs"), "p_brand")
-    rows = part.select(F.col("p_partkey").alias("id"), labels.alias("ds"), "p_brand")
-    by_key = rows.select("id", "p_brand").join(formats.select("fid", "p_brand"), "p_brand").groupBy("id").agg(F.min("fid").alias("fid")).withColumn("score", F.lit(1.0))
-    tokens = rows.select("id", F.explode("ds").alias("t"), F.size("ds").alias("n")).join(formats.select("fid", F.explode("fs").alias("t"), F.size("fs").alias("m")), "t")
-    scored = tokens.groupBy("id", "fid", "n", "m").agg(F.count("*").alias("k")).withColumn("score", F.col("k") / (F.col("n") + F.col("m") - F.col("k")))
-    best = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("fid")).alias("f"))).alias("b")).select("id", (-F.col("b.f")).alias("fid"), F.col("b.score").alias("score"))
-    rest = best.where("score >= 0.3").join(by_key, "id", "left_anti")
-    return by_key.unionByName(rest)
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.array_sort(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("labels"))
+    formats = part.where("p_size = 1").withColumnRenamed("p_partkey", "fid")
+    rows = part.withColumnRenamed("p_partkey", "id")
+    by_key = ops.first_of(rows, formats, "p_brand").withColumn("score", F.lit(1.0))
+    rest = rows.join(formats.select("p_brand").distinct(), "p_brand", "left_anti")
+    return by_key.unionByName(ops.best_overlap(rest.select("id", "labels"), formats.select("fid", "labels"), 0.3))
 
 
 @query("""

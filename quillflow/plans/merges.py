@@ -78,9 +78,9 @@ WHERE o_orderstatus IN ('O', 'P') AND o_orderdate < m - INTERVAL 900 DAY
 def expire_stale(spark, sf_dir):
     """Unresolved rows that nobody touched for the time to live."""
     orders = table(spark, sf_dir, "orders")
-    last = orders.agg(F.max("o_orderdate").alias("m"))
-    stale = F.col("o_orderdate") < F.col("m") - F.expr("INTERVAL 900 DAYS")
-    return orders.where(F.col("o_orderstatus").isin("O", "P")).join(F.broadcast(last), stale).select("o_orderkey", F.col("o_orderstatus").alias("was"))
+    last = orders.agg(F.max("o_orderdate")).scalar()
+    stale = F.col("o_orderdate") < last - F.expr("INTERVAL 900 DAYS")
+    return orders.where(F.col("o_orderstatus").isin("O", "P") & stale).select("o_orderkey", F.col("o_orderstatus").alias("was"))
 
 
 @query("""

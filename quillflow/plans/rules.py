@@ -51,8 +51,8 @@ def audit_search(spark, sf_dir):
 def active_asof(spark, sf_dir):
     """Rows still valid as of the latest time in the table."""
     orders = table(spark, sf_dir, "orders")
-    now = orders.agg(F.max("o_orderdate").alias("now"))
-    return orders.where("o_orderstatus <> 'F'").join(F.broadcast(now), F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS") > F.col("now")).select("o_orderkey")
+    now = orders.agg(F.max("o_orderdate")).scalar()
+    return orders.where("o_orderstatus <> 'F'").where(F.col("o_orderdate") + F.expr("INTERVAL 90 DAYS") > now).select("o_orderkey")
 
 
 MISSING = """

@@ -61,7 +61,7 @@ def field_source(spark, sf_dir):
 
 @query("""
 SELECT l_orderkey, unit::BIGINT AS unit, count(*) AS n, sum(l_extendedprice::DECIMAL(18,4))::DOUBLE AS amount
-FROM (SELECT *, unnest(range(1, least(l_quantity, 3)::INTEGER + 1)) AS unit FROM lineitem) GROUP BY 1, 2
+FROM (SELECT *, unnest(range(1, greatest(1, trunc(l_quantity))::INTEGER + 1)) AS unit FROM lineitem) GROUP BY 1, 2
 """)
 def shred_nested(spark, sf_dir):
     """Documents nested as header and lines, shredded to one row per unit and summed."""
@@ -183,7 +183,8 @@ def confusable_eq(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, list_sum(list_transform(range(1, 9), lambda i: (substr(translate(upper(rpad(p_name, 8, ' ')), '|81L26', 'IBIIZG'), i::INTEGER, 1) = substr(translate(upper(rpad(p_type, 8, ' ')), '|81L26', 'IBIIZG'), i::INTEGER, 1))::INTEGER))::BIGINT AS score FROM part
+SELECT p_partkey, coalesce(list_sum(list_transform(range(1, least(length(p_name), length(p_type)) + 1), lambda i: (translate(upper(p_name), '0OUD1ILJF^|!2Z5S6G8B9P', '0000111111112255668899')[i]
+  = translate(upper(p_type), '0OUD1ILJF^|!2Z5S6G8B9P', '0000111111112255668899')[i])::INTEGER)), 0)::BIGINT AS score FROM part
 """)
 def confusable_score(spark, sf_dir):
     """Equal characters at equal places, confusable ones counted as equal."""
@@ -359,8 +360,8 @@ def reconcile_line(spark, sf_dir):
     amount = F.round(rate * F.col("l_quantity") * (1 + (F.col("l_suppkey") % 3) * 0.09), 2)
     quantity = F.when(F.col("l_partkey") % 7 == 0, 1.0).otherwise(F.col("l_quantity"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", quantity.alias("q"), rate.alias("r"), amount.alias("a"), (F.col("l_tax") * 100).alias("t"))
-    lines = lines.select("l_orderkey", money.reconcile(F.col("q"), F.col("r"), F.col("a"), F.col("t"))["why"].alias("why"))
-    return lines.groupBy("l_orderkey", "why").agg(F.count("*").alias("n"))
+    lines = lines.select("l_orderkey", money.reconcile_code(F.col("q"), F.col("r"), F.col("a"), F.col("t")).alias("code"))
+    return lines.groupBy("l_orderkey", "code").agg(F.count("*").alias("n")).select("l_orderkey", money.reason(F.col("code")).alias("why"), "n")
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_or_empty(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """A table of the folder, or an empty one of the schema where there is none yet."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True, content: bool = False) -> DataFrame:
     """Files below a folder by name pattern: path, modification time, length and, if wanted, content."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
