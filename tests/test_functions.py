@@ -1,5 +1,8 @@
 """Scalar functions and rules on hand-made rows."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +119,125 @@ def test_shred_nested_has_a_row_for_each_unit(spark):
 @pytest.mark.parametrize(("a", "b", "wanted"), [("T9MGoR", "TPMGUR", 6), ("ABCDEFGHIJK", "abcdefghiLk", 11), ("AB", "ABC", 2), ("A ", "A", 1), ("", "", 0), ("5S0|", "s5Uf", 4), ("A", "B", 0)])
 def test_confusable_score(spark, a, b, wanted):
     assert one(spark, text.confusable_score(F.lit(a), F.lit(b)))[0] == wanted
+
+
+def test_token_set_same_as_brute_force():
+    rng = random.Random(5)
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    def like(a, b):
+        return 100.0 if not a + b else 100 * 2 * lcs(a, b) / (len(a) + len(b))
+
+    for _ in range(400):
+        a, b = ("".join(rng.choices("ab c", k=rng.randint(0, 14))) for _ in range(2))
+        assert fuzzy.common(a, b) == lcs(a, b)
+        x, y = set(a.split()), set(b.split())
+        if x and y:
+            both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+            if both and not (left and right):
+                wanted = 100.0
+            else:
+                s, t = f"{both} {left}".strip(), f"{both} {right}".strip()
+                pair = 100 * (1 - (len(left) + len(right) - 2 * lcs(left, right)) / (len(s) + len(t)))
+                wanted = max([pair] + ([like(both, s), like(both, t)] if both else []))
+            assert abs(fuzzy.token_set(a, b) - wanted) < 1e-9
+
+
+def test_fuzzy_columns_same_as_pairs(spark):
+    from difflib import SequenceMatcher
+
+    rows = {r.p_partkey: (r.p_name, r.p_type) for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").collect()}
+    for r in scalars.fuzzy_ratio(spark, "/root/testdata/sf0.001").collect():
+        assert r.ratio == round(SequenceMatcher(None, *rows[r.p_partkey], autojunk=False).ratio(), 6)
+    for r in scalars.desc_mismatch(spark, "/root/testdata/sf0.001").collect():
+        a, b = rows[r.p_partkey]
+        assert r.ratio == round(fuzzy.token_set(a.upper(), b.upper()), 4) and r.mismatch == (r.ratio < 45)
+
+
+def test_label_lines_same_as_brute_force(spark):
+    from difflib import SequenceMatcher
+
+    from quillflow.plans import codes
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    wanted = {}
+    for r in rows:
+        best = None
+        for line in (r.text or "").split("\n"):
+            m = re.match(r"(?i)^\s*licensed under\s+(?:the\s+)?([A-Za-z0-9. -]+)", line)
+            bare = line.lstrip(" ")
+            score, value = (1.0, m[1].strip()) if m else (0.0, "")
+            if not m and re.match(r"(?i)^\s*l", line):
+                score, value = round(SequenceMatcher(None, bare[:14].lower(), "licensed under", autojunk=False).ratio(), 6), bare[14:].strip()
+            if score >= 0.6 and (best is None or score > best[1]):
+                best = value, score
+        if best:
+            wanted[r.doc_id] = best
+    found = {r.doc_id: (r.value, r.score) for r in codes.label_lines(spark, "/root/testdata/sf0.01").collect()}
+    assert len(wanted) > 3 and found == wanted
+
+
+@pytest.mark.parametrize("conf", [{}, {"spark.sql.adaptive.enabled": "false"}, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"}])
+def test_global_numbers_of_many_wide_rows(spark, tmp_path, conf):
+    path = str(tmp_path / "wide")
+    n = 2_000_000
+    wide = [F.xxhash64(F.lit(k), "id").cast("string").alias(f"c{k}") for k in range(4)]
+    spark.range(n).select((F.pmod(F.col("id") * 48271, F.lit(n)) * 3).alias("k"), *wide).write.parquet(path)
+    before = {key: spark.conf.get(key) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        found = window.global_row_number(spark.read.parquet(path), "k", "no", 10, part_rows=100_000)
+        found = window.global_running_sum(found, "k", "no", "sum", part_rows=150_000)
+        row = found.agg(F.count("*"), F.count_distinct("no"), F.min("no"), F.max("no"), F.sum((F.col("no") - 10 != F.col("k") / 3).cast("int")), F.count_distinct("c0", "c1", "c2", "c3")).first()
+        assert tuple(row) == (n, n, 10, n + 9, 0, n)
+        exact = (F.col("no") - 10) * (F.col("no") + 9) / 2
+        assert found.where(F.col("sum") != exact.cast("long")).count() == 0
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_items_peel_back_and_blocks(spark):
+    from quillflow.operators import layout
+
+    kinds = ["more", "lead", "serial", "more", "lead", "charge", "lead"]
+    df = spark.createDataFrame([(1, k, kind) for k, kind in enumerate(kinds)] + [(2, 0, "more")], "d long, o int, kind string")
+    found = layout.items(df, "d", ["o"], F.col("kind").isin("serial", "charge"), F.col("kind") == "lead").orderBy("d", "o").collect()
+    assert [r.item for r in found] == [0, 1, 1, 1, 2, 2, 2, 0]
+    lines = [(1, 1, "no marker above", None), (1, 2, "TO", "to"), (1, 3, "Name", None), (1, 4, " ", None), (1, 5, "Street", None), (1, 6, "City", None), (1, 7, "FROM", "from"), (1, 8, "Seller", None)]
+    blocks = layout.blocks(spark.createDataFrame(lines, "d long, idx long, line string, mark string"), ["d"], "idx", "line", "mark", "party").orderBy("block").collect()
+    assert [(b.party, b.name, b.address) for b in blocks] == [("to", "Name", "Street, City"), ("from", "Seller", None)]
+
+
+def test_codes(spark):
+    from quillflow.functions import codes
+
+    row = one(spark, codes.order_number(F.lit("PO no. S5PRPVR/2O24/OOO12E45")), codes.order_number(F.lit("PO no. S5PRPVR/2O24/OOO12345")), codes.order_number(F.lit("ORDER NO.: 2024/00000001 of 12345678")), codes.order_number(F.lit(None).cast("string")))
+    assert [tuple(x) for x in row] == [("", 0.0), ("2024/00012345", 0.4), ("2024/00000001", 0.9), ("", 0.0)]
+    row = one(spark, codes.tax_id(F.lit("x 27ABCDE1234F1Z5 y")), codes.tax_id(F.lit("x 27A8CDE12E4F1Z5 y")), codes.tax_id(F.lit("O7A8CDE1234F125")), codes.folder_name(F.lit("a/b..")), codes.folder_name(F.lit(" . ")))
+    assert list(row) == ["27ABCDE1234F1Z5", "", "07ABCDE1234F1Z5", "a_b", "Unknown"]
+    row = one(spark, codes.mismatch(F.lit("abc"), F.lit("abd")), codes.mismatch(F.lit("ac"), F.lit("abc")), codes.mismatch(F.lit("ca"), F.lit("abc")), codes.mismatch(F.lit("abcd"), F.lit("abc")))
+    assert list(row) == [0.333333, 0.333333, 1.0, 1.0]
+
+
+def test_best_overlap_same_as_brute_force(spark):
+    rng = random.Random(3)
+    sets = lambda n: [sorted(rng.sample("abcdefghijkl", rng.randint(1, 12))) for _ in range(n)]
+    rows, formats = list(enumerate(sets(120))), list(enumerate(sets(60)))
+    for least in (0.3, 0.9, 1.0):
+        wanted = {}
+        for k, a in rows:
+            best = max(((len({*a} & {*b}) / len({*a} | {*b}), -f) for f, b in formats), default=(0, 0))
+            if best[0] >= least:
+                wanted[k] = -best[1], round(best[0], 9)
+        found = joins.best_overlap(spark.createDataFrame(rows, "id long, labels array<string>"), spark.createDataFrame(formats, "fid long, labels array<string>"), least)
+        assert {r.id: (r.fid, round(r.score, 9)) for r in found.collect()} == wanted

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillflow.streaming import events as ops
 
@@ -76,3 +77,61 @@ def test_sinks(spark, tmp_path):
     assert header.columns == ["no", "kind"] and [tuple(r) for r in lines.orderBy("line_no").collect()] == [("a", 10000, 1, "p"), ("a", 20000, 2, "q")]
     sinks.write_sheets({"Header": header}, str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv" / "Header")).count() == 2
+
+
+@pytest.fixture
+def slices(spark, tmp_path):
+    """Events as four files, written one after another in order of time."""
+    path = str(tmp_path / "slices")
+    events = spark.read.parquet(f"{FOLDER}/events.parquet")
+    for k in range(4):
+        events.where(F.floor(F.dayofmonth("ts") / 8) == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def test_throttled_as_stream(spark, slices):
+    from quillflow.operators.window import trailing_count
+
+    events = spark.read.parquet(slices).withColumn("at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    by = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    ordered = events.withColumn("rn", by).withColumn("n", trailing_count(["user_id"], F.col("at"), 43200))
+    # rows of the same second: those that come later in the order don't count yet
+    after = F.count("*").over(Window.partitionBy("user_id", "at").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing))
+    wanted = ordered.withColumn("n", F.col("n") - after).where("n > 3").select("user_id", "event_id").collect()
+    df = ops.throttled(ops.event_stream(spark, slices, 1), 3, 43200)
+    df.writeStream.format("memory").queryName("throttled").outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+    found = spark.table("throttled").select("user_id", "event_id").collect()
+    assert len(wanted) > 10 and sorted(map(tuple, found)) == sorted(map(tuple, wanted))
+
+
+def test_expired_as_stream(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = [(1, "2024-01-01 00:00:00", 1), (2, "2024-01-01 00:00:00", 2), (3, "2024-01-05 00:00:00", 1), (4, "2024-01-20 00:00:00", 3), (5, "2024-01-30 00:00:00", 4)]
+    for k, row in enumerate(rows):
+        df = spark.createDataFrame([row], "event_id long, ts string, user_id long").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "'x' AS event_type", "1.0D AS value", "'' AS props")
+        df.coalesce(1).write.mode("append").parquet(path)
+    df = ops.expired(ops.event_stream(spark, path, 1), 10 * 86400)
+    df.writeStream.format("memory").queryName("expired").outputMode("append").trigger(availableNow=True).start().awaitTermination(240)
+    found = {r.user_id: r.last for r in spark.table("expired").collect()}
+    last = {u: spark.sql(f"SELECT unix_timestamp(TIMESTAMP '{t}') AS t").first().t for u, t in ((1, "2024-01-05"), (2, "2024-01-01"))}
+    assert found == last  # user 3 was last seen less than ten days before the watermark, user 4 is newest
+
+
+def test_retry_pending(spark, folder, tmp_path):
+    known = {0: [8], 1: [8, 46], 2: list(range(1000)), 3: list(range(1000))}
+    calls = []
+
+    def resolve(rows):
+        number = len(calls)
+        calls.append(number)
+        lookup = spark.createDataFrame([(u,) for u in known[number]], "user_id long").withColumn("resolved", F.lit(True))
+        return rows.join(lookup, "user_id", "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
+    out = str(tmp_path / "out")
+    ops.upsert_batches(ops.event_stream(spark, folder, 1), ops.retry_pending(resolve, out), str(tmp_path / "check")).awaitTermination(240)
+    assert len(calls) == 4
+    resolved = [{r.event_id for r in spark.read.parquet(f"{out}/resolved/{k}").collect()} for k in range(4)]
+    assert resolved[0] and all(r.user_id == 8 for r in spark.read.parquet(f"{out}/resolved/0").collect())
+    every = {r.event_id for r in spark.read.parquet(folder).collect()}
+    assert sum(map(len, resolved)) == len(every) and set().union(*resolved) == every
+    assert spark.read.parquet(f"{out}/pending/3").count() == 0 and spark.read.parquet(f"{out}/pending/1").count() > 0
