@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -39,7 +41,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     _SHIPPED.add(context.applicationId)
     here = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="quillflow-"), "quillflow.zip")
+    folder = tempfile.mkdtemp(prefix="quillflow-")  # the driver serves the archive from here until it ends
+    atexit.register(shutil.rmtree, folder, True)
+    archive = os.path.join(folder, "quillflow.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for folder, _, names in os.walk(here):
             for name in sorted(names):
