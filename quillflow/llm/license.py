@@ -1,80 +1,59 @@
 """License scans: winnowed fingerprints pick candidate templates, banded alignment measures them.
 
 Templates are normalised to tokens (lower-case letters and digits of each white-space word). Hashes of
-`GRAM` tokens in a row are winnowed (the least of each `WINDOW` neighbours) into an inverted index
-from fingerprint to template positions, small and fixed, so it is broadcast. A document's hashes are
-looked up in the index; hits vote for (template, diagonal), and each cluster of near diagonals is
-aligned token by token within a band of at most `BAND` around it (match +1, mismatch or gap -1, local). A
-match reports the share of the template's tokens that the alignment covers and its span in the
-document. Any run of GRAM + WINDOW - 1 template tokens in a text is found.
-
-Documents are scanned whole in one pass without a shuffle. Defined cases: null and empty texts have no
-match; repeated licenses give a match each; repeated rows are each scanned; other columns are ignored.
+`GRAM` tokens in a row are winnowed (the least of each `WINDOW` neighbours; of templates of at most
+`SHORT` tokens every hash) into an inverted index from fingerprint to template positions, small and
+fixed, so it is broadcast. A document's hashes are looked up in the index; hits vote for (template,
+diagonal). Each cluster of near diagonals with enough hits is aligned token by token within a band of at
+most `BAND` around it (match +1, mismatch or gap -1, local). A match reports the share of the template's
+tokens that the alignment covers and its span in the document: whole matches from MIN_COVERAGE on, and
+parts of at least `PART` tokens with the coverage they have. Of matches that overlap by half, the one
+with more matched tokens stays.
+
+A run of GRAM + WINDOW - 1 template tokens holds a fingerprint, one of `PART` tokens at least four, so
+every such part meets the NEEDED hits. Documents are scanned whole in one pass without a shuffle; work
+grows with a text's length and its hits, not with pairs of them.
+
+Defined cases: null and empty texts have no match; texts of any length are scanned whole; repeated
+licenses give a match each; matches of the same span and coverage (ties) are all reported; repeated rows
+are each scanned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillflow.llm.common import arrow_batches, mix64, texts, words_of
+from quillflow.llm.license_texts import TEMPLATES
 
 GRAM = 3
 WINDOW = 3
 BAND = 8
 MIN_COVERAGE = 0.7
-
-# License statements and notices to look for, by name.
-TEMPLATES = {
-    "MIT statement": "Released under the MIT License.",
-    "Apache-2.0 statement": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0 statement": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0 statement": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0 statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
-        "substantial portions of the Software."
-    ),
-    "Apache-2.0 notice": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
-        "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
-        "either express or implied."
-    ),
-    "GPL-3.0 notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
-    ),
-    "ISC": (
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
-        "the above copyright notice and this permission notice appear in all copies."
-    ),
-}
+SHORT = 20
+PART = 15
+#: Fingerprint hits that a cluster needs for a template of more than SHORT tokens.
+NEEDED = 3
 
 MATCHES = "doc_id long, matches array<struct<template:string,start:int,end:int,coverage:double>>"
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def token(word: str) -> str:
-    """A word's lower-case letters and digits."""
-    return "".join(c for c in word.lower() if c.isalnum())
-
-
-def _token_hashes(words: list[str]) -> np.ndarray:
-    return mix64(pd.util.hash_array(np.array([token(w) for w in words], dtype=object), categorize=False)) if words else np.zeros(0, np.uint64)
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word's lower-case letters and digits."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    bare = pc.replace_substring_regex(pc.utf8_lower(words), r"[^\pL\pN]", "")
+    return mix64(pd.util.hash_array(bare.to_numpy(zero_copy_only=False), categorize=False))
 
 
 def gram_hashes(tokens: np.ndarray) -> np.ndarray:
@@ -97,11 +76,11 @@ class Index:
 
     def __init__(self, templates: dict[str, str]):
         self.names = list(templates)
-        self.tokens = [_token_hashes(_WORDS.findall(templates[n])) for n in self.names]
+        self.tokens = [token_hashes(pa.array(_WORDS.findall(templates[n]), pa.string())) for n in self.names]
         rows = []
         for k, tokens in enumerate(self.tokens):
             hashes = gram_hashes(tokens)
-            rows += [(int(hashes[p]), k, p) for p in winnow(hashes)]
+            rows += [(int(hashes[p]), k, p) for p in (winnow(hashes) if len(tokens) > SHORT else range(len(hashes)))]
         rows.sort()
         self.prints = np.array([r[0] for r in rows], np.uint64)
         self.postings = [r[1:] for r in rows]
@@ -158,17 +137,48 @@ def find(index: Index, tokens: np.ndarray, spots: np.ndarray, hashes: np.ndarray
         diagonals.sort()
         size = len(index.tokens[template])
         band = min(BAND, max(1, size // 3))  # narrower for short templates, so that repeats stay apart
-        last = None
-        for diagonal in diagonals:
-            if last is not None and diagonal - last <= band:
-                continue
-            last = diagonal
-            matched, start, end = align(index.tokens[template], tokens, diagonal, band)
-            coverage = matched / size
-            if coverage >= MIN_COVERAGE:
-                found.append((index.names[template], start, end, round(coverage, 4)))
-    found = list(dict.fromkeys(sorted(found, key=lambda m: (m[1], -m[2], -m[3], m[0]))))
-    return [m for m in found if not any(o != m and o[1] <= m[1] and m[2] <= o[2] and (o[2] - o[1] > m[2] - m[1] or o[3] > m[3]) for o in found)]
+        begin = 0
+        while begin < len(diagonals):
+            end = bisect_right(diagonals, diagonals[begin] + band)
+            if end - begin >= (NEEDED if size > SHORT else 1):
+                middle = diagonals[(begin + end - 1) // 2]
+                matched, low, high = align(index.tokens[template], tokens, middle, band)
+                if matched >= MIN_COVERAGE * size or matched >= PART:
+                    found.append((matched, matched / size, low, high, index.names[template]))
+            begin = end
+    return best(found)
+
+
+def best(found: list[tuple[int, float, int, int, str]]) -> list[tuple[str, int, int, float]]:
+    """The matches (matched tokens, coverage, start, end, name), by start, without those that overlap a better one by half.
+
+    Better is more matched tokens, then higher coverage; equals at the same place all stay. Runs of
+    overlapping matches are settled one by one, each match against its neighbours in reach only.
+    """
+    out = []
+    run: list[tuple[int, float, int, int, str]] = []
+    reach = -1
+    for m in [*sorted(set(found), key=lambda m: m[2:]), None]:
+        if run and (m is None or m[2] >= reach):
+            kept: list[tuple[int, int, int, float, str]] = []
+            longest = 0
+            for size, coverage, low, high, name in sorted(run, key=lambda m: (-m[0], -m[1], m[2:])):
+                k = bisect_right(kept, (low - longest,))
+                clear = True
+                while clear and k < len(kept) and kept[k][0] < high:
+                    start, end, other, share, _ = kept[k]
+                    shared = min(high, end) - max(low, start)
+                    clear = 2 * shared < high - low or (start, end, other, share) == (low, high, size, coverage)
+                    k += 1
+                if clear:
+                    insort(kept, (low, high, size, coverage, name))
+                    longest = max(longest, high - low)
+            out += [(name, low, high, round(coverage, 4)) for low, high, _, coverage, name in kept]
+            run, reach = [], -1
+        if m is not None:
+            run.append(m)
+            reach = max(reach, m[3])
+    return out
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -182,7 +192,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
             array = texts(batch)
             words, parent = words_of(array)
             coded = words.dictionary_encode()
-            tokens = _token_hashes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
+            tokens = token_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
             hashes = gram_hashes(tokens)
             spots = index.value.hits(hashes)
             spots = spots[parent[spots] == parent[spots + GRAM - 1]]
@@ -190,7 +200,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
             found: list[list[dict]] = [[] for _ in range(len(array))]
             for doc in np.unique(parent[spots]):
                 low, high = ends[doc], ends[doc + 1]
-                own = spots[(spots >= low) & (spots < high)] - low
+                own = spots[slice(*np.searchsorted(spots, (low, high)))] - low
                 matches = find(index.value, tokens[low:high], own, hashes[low:high])
                 if matches:
                     places = [m.span() for m in _WORDS.finditer(array[int(doc)].as_py())]
