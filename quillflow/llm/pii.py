@@ -1,13 +1,16 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds (leftmost, non-overlapping per kind; failing matches are dropped): email, ip (parts at
-most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits). Added kinds: iban (mod 97 is 1) and
-id_number (7 to 12 digits after an identity word). Base spans always stay; an added span is reported
-when its score, moved by context words within `WINDOW` characters, reaches `MIN_SCORE`.
+most 255), card (12 to 19 digits, Luhn), phone (9 to 15 digits). Added kinds: iban (mod 97 is 1),
+id_number (7 to 12 digits near an identity word) and secret (a value of 16 characters or more assigned to
+a key's name, confirmed by letters, digits and `VARIETY` different characters). Base spans always stay;
+an added span is reported when its score, moved by context words within `WINDOW` characters, reaches
+`MIN_SCORE`.
 
 Positions are code points, ends exclusive. Every text is read whole. Defined cases: a null or empty
-text has no spans; repeated rows are each scanned; other columns are ignored; very long runs of
-digits or letters are scanned in linear time (each pattern starts only where its run starts).
+text has no spans; repeated rows are each scanned; spans of different kinds at one place (ties) go in the
+order of the kinds; an empty table gives no rows; other columns are ignored; very long runs of digits or
+letters are scanned in linear time (each pattern starts only where its run starts).
 """
 
 from __future__ import annotations
@@ -21,10 +24,11 @@ from pyspark.sql import DataFrame
 
 from quillflow.llm.common import arrow_batches, texts
 
-KINDS = ("email", "ip", "card", "phone", "iban", "id_number")
+KINDS = ("email", "ip", "card", "phone", "iban", "id_number", "secret")
 BASE = KINDS[:4]
 WINDOW = 40
 MIN_SCORE = 0.5
+VARIETY = 8
 
 # Words whose nearness raises or lowers the score of a kind.
 RAISES = {
@@ -34,6 +38,7 @@ RAISES = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
     "id_number": ("passport", "ssn", "social security", "tax id", "ausweis", "passeport", "pasaporte", "dni"),
+    "secret": ("auth", "credential", "bearer"),
 }
 LOWERS = {
     "email": ("example",),
@@ -42,8 +47,9 @@ LOWERS = {
     "phone": ("version", "order"),
     "iban": ("sample",),
     "id_number": ("order", "invoice", "version", "page"),
+    "secret": ("example", "placeholder", "dummy"),
 }
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "id_number": 0.2}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "id_number": 0.2, "secret": 0.7}
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -52,6 +58,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _ID = re.compile(r"(?<![A-Za-z0-9])[0-9]{7,12}(?![A-Za-z0-9])")
+_SECRET = re.compile(
+    r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?[\x20\t]{0,9}[:=][\x20\t]{0,9}[\"']?([a-z0-9+/_.=-]{16,})"
+)
 _HINT = re.compile(r"[0-9@]")
 
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int,score:double>>"
@@ -109,6 +118,9 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
             yield "iban", m.start(), m.end()
     for m in _ID.finditer(text):
         yield "id_number", m.start(), m.end()
+    for m in _SECRET.finditer(text):
+        if len(set(m[1])) >= VARIETY and re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]):
+            yield "secret", m.start(1), m.end(1)
 
 
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:

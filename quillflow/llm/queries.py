@@ -25,9 +25,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             spans = [[(x["kind"], x["start"], x["end"], x["score"]) for x in row] for row in found]
             counts = {f"n_{k}": pa.array([sum(x[0] == k for x in row) for row in spans], pa.int64()) for k in pii.BASE}
             hashes = {"base_sha256": pa.array(map(pii.base_digest, spans), pa.string())}
-            yield pa.RecordBatch.from_pydict({"doc_id": ids} | counts | hashes | {"spans": pa.array(map(pii.spans_text, spans), pa.string())})
+            every = {"spans": pa.array(map(pii.spans_text, spans), pa.string()), "n_spans": pa.array(map(len, spans), pa.int64())}
+            yield pa.RecordBatch.from_pydict({"doc_id": ids} | counts | hashes | every)
 
-    out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    out = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     return pii.pii_spans(table(spark, sf_dir, "documents")).mapInArrow(digest, out)
 
 
