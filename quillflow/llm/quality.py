@@ -34,7 +34,7 @@ SYMBOLS = b"#*$%&|<>"
 
 SCORES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, llr double, base_failed boolean, kept boolean"
+    "n_repeat_words long, base_failed boolean, kept boolean, llr double"
 )
 _COUNTS = "bucket int, raw long, target long"
 
@@ -146,13 +146,13 @@ def judge(array: pa.Array, weights: np.ndarray, threshold: float = THRESHOLD) ->
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: the base counts, the score `llr`, `base_failed` and `kept`."""
+    """One row per document: the base counts, `base_failed`, `kept` and the score `llr`."""
     weights = docs.sparkSession.sparkContext.broadcast(gram_weights(docs, labels))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = judge(texts(batch), weights.value, threshold)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").cast(pa.int64())} | found)
+            found = {"doc_id": batch.column("doc_id").cast(pa.int64())} | judge(texts(batch), weights.value, threshold)
+            yield pa.RecordBatch.from_pydict({name: found[name] for name in (field.split()[0] for field in SCORES.split(", "))})
 
     return docs.select("doc_id", "text").mapInArrow(score, SCORES)
 
