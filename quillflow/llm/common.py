@@ -51,16 +51,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._own_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `written` or `bucketed`, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._own_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name := getattr(table, "_own_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """df as a table in the shared folder, bucketed and sorted by a key, so that joins on the key don't shuffle it."""
+    """One row of df for each value of a key, as a table in the shared folder that is bucketed and sorted by it.
+
+    Joins on the key don't shuffle it.
+    """
     spark = df.sparkSession
     name, parts = f"quillflow_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).format("parquet")
-    writer.option("path", shared_path(spark, "bucketed")).saveAsTable(name)
-    return spark.table(name)
+    writer = df.repartition(parts, key).dropDuplicates([key]).write.bucketBy(parts, key).sortBy(key).format("parquet")
+    path = shared_path(spark, "bucketed")
+    writer.option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out._own_path, out._own_table = path, name
+    return out
+
+
+def own_name(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

@@ -28,12 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillflow.llm.common import arrow_batches, texts, written
+from quillflow.llm.common import arrow_batches, own_name, texts, written
 
 SLOTS = 4
 MAX_KICKS = 200
 SHARD_KEYS = 200_000
-_LOWEST = -(2**63)
 _PARTIAL = "shard int, digest binary, keep_id long, group_size long"
 
 
@@ -85,12 +84,13 @@ class CuckooIndex:
             bucket = self._other(bucket, mark)
         return False
 
-    def add(self, digest: bytes, doc_id: int, count: int = 1) -> int:
-        """Inserts a digest or merges into its record; returns the record's number."""
+    def add(self, digest: bytes, doc_id: int | None, count: int = 1) -> int:
+        """Inserts a digest or merges into its record (null is the least id); returns the record's number."""
         number = self.find(digest)
         if number >= 0:
             record = self.records[number]
-            record[1] = max(record[1], doc_id)
+            if record[1] is None or (doc_id is not None and doc_id > record[1]):
+                record[1] = doc_id
             record[2] += count
             return number
         number = self.free.pop() if self.free else len(self.records)
@@ -146,6 +146,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, digest binary"), "keyed")
 
 
+def _records(live: list[list]) -> Iterator[pa.RecordBatch]:
+    """Live records as batches of (digest, keep_id, group_size)."""
+    kinds = {"digest": pa.binary(), "keep_id": pa.int64(), "group_size": pa.int64()}
+    for k in range(0, len(live), 10_000):
+        part = live[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
+
+
 def _merge(df: DataFrame, shards: int) -> DataFrame:
     """Records of (digest, keep_id, group_size) rows merged through one index per task."""
 
@@ -153,16 +161,10 @@ def _merge(df: DataFrame, shards: int) -> DataFrame:
         index = CuckooIndex()
         for batch in batches:
             for digest, doc_id, count in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
-                index.add(digest, _LOWEST if doc_id is None else doc_id, count)
-        live = index.live()
-        for k in range(0, len(live), 10_000):
-            part = live[k : k + 10_000]
-            yield pa.RecordBatch.from_pydict({
-                "shard": pa.array([int.from_bytes(r[0][10:14], "little") % shards for r in part], pa.int32()),
-                "digest": pa.array([r[0] for r in part], pa.binary()),
-                "keep_id": pa.array([None if r[1] == _LOWEST else r[1] for r in part], pa.int64()),
-                "group_size": pa.array([r[2] for r in part], pa.int64()),
-            })
+                index.add(digest, doc_id, count)
+        for batch in _records(index.live()):
+            shard = [int.from_bytes(d[10:14], "little") % shards for d in batch.column("digest").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], names=["shard", *batch.schema.names])
 
     return df.select("digest", "keep_id", "group_size").mapInArrow(merge, _PARTIAL)
 
@@ -201,13 +203,10 @@ def update_index(index: DataFrame, members: DataFrame, added: DataFrame | None =
                 if count < 0:
                     drops.append((digest, -count))
                 else:
-                    index_.add(digest, _LOWEST if doc_id is None else doc_id, count)
+                    index_.add(digest, doc_id, count)
         for digest, count in drops:
             index_.remove(digest, count)
-        for r in index_.live():
-            yield pa.RecordBatch.from_pydict({
-                "digest": pa.array([r[0]], pa.binary()), "keep_id": pa.array([None if r[1] == _LOWEST else r[1]], pa.int64()), "group_size": [r[2]]
-            })
+        yield from _records(index_.live())
 
     merged = changes.repartition(width, "digest").mapInArrow(apply, "digest binary, keep_id long, group_size long")
     largest = live.join(touched, "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("_max"), F.lit(True).alias("_touched"))
@@ -232,16 +231,17 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     """
     keys = keyed(docs)
     index = written(build_index(keys).select("digest", "keep_id"), "index")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_digest", T.BinaryType())])
+    mark = own_name(docs, "_digest")
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(digests(texts(batch)), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_digest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, mark])
 
-    stay = index.where("keep_id is not null").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias("_digest"))
+    stay = index.where("keep_id is not null").select(F.col("keep_id").alias("doc_id"), F.col("digest").alias(mark))
     named = docs.where("doc_id is not null").mapInArrow(hashed, schema)
-    kept = named.join(stay, ["doc_id", "_digest"], "left_semi").dropDuplicates(["doc_id", "_digest"])
+    kept = named.join(stay, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
     nameless = docs.where("doc_id is null").mapInArrow(hashed, schema)
-    unclaimed = index.where("keep_id is null").select(F.col("digest").alias("_digest"))
-    return kept.select(docs.columns).unionByName(nameless.join(unclaimed, "_digest", "left_semi").dropDuplicates(["_digest"]).drop("_digest"))
+    unclaimed = index.where("keep_id is null").select(F.col("digest").alias(mark))
+    return kept.select(docs.columns).unionByName(nameless.join(unclaimed, mark, "left_semi").dropDuplicates([mark]).drop(mark))
