@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,3 +88,26 @@ def blocks(lines: DataFrame, doc: list[str], row: str, line: str, mark: str, par
     grouped = filled.groupBy(*doc, "block", party).agg(held.alias("_held")).withColumn("_texts", F.transform("_held", lambda x: x[line]))
     rest = F.when(F.size("_texts") > 1, F.array_join(F.expr("slice(_texts, 2, size(_texts) - 1)"), ", "))
     return grouped.select(*doc, "block", party, F.element_at("_texts", 1).alias("name"), rest.alias("address"))
+
+
+def groups_from_first(rows: DataFrame, key: str, at: str, tie: str, gap: int, out: str) -> DataFrame:
+    """The rows with the number of their group: a row more than `gap` after its group's first one opens the next.
+
+    No window can tell, as each group hangs on the one before; a key's rows stream through in order, with
+    its group's first value and number as all that is held.
+    """
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, first, group = None, 0, 0
+        for batch in batches:
+            numbers = []
+            for k, t in zip(batch[key], batch[at], strict=True):
+                if k != who:
+                    who, first, group = k, t, 1
+                elif t - first > gap:
+                    first, group = t, group + 1
+                numbers.append(group)
+            yield batch.assign(**{out: numbers})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + f", {out} long"
+    return rows.repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(number, schema)

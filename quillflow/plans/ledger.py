@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from quillflow.operators import window as win
 from quillflow.operators.aggregate import count_if, tier_label
+from quillflow.operators.layout import groups_from_first
 from quillflow.operators.merge import absorb, evolve
 from quillflow.plans.registry import query
+from quillflow.session import ship_package
 from quillflow.sources.tables import table, table_or_empty
 
 #: Lines of an order repeat line numbers, so their order takes all columns.
@@ -307,3 +309,74 @@ def slab_by_state(spark, sf_dir):
     same = F.col("s_nationkey") % 5 == F.col("c_nationkey") % 5
     rows = rows.join(buyers, "l_orderkey").withColumn("rate", rate)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rate", F.when(same, F.coalesce(F.try_element_at(full, F.col("rate")), "rate")).otherwise(F.col("rate")).alias("slab"))
+
+
+# Keys and fields that come again
+
+
+@query("""
+WITH new AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_custkey END AS old_key, o_custkey + 100000 AS new_key, o_orderpriority AS v FROM orders WHERE o_orderstatus = 'P'),
+u AS (SELECT coalesce(old_key, new_key) AS key, max(o_orderkey) AS newest, arg_max(v, o_orderkey) AS v FROM new GROUP BY 1)
+SELECT coalesce(c_custkey, key) AS key, coalesce(v, c_mktsegment) AS value, c_custkey IS NULL AS inserted, newest IS NOT NULL AS touched FROM customer FULL JOIN u ON key = c_custkey
+""")
+def upsert_old_or_new(spark, sf_dir):
+    """Rows written under the key they had, or under a new one; the last write of a key wins."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    key = F.coalesce(F.when(F.col("o_orderkey") % 4 == 0, F.col("o_custkey")), F.col("o_custkey") + 100000)
+    new = orders.groupBy(key.alias("key")).agg(F.max_by("o_orderpriority", "o_orderkey").alias("v"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("old"), F.lit(True).alias("there"))
+    joined = old.join(new, "key", "full")
+    return joined.select("key", F.coalesce("v", "old").alias("value"), F.col("there").isNull().alias("inserted"), F.col("v").isNotNull().alias("touched"))
+
+
+@query(f"""
+WITH o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS pos FROM lineitem WHERE l_returnflag = 'R'),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(LINE_ORDER)}) AS pos FROM lineitem WHERE l_returnflag = 'A')
+SELECT o.l_orderkey, o.pos, coalesce(n.l_suppkey, o.l_suppkey) AS code, CASE WHEN n.l_tax > 0 THEN n.l_tax ELSE o.l_tax END AS rate, o.l_quantity AS quantity FROM o LEFT JOIN n ON n.l_orderkey = o.l_orderkey AND n.pos = o.pos
+""")
+def resync_fields(spark, sf_dir):
+    """Several fields patched by position, those of the service's lineage only; blanks never overwrite."""
+    fields = {"code": ("l_suppkey", "Service"), "rate": ("l_tax", "Service"), "quantity": ("l_quantity", "PDF")}
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
+    lines = table(spark, sf_dir, "lineitem")
+    old = lines.where("l_returnflag = 'R'").select("l_orderkey", place.alias("pos"), *[F.col(c).alias(n) for n, (c, _) in fields.items()])
+    given = {n: F.when(F.col(c) > 0, F.col(c)) if n == "rate" else F.col(c) for n, (c, lineage) in fields.items() if lineage == "Service"}
+    new = lines.where("l_returnflag = 'A'").select("l_orderkey", place.alias("pos"), *[v.alias(f"new_{n}") for n, v in given.items()])
+    shown = [F.coalesce(f"new_{n}", n).alias(n) if n in given else F.col(n) for n in fields]
+    return old.join(new, ["l_orderkey", "pos"], "left").select("l_orderkey", F.col("pos").cast("long").alias("pos"), *shown)
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type, ts, event_id, json_extract_string(props, '$.k') AS k FROM events),
+f AS (SELECT user_id, arg_min(k, (ts, event_id)) AS first_k FROM e GROUP BY 1),
+v AS (SELECT user_id, event_type, count(*) AS n, min((ts, event_id)) AS seen FROM e GROUP BY 1, 2), m AS (SELECT user_id, arg_min(event_type, (-n, seen)) AS voted FROM v GROUP BY 1),
+s AS (SELECT user_id, lpad(k, 2, '0') AS kk, min((ts, event_id)) AS seen FROM e WHERE event_type = 'purchase' GROUP BY 1, 2),
+d AS (SELECT user_id, kk, seen FROM (SELECT *, lag(seen) OVER (PARTITION BY user_id, left(kk, 1) ORDER BY seen) AS before FROM s) WHERE before IS NULL)
+SELECT f.user_id, first_k, voted, coalesce(appended, '') AS appended FROM f JOIN m USING (user_id) LEFT JOIN (SELECT user_id, string_agg(kk, ' | ' ORDER BY seen) AS appended FROM d GROUP BY 1) USING (user_id)
+""")
+def merge_fields(spark, sf_dir):
+    """Fields of several pages in one: the first one's value, the most frequent one, or all that don't nearly repeat
+    (here: begin as) an earlier one, in order."""
+    at = F.struct("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", at.alias("at"), F.get_json_object("props", "$.k").alias("k"))
+    first = rows.groupBy("user_id").agg(F.min_by("k", "at").alias("first_k"))
+    counts = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("at").alias("seen"))
+    voted = counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "seen")).alias("voted"))
+    kk = F.lpad("k", 2, "0")
+    single = rows.where("event_type = 'purchase'").groupBy("user_id", F.substring(kk, 1, 1).alias("like")).agg(F.min(F.struct("at", kk.alias("kk"))).alias("f"))
+    texts = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["kk"])  # at most ten
+    appended = single.groupBy("user_id").agg(F.array_join(texts, " | ").alias("appended"))
+    return first.join(voted, "user_id").join(appended, "user_id", "left").select("user_id", "first_k", "voted", F.coalesce("appended", F.lit("")).alias("appended"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS rn FROM events),
+k AS (SELECT user_id, event_id, rn, t AS begun, 1::BIGINT AS grp FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.rn, CASE WHEN e.t - k.begun > 21600 THEN e.t ELSE k.begun END, k.grp + (e.t - k.begun > 21600)::BIGINT FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+SELECT user_id, event_id, grp FROM k
+""")
+def row_groups(spark, sf_dir):
+    """Groups whose members are near their group's first one: sequential, so rows stream through in order."""
+    ship_package(spark)
+    rows = table(spark, sf_dir, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return groups_from_first(rows, "user_id", "at", "event_id", 21600, "grp").select("user_id", "event_id", "grp")

@@ -300,7 +300,11 @@ def desc_mismatch(spark, sf_dir):
     return rows.select("p_partkey", "ratio", (F.col("blank") | (F.col("ratio") < 45)).alias("mismatch"))
 
 
-@query()
+@query("""
+WITH known AS (SELECT translate(upper(p_brand), '|81L26', 'IBIIZG') AS form, min(p_brand) AS known, count(DISTINCT p_brand) AS n FROM part GROUP BY 1),
+read AS (SELECT p_partkey, translate(p_brand, '12', 'L2') AS read, translate(upper(translate(p_brand, '12', 'L2')), '|81L26', 'IBIIZG') AS form FROM part)
+SELECT p_partkey, read, coalesce(known, read) AS code, coalesce(round(1.0::DOUBLE / n, 4), 0.0)::DOUBLE AS confidence FROM read LEFT JOIN known USING (form)
+""")
 def vendor_code_fix(spark, sf_dir):
     """A misread brand code replaced by the known code that reads the same, with a confidence."""
     part = _parts(spark, sf_dir)

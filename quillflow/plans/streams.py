@@ -32,7 +32,12 @@ def stream_audit(spark, sf_dir):
     return ops.tumbling_counts(_events(spark, sf_dir)).select(F.date_format("begins", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS rn FROM events),
+k AS (SELECT user_id, event_id, t, rn, t AS latest, true AS kept FROM e WHERE rn = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.rn, CASE WHEN e.t - k.latest >= 3600 THEN e.t ELSE k.latest END, e.t - k.latest >= 3600 FROM k JOIN e ON e.user_id = k.user_id AND e.rn = k.rn + 1)
+SELECT user_id, event_id, t AS "at" FROM k WHERE kept
+""")
 def touch_sampled(spark, sf_dir):
     """Last-seen refreshes, at most one an hour and user."""
     return ops.sampled_touches(table(spark, sf_dir, "events"), 3600).select("user_id", "event_id", "at")
