@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import written
+from quillflow.llm.common import discard, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,11 +28,16 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (x, y); root is the least node of its component."""
+    """(node, root) of every node of the edges (x, y); root is the least node of its component.
+
+    Each round is a table of its own, from which a lost executor's work is taken up again; the one before
+    is deleted then.
+    """
     edges = written(edges.where("x <> y").select("x", "y"), "edges")
     seen = None
     while True:
-        edges = written(_star(_star(edges, False), True), "edges")
+        before, edges = edges, written(_star(_star(edges, False), True), "edges")
+        discard(before)
         state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(20,0)")), F.lit(0))).first()
         if state == seen:
             break

@@ -20,8 +20,11 @@ largest sums. All documents are counted. The table only steers the order, never
 Candidates: an index entry with at most `SMALL` sets gives its pairs, which are counted: as all
 common rare tokens of both prefixes are seen, overlap <= common + |x| - (rare tokens in x's prefix),
 which drops pairs that share a stray token. Sets chained by larger entries form clusters (connected
-components over the entries, no pairs). A cluster's sets are dealt to pairs of blocks of `BLOCK` sets
-of like sizes and compared inside one task each; only links that join different components leave it.
+components over the entries, no pairs). A map task that meets more than `SMALL` sets of one entry chains
+them itself, in order of size, and sends one row per unbroken chain, so an entry that a third of all
+sets share sends a row or two per task. A cluster's sets are dealt to blocks of like sizes, bounded by
+sets and by tokens; pairs of blocks whose sizes let them link are found by an equi-join on size bands
+and compared inside one task each; only links that join different components leave it.
 
 Verification: bitmaps of about four bits a token first: a bit of x that y lacks is a token of x that
 y lacks, so overlap <= |x| - |bits(x) not in bits(y)|, which never drops a link. What remains is
@@ -30,8 +33,10 @@ verified on whole sets. No pair that can link is left out, and no group is expan
 Hash collisions (2**-64 per pair of different shingles or sets) are the only source of error.
 
 Defined cases: null or empty texts have no set, link with nothing and are their own component; one to
-four words are a single shingle; repeated rows are documents of their own with one node; null ids
-never become a component's id unless it has no other; other columns are ignored by `near_duplicates`.
+four words are a single shingle; texts of any length are read whole; repeated rows are documents of
+their own with one node; of equal smallest ids (ties) either names the component; null ids never become
+a component's id unless it has no other; an empty table gives no rows; other columns are ignored by
+`near_duplicates` and kept by `drop_near_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,12 +48,12 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillflow.llm.common import arrow_batches, bucketed, mix64, texts, words_of, written
+from quillflow.llm.common import arrow_batches, bucketed, discard, mix64, own_name, texts, words_of, written
 from quillflow.llm.graph import components
 
 WORDS = 5
@@ -57,11 +62,16 @@ OFTEN = 6
 COUNT_BLOCK = 2_000_000
 FREQUENT = 1 << 18
 SMALL = 16
-BLOCK = 512
+#: Sets of a block, each counting as one and one more for every `BLOCK_TOKENS` tokens: two million tokens at most.
+BLOCK = 2_048
+BLOCK_TOKENS = 1_000
 SINGLES_BELOW = 16
-BLOOM_BITS = 1 << 24
+#: Entries that a map task holds before it chains and sends them.
+HELD_ENTRIES = 1_000_000
+#: Bits of the filter of wanted ids: about 16 an id; beyond MOST_BLOOM_BITS ids are joined instead.
+MOST_BLOOM_BITS = 1 << 27
 
-_ENTRY = "sig long, node long, n int, slack int, rare boolean"
+_ENTRY = "sig long, node long, n int, slack int, rare boolean, other long, high int"
 _FOUND = "kind int, sig long, x long, y long, nx int, ny int, sx int, sy int, rare boolean"
 
 
@@ -203,7 +213,7 @@ def _entries(docs: DataFrame, frequent: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, rank = table.value
-        seen = set()
+        seen, held, size = set(), [], 0
         for batch in batches:
             keys, head = [], []
             for s in shingle_sets(texts(batch)):
@@ -216,16 +226,53 @@ def _entries(docs: DataFrame, frequent: DataFrame) -> DataFrame:
             if not keys:
                 continue
             node, n, slack, single, width = np.array(head, np.int64).T
-            start = np.concatenate(([0], np.cumsum(width)))[:-1]
-            yield pa.RecordBatch.from_pydict({
-                "sig": np.concatenate(keys).view(np.int64), "node": np.repeat(node, width),
-                "n": np.repeat(n, width).astype(np.int32), "slack": np.repeat(slack, width).astype(np.int32),
-                "rare": np.arange(width.sum()) - np.repeat(start, width) < np.repeat(single, width),
-            })
+            rare = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width) < np.repeat(single, width)
+            held.append((np.concatenate(keys).view(np.int64), np.repeat(node, width), np.repeat(n, width), np.repeat(slack, width), rare))
+            size += len(rare)
+            if size > HELD_ENTRIES:
+                yield _chained(held)
+                held, size = [], 0
+        if held:
+            yield _chained(held)
 
     return docs.select("doc_id", "text").mapInArrow(emit, _ENTRY)
 
 
+def _chained(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A task's entries. Those of an entry with more than SMALL sets become chains and links.
+
+    A chain holds an entry's sets in order of size, each so near the next one's size that they may link:
+    it is one row with its smallest set (node, n) and its largest (other, high). Links (node, other; no
+    `high`) hang its sets on the smallest; each stands once, however many entries give it.
+    """
+    sig, node, n, slack, rare = (np.concatenate(c) for c in zip(*held, strict=True))
+    by = np.argsort(sig, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], np.diff(sig[by]) != 0)))
+    width = np.diff(np.append(begin, len(by)))
+    big = np.zeros(len(by), bool)
+    big[by] = np.repeat(width > SMALL, width)
+    plain, rows = np.flatnonzero(~big), np.flatnonzero(big)  # plain rows stay in their sets' order, which packs well
+    rows = rows[np.lexsort((node[rows], n[rows], sig[rows]))]
+    joined = (np.diff(sig[rows]) == 0) & (3 * n[rows[1:]] <= 4 * n[rows[:-1]])
+    opens = np.concatenate(([True], ~joined)) if len(rows) else np.zeros(0, bool)
+    first, last = rows[opens], rows[np.append(opens[1:], True)] if len(rows) else rows
+    pairs = np.stack([node[first][np.cumsum(opens) - 1], node[rows]], axis=1) if len(rows) else np.zeros((0, 2), np.int64)
+    links = np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
+    k, chains = len(links), len(first)
+    nothing, zero = np.zeros(len(plain) + chains + k, bool), np.zeros(k, np.int64)
+    single, open_ = nothing.copy(), nothing.copy()
+    single[: len(plain)] = True
+    open_[: len(plain)] = open_[len(plain) + chains :] = True
+    pad = np.zeros(len(plain), np.int64)
+    return pa.RecordBatch.from_pydict({
+        "sig": np.concatenate((sig[plain], sig[first], mix64(links[:, 0].view(np.uint64) ^ links[:, 1].view(np.uint64)).view(np.int64))),
+        "node": np.concatenate((node[plain], node[first], links[:, 0])), "n": np.concatenate((n[plain], n[first], zero)).astype(np.int32),
+        "slack": np.concatenate((slack[plain], slack[first], zero)).astype(np.int32), "rare": np.concatenate((rare[plain], rare[first], zero > 0)),
+        "other": pa.array(np.concatenate((pad, node[last], links[:, 1])), mask=single),
+        "high": pa.array(np.concatenate((pad, n[last], zero)).astype(np.int32), mask=open_),
+    })
+
+
 def _found(kind: int, sig, x, y, nx, ny, sx, sy, rare) -> pa.RecordBatch:
     k = len(x)
     return pa.RecordBatch.from_pydict({
@@ -234,39 +281,49 @@ def _found(kind: int, sig, x, y, nx, ny, sx, sy, rare) -> pa.RecordBatch:
 
 
 def _probe(entries: DataFrame) -> DataFrame:
-    """kind 0: pairs of sets of small entries; kind 1: the sets of larger entries, one row each."""
+    """kind 0: pairs of sets of small entries (no sig); kind 1: the chains (x, nx) to (y, ny) of larger entries, a single
+    set being one too; kind 2: the links that map tasks found."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None
-        names = ("sig", "node", "n", "slack", "rare")
+        names = ("sig", "node", "n", "slack", "rare", "other", "high")
         for batch in _then_none(batches):
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names} if batch else None
+            cols = None
+            if batch:
+                link = pc.and_(pc.is_null(batch.column("high")), pc.is_valid(batch.column("other")))
+                links = batch.filter(link)
+                if links.num_rows:
+                    none = np.zeros(links.num_rows, np.int32)
+                    yield _found(2, np.zeros(links.num_rows, np.int64), links.column("node"), links.column("other"), none, none, none, none, none > 0)
+                rest = batch.filter(pc.invert(link))
+                rest = rest.set_column(5, "other", pc.coalesce(rest.column("other"), rest.column("node"))).set_column(6, "high", pc.coalesce(rest.column("high"), pa.scalar(0, pa.int32())))
+                cols = {c: rest.column(c).to_numpy(zero_copy_only=False) for c in names}
             if held is not None:
                 cols = {c: np.concatenate((held[c], cols[c])) for c in names} if cols else held
             held = None
             if cols is None or not len(cols["sig"]):
                 continue
             sig, node = cols["sig"], cols["node"]
-            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])))
+            new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1]))) | (cols["high"] > 0)
             cols = {c: v[new] for c, v in cols.items()}
             sig = cols["sig"]
             begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             width = np.diff(np.append(begin, len(sig)))
+            chained = np.logical_or.reduceat(cols["high"] > 0, begin)
             if batch is not None:  # the last entry may go on in the next batch
                 cut = begin[-1]
-                if width[-1] > SMALL or sig[cut] == large:
+                if width[-1] > SMALL or chained[-1] or sig[cut] == large:
                     large = sig[cut]
                     held = {c: v[-1:] for c, v in cols.items()}  # its last set, so that a repeat is seen
                     width[-1] -= 1
                 else:
                     held = {c: v[cut:] for c, v in cols.items()}
                     width[-1] = 0
-            big = (width > SMALL) | ((sig[begin] == large) & (width > 0) if large is not None else False)
+            big = ((width > SMALL) | chained | (sig[begin] == large if large is not None else False)) & (width > 0)
             rows = np.concatenate([np.zeros(0, np.int64), *(np.arange(b, b + w) for b, w in zip(begin[big], width[big], strict=True))])
             if len(rows):
                 r = {c: v[rows] for c, v in cols.items()}
-                zero = np.zeros(len(rows), np.int32)
-                yield _found(1, r["sig"], r["node"], r["node"], r["n"], zero, r["slack"], zero, r["rare"])
+                yield _found(1, r["sig"], r["node"], r["other"], r["n"], np.maximum(r["n"], r["high"]), r["slack"], r["slack"], r["rare"])
             for size in range(2, SMALL + 1):
                 at = begin[(width == size) & ~big]
                 if not len(at):
@@ -277,7 +334,7 @@ def _probe(entries: DataFrame) -> DataFrame:
                 near = 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
                 a, b = a[near], b[near]
                 if len(a):
-                    yield _found(0, sig[a], cols["node"][a], cols["node"][b], cols["n"][a], cols["n"][b], cols["slack"][a], cols["slack"][b], cols["rare"][a])
+                    yield _found(0, np.zeros(len(a), np.int64), cols["node"][a], cols["node"][b], cols["n"][a], cols["n"][b], cols["slack"][a], cols["slack"][b], cols["rare"][a])
 
     return entries.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(probe, _FOUND)
 
@@ -290,31 +347,41 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, bits, tokens) of the documents whose ids are wanted, and of a few that the filter lets through.
 
-    The ids reach the tasks as a Bloom filter of fixed size (BLOOM_BITS), never as a list.
+    The ids reach the tasks as a Bloom filter sized by their number, never as a list; where that filter
+    would pass MOST_BLOOM_BITS, the documents are joined with the ids instead.
     """
     spark = docs.sparkSession
-    bit = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("doc_id")).bitwiseAND(BLOOM_BITS - 1) for k in (1, 2)))).alias("b")
-    words = wanted.select(bit).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
-    bits = np.zeros(BLOOM_BITS // 64, np.int64)
-    bits[words["w"]] = words["v"]
-    bloom = spark.sparkContext.broadcast(bits)
+    bits = 1 << max(16, (16 * wanted.count() - 1).bit_length())
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bloom = None
+    if bits > MOST_BLOOM_BITS:
+        docs = docs.join(wanted.select(F.col("doc_id").alias("id")).distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    else:
+        bit = F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("doc_id")).bitwiseAND(bits - 1) for k in range(4)))).alias("b")
+        words = wanted.select(bit).groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")).toPandas()
+        table = np.zeros(bits // 64, np.int64)
+        table[words["w"]] = words["v"]
+        bloom = spark.sparkContext.broadcast(table)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for k in ("h1", "h2"):
-                b = batch.column(k).to_numpy()
+            for k in range(4) if bloom else ():
+                b = batch.column(f"h{k}").to_numpy()
                 keep &= (bloom.value[b >> 6] >> (b & 63)) & 1 == 1
-            sets = shingle_sets(texts(batch.filter(pa.array(keep))))
-            sets = [s for s in sets if len(s)]
-            if sets:
+            found = [(node_of(s), s) for s in shingle_sets(texts(batch.filter(pa.array(keep)))) if len(s)]
+            found = [(node, s) for node, s in dict(found).items() if node not in seen]
+            seen.update(node for node, _ in found)
+            if found:
+                nodes, sets = zip(*found, strict=True)
                 yield pa.RecordBatch.from_pydict({
-                    "node": pa.array([node_of(s) for s in sets], pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
+                    "node": pa.array(nodes, pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
                     "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
                 })
 
-    hashed = docs.select("text", *(F.xxhash64(F.lit(k), F.col("doc_id").cast("long")).bitwiseAND(BLOOM_BITS - 1).alias(f"h{k}") for k in (1, 2)))
-    return hashed.mapInArrow(emit, "node long, n int, bits binary, tokens binary")
+    hashed = [F.xxhash64(F.lit(k), F.col("doc_id")).bitwiseAND(bits - 1).alias(f"h{k}") for k in range(4)] if bloom else []
+    return docs.select("text", *hashed).mapInArrow(emit, "node long, n int, bits binary, tokens binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -351,33 +418,56 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
 
 
-def _clusters(large: DataFrame) -> DataFrame:
+def _clusters(found: DataFrame) -> DataFrame:
     """(node, cluster): sets chained by larger entries, neighbours in size within an entry.
 
-    Of an entry's sets in order of size, neighbours are chained when their sizes let them link; then
-    so is any pair whose sizes do. Sets of different clusters share no entry that matters.
+    Of an entry's chains in order of their smallest sizes, one that is too large to link with any before
+    begins a run, and the others are hung on their run's first; so any two sets of the entry whose sizes
+    let them link are in one cluster. Sets of different clusters share no entry that matters.
+    """
+    order = Window.partitionBy("sig").orderBy("nx", "x", "ny", "y")
+    far = F.max("ny").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chains = found.where("kind = 1").select("sig", "x", "nx", "y", "ny").withColumn("begins", F.coalesce(3 * F.col("nx").cast("long") > 4 * far.cast("long"), F.lit(True)).cast("int"))
+    runs = chains.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.first("x").over(Window.partitionBy("sig", "run").orderBy("nx", "x", "ny", "y"))
+    edges = runs.select("x", first.alias("y")).where("x <> y").unionByName(found.where("kind = 2").select("x", "y"))
+    return components(edges.distinct()).select("node", F.col("root").alias("cluster"))
+
+
+def _band(size: str) -> Column:
+    """The size band (powers of 4/3): of two sizes that may link, the larger is in the same band or the next."""
+    return F.floor(F.log(F.col(size) + 0.5) / float(np.log(4 / 3)))
+
+
+def _undecided(members: DataFrame) -> DataFrame:
+    """The members (cluster, node, n, root) that have a member of another root in their size's reach.
+
+    The others can't join components: all sets of their cluster that may link with them are in theirs.
     """
-    order = Window.partitionBy("sig").orderBy("nx", "x")
-    chained = large.select("x", "nx", F.lag("x").over(order).alias("y"), F.lag("nx").over(order).alias("ny"))
-    edges = chained.where("3 * nx <= 4 * ny").select("x", "y").distinct()
-    return components(edges).select("node", F.col("root").alias("cluster"))
+    banded = members.withColumn("band", _band("n"))
+    near = banded.select("cluster", "root", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))).alias("band"))
+    mixed = near.groupBy("cluster", "band").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cluster", "band")
+    return banded.join(mixed, ["cluster", "band"], "left_semi").drop("band")
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """(cluster, i, j, node, root): the sets of a cluster dealt to pairs of blocks of like sizes.
+    """(cluster, i, j, block, node, root): the sets of a cluster dealt to pairs of blocks of like sizes.
 
-    Blocks hold BLOCK sets in order of size; blocks too far apart in size are not paired. A set is
-    sent once per pair of blocks, so a cluster of m sets moves m * m / BLOCK rows at most.
+    A set's block follows from how much its cluster's smaller sets weigh and, among sets of its size, from
+    its hash: only counts per cluster and size are put in order. A block weighs about BLOCK; blocks too
+    far apart in size are not paired. Pairs are found by joining blocks on size bands (powers of 4/3): a
+    block pairs with those that begin in a band from its own first to the one after its last.
     """
-    order = Window.partitionBy("cluster").orderBy("n", "node")
-    dealt = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
+    weight = F.lit(1) + F.floor(F.col("n") / BLOCK_TOKENS)
+    sizes = members.groupBy("cluster", "n").agg((F.count("*") * F.first(weight)).alias("mass"))
+    below = Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("below", F.coalesce(F.sum("mass").over(below), F.lit(0)))
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+    dealt = members.join(sizes, ["cluster", "n"]).withColumn("block", F.floor((F.col("below") + F.floor(spot * F.col("mass"))) / BLOCK)).drop("mass", "below")
     ranges = dealt.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    ranges = ranges.groupBy("cluster").agg(F.collect_list(F.struct("block", "low", "high")).alias("blocks"))
-    pairs = F.expr(
-        "flatten(transform(blocks, a -> transform(filter(blocks, b -> a.block <= b.block and 4 * a.high >= 3 * b.low),"
-        " b -> struct(a.block as i, b.block as j))))"
-    )
-    tasks = ranges.select("cluster", F.explode(pairs).alias("t")).select("cluster", "t.i", "t.j")
+    left = ranges.select("cluster", F.col("block").alias("i"), "high", F.explode(F.sequence(_band("low"), _band("high") + 1)).alias("band"))
+    right = ranges.select("cluster", F.col("block").alias("j"), "low", _band("low").alias("band"))
+    tasks = left.join(right, ["cluster", "band"]).where("i <= j and 4L * high >= 3L * low").select("cluster", "i", "j")
     ends = tasks.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     return dealt.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "block", "node", "root")
 
@@ -401,7 +491,7 @@ def _cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             if key:
                 task = key[-1]
 
-    rows = _blocks(members).join(sets, "node").select("cluster", "i", "j", "block", "node", "root", "n", "bits", "tokens")
+    rows = _blocks(written(_undecided(members), "members")).join(sets, "node").select("cluster", "i", "j", "block", "node", "root", "n", "bits", "tokens")
     return rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "block", "node").mapInArrow(compare, "x long, y long")
 
 
@@ -455,8 +545,8 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     needed = F.ceil((F.col("nx") + F.col("ny")) * 3 / 7 - 1e-9) - F.greatest("sx", "sy")
     pairs = found.where("kind = 0").groupBy("x", "y").agg(F.sum(F.col("rare").cast("int")).alias("common"), F.max(needed).alias("needed"))
     pairs = written(pairs.where("common >= needed").select("x", "y", "common"), "pairs")
-    large = found.where("kind = 1").select("sig", "x", "nx")
-    clusters = written(_clusters(large), "clusters")
+    clusters = written(_clusters(found), "clusters")
+    discard(found)
 
     used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
     owner = scanned.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
@@ -466,9 +556,12 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     nearest = ends.groupBy("x").agg(F.max(F.struct("common", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y"))
     links = written(_verify(nearest.distinct(), sets), "links")
     links = written(links.unionByName(_verify(_across(pairs, components(links)), sets)), "links")
+    discard(pairs)
     roots = components(links)
     members = clusters.join(owner.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return links.unionByName(written(_cluster_links(members, sets), "links"))
+    links = links.unionByName(written(_cluster_links(members, sets), "links"))
+    discard(sets, clusters)
+    return links
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -498,20 +591,21 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     members, named = _labelled(docs)
     named = written(named, "named")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
+    mark = own_name(docs, "_node")
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
 
     def noded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = pa.array([node_of(s) if len(s) else None for s in shingle_sets(texts(batch))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, "_node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*batch.schema.names, mark])
 
     # `first` tells components apart that have the same smallest id; no words stand as node 0.
-    least = members.join(named, "node").where("doc_id = component").groupBy("first").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("_node")).drop("first")
-    wordless = members.where("node is null and doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("_node"))
+    least = members.join(named, "node").where("doc_id = component").groupBy("first").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias(mark)).drop("first")
+    wordless = members.where("node is null and doc_id is not null").select("doc_id", F.lit(0).cast("long").alias(mark))
     stay = least.unionByName(wordless)
-    with_id = docs.where("doc_id is not null").mapInArrow(noded, schema).withColumn("_node", F.coalesce("_node", F.lit(0).cast("long")))
-    kept = with_id.join(stay, ["doc_id", "_node"], "left_semi").dropDuplicates(["doc_id", "_node"]).select(docs.columns)
+    with_id = docs.where("doc_id is not null").mapInArrow(noded, schema).withColumn(mark, F.coalesce(mark, F.lit(0).cast("long")))
+    kept = with_id.join(stay, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
     nameless = docs.where("doc_id is null").mapInArrow(noded, schema)
-    unclaimed = named.where("component is null and node = first").select(F.col("node").alias("_node"))
-    single = nameless.join(unclaimed, "_node", "left_semi").dropDuplicates(["_node"]).drop("_node")
-    return kept.unionByName(single).unionByName(nameless.where("_node is null").drop("_node"))
+    unclaimed = named.where("component is null and node = first").select(F.col("node").alias(mark))
+    single = nameless.join(unclaimed, mark, "left_semi").dropDuplicates([mark]).drop(mark)
+    return kept.unionByName(single).unionByName(nameless.where(F.col(mark).isNull()).drop(mark))
