@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import re
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, tokenfiles, toxicity
+from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, runs, tokenfiles, toxicity
+from quillflow.llm.common import WORD, arrow_batches, texts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +124,49 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_classes(table(spark, sf_dir, "documents"))
 
 
+def _periodic(docs: DataFrame) -> DataFrame:
+    """doc_id and text of all documents; those whose id's crc32 is a multiple of 10 go on periodically from a word on."""
+    word = re.compile(WORD)
+
+    def rewrite(batches):
+        for batch in batches:
+            ids, out = batch.column("doc_id").cast(pa.int64()), texts(batch).to_pylist()
+            for k, doc_id in enumerate(ids.to_pylist()):
+                h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+                if h % 10 or not (words := word.findall(out[k])):
+                    continue
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                out[k] = " ".join(words[:a] + (words[a : a + p] * (n // p + 1))[: n - a])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    arrow_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(rewrite, "doc_id long, text string")
+
+
+def run_digests(docs: DataFrame) -> DataFrame:
+    """Number of runs, the run of greatest exponent and digests of all runs and of the collapsed text of every document.
+
+    A null id is taken as one whose text stays as it is.
+    """
+    found = runs.periodic_runs(_periodic(docs))
+    # Different ratios of numbers whose product is under 2^53 differ as doubles too, and equal ones are equal: texts up to 90 million words.
+    top = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"] / r["period"]).alias("ratio"), r["start"].alias("start"), r["period"].alias("period"), r["length"].alias("length"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    found = found.withColumn("top", top)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, some of which are made periodic first."""
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
@@ -133,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
