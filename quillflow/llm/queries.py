@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, runs, tokenfiles, toxicity
+from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, runs, tokenfiles, toxicity, trie
 from quillflow.llm.common import WORD, arrow_batches, texts
 
 
@@ -167,6 +167,58 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+def rebuilt_paths(turns: DataFrame) -> DataFrame:
+    """Each conversation's path: the first turns of the conversation at the last multiple of 5, then its own after as many."""
+    paths = trie.conversation_paths(turns).withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int"))
+    donors = paths.select(F.col("conv_id").alias("donor"), F.col("path").alias("their_path"), F.col("sizes").alias("their_sizes"))
+    joined = paths.join(donors, F.col("conv_id") - F.col("conv_id") % 5 == F.col("donor"), "left")
+    own = f"substring(path, {trie.WIDTH} * h + 1), slice(sizes, h + 1, greatest(size(sizes) - h, 0))".split(", slice")
+    return joined.select(
+        "conv_id", F.expr(f"concat(coalesce(substring(their_path, 1, {trie.WIDTH} * h), x''), {own[0]})").alias("path"),
+        F.expr(f"concat(coalesce(slice(their_sizes, 1, h), cast(array() as array<long>)), slice{own[1]})").alias("sizes"),
+    )
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt to share beginnings."""
+    return trie.prefix_trie(rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+r AS (
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h),
+w AS (
+  SELECT conv_id, row_number() OVER o AS depth, octet_length(encode(text)) AS size,
+    list(md5(concat(length(role), ':', role, text))) OVER (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS path
+  FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+m AS (
+  SELECT conv_id, depth, size, path FROM w
+  UNION ALL
+  SELECT conv_id, 0, 0, [] FROM c),
+longest AS (SELECT conv_id, max(depth) AS last FROM m GROUP BY conv_id),
+n AS (
+  SELECT path, any_value(depth) AS depth, any_value(size) AS size, min(m.conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) FILTER (depth = last), '')) AS ends_sha256
+  FROM m JOIN longest USING (conv_id) GROUP BY path),
+kids AS (SELECT path[:depth - 1] AS path, count(*) AS k FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k, 0) AS n_children FROM n LEFT JOIN kids ON kids.path = n.path),
+up AS (SELECT unnest(list_transform(range(0, depth + 1), lambda d: path[:d])) AS path, n_children, (n_convs - 1) * size AS saved FROM f),
+sums AS (SELECT path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY path)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM f JOIN sums ON sums.path = f.path LEFT JOIN f p ON f.depth > 0 AND p.path = f.path[:f.depth - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
@@ -181,9 +233,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_conversation_trie": op12_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_trie": OP12_SQL}
