@@ -41,7 +41,7 @@ a component's id unless it has no other; an empty table gives no rows; other col
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -344,8 +344,8 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, bits, tokens) of the documents whose ids are wanted, and of a few that the filter lets through.
+def _sets(docs: DataFrame, wanted: DataFrame, sketch: Callable[[np.ndarray], np.ndarray] = bitmap) -> DataFrame:
+    """(node, n, bits, tokens) of the documents whose ids are wanted, and of a few that the filter lets through; `sketch` gives a set's bits.
 
     The ids reach the tasks as a Bloom filter sized by their number, never as a list; where that filter
     would pass MOST_BLOOM_BITS, the documents are joined with the ids instead.
@@ -377,7 +377,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 nodes, sets = zip(*found, strict=True)
                 yield pa.RecordBatch.from_pydict({
                     "node": pa.array(nodes, pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
-                    "bits": pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "bits": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
                 })
 
     hashed = [F.xxhash64(F.lit(k), F.col("doc_id")).bitwiseAND(bits - 1).alias(f"h{k}") for k in range(4)] if bloom else []
@@ -418,8 +418,8 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("rx", "x") != F.coalesce("ry", "y")).drop("rx", "ry")
 
 
-def _clusters(found: DataFrame) -> DataFrame:
-    """(node, cluster): sets chained by larger entries, neighbours in size within an entry.
+def _hung(found: DataFrame) -> DataFrame:
+    """Edges (x, y) that chain the sets of larger entries, neighbours in size within an entry.
 
     Of an entry's chains in order of their smallest sizes, one that is too large to link with any before
     begins a run, and the others are hung on their run's first; so any two sets of the entry whose sizes
@@ -431,7 +431,12 @@ def _clusters(found: DataFrame) -> DataFrame:
     runs = chains.withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     first = F.first("x").over(Window.partitionBy("sig", "run").orderBy("nx", "x", "ny", "y"))
     edges = runs.select("x", first.alias("y")).where("x <> y").unionByName(found.where("kind = 2").select("x", "y"))
-    return components(edges.distinct()).select("node", F.col("root").alias("cluster"))
+    return edges.distinct()
+
+
+def _clusters(hung: DataFrame) -> DataFrame:
+    """(node, cluster) of the sets that edges chain."""
+    return components(hung).select("node", F.col("root").alias("cluster"))
 
 
 def _band(size: str) -> Column:
@@ -472,8 +477,9 @@ def _blocks(members: DataFrame) -> DataFrame:
     return dealt.join(ends, ["cluster", "block"]).select("cluster", "i", "j", "block", "node", "root")
 
 
-def _cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links that connect each cluster (cluster, node, n, root) as all its links do, found block by block."""
+def _cluster_links(members: DataFrame, sets: DataFrame, connect: Callable[[pa.Table], pa.RecordBatch] | None = None) -> DataFrame:
+    """Links that connect each cluster (cluster, node, n, root) as all its links do, found block by block by `connect`."""
+    connect = connect or _connect
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -484,7 +490,7 @@ def _cluster_links(members: DataFrame, sets: DataFrame) -> DataFrame:
             for low, high in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if low in cuts or batch is None:
                     if held:
-                        yield _connect(pa.Table.from_batches(held))
+                        yield connect(pa.Table.from_batches(held))
                     held = []
                 if high > low:
                     held.append(batch.slice(low, high - low))
@@ -531,10 +537,10 @@ def _connect(table: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"x": x, "y": y})
 
 
-def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+def _linked(a: np.ndarray, b: np.ndarray, percent: int = 75) -> bool:
     both = np.sort(np.concatenate((a, b)), kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= 75 * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -545,7 +551,7 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     needed = F.ceil((F.col("nx") + F.col("ny")) * 3 / 7 - 1e-9) - F.greatest("sx", "sy")
     pairs = found.where("kind = 0").groupBy("x", "y").agg(F.sum(F.col("rare").cast("int")).alias("common"), F.max(needed).alias("needed"))
     pairs = written(pairs.where("common >= needed").select("x", "y", "common"), "pairs")
-    clusters = written(_clusters(found), "clusters")
+    clusters = written(_clusters(_hung(found)), "clusters")
     discard(found)
 
     used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
@@ -569,11 +575,15 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrow_batches(docs.sparkSession)
     scanned = written(_scan(docs), "scanned")
     members = scanned.where("kind = 0").select("doc_id", "node", F.col("n").alias("n_shingles"))
-    roots = components(_links(docs, scanned))
+    return members, _named(members, components(_links(docs, scanned)))
+
+
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, component, first) of every set: the least doc_id and the least node of its component (node, root)."""
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"), F.min("node").alias("first"))
-    return members, nodes.join(least, "root").select("node", "component", "first")
+    return nodes.join(least, "root").select("node", "component", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillflow.llm import classifier, exact, license, mixing, near, packing, pii, quality, runs, tokenfiles, toxicity, trie
+from quillflow.llm import classifier, exact, license, minhash, mixing, near, packing, pii, quality, runs, tokenfiles, toxicity, trie
 from quillflow.llm.common import WORD, arrow_batches, texts
 
 
@@ -219,6 +219,14 @@ FROM f JOIN sums ON sums.path = f.path LEFT JOIN f p ON f.depth > 0 AND p.path =
 """
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, component and verdict of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = OP9_SQL.replace("75 * (a.n", "85 * (a.n").replace("AS component_id\nFROM w", "AS component_id, coalesce(c.component_id, w.doc_id) = w.doc_id AS kept\nFROM w")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One query per operator."""
     return {
@@ -234,9 +242,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_trie": OP12_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op13_minhash": OP13_SQL}

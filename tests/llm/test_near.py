@@ -8,7 +8,7 @@ import pytest
 near = pytest.importorskip("quillflow.llm.near")
 
 
-def brute(rows):
+def brute(rows, percent=75):
     """(doc_id, n_shingles, component_id) by comparing all pairs of sets."""
     sets = {}
     for doc_id, text in rows:
@@ -34,7 +34,7 @@ def brute(rows):
                 if e < d:
                     met[e] += 1
         for e, both in met.items():
-            if 100 * both >= 75 * (len(sets[d]) + len(sets[e]) - both):
+            if 100 * both >= percent * (len(sets[d]) + len(sets[e]) - both):
                 a, b = find(d), find(e)
                 root[max(a, b)] = min(a, b)
     return sorted((d, len(sets[d]), find(d)) for d in ids)
