@@ -5,48 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillflow.functions import fuzzy
 from quillflow.functions.text import CODE_GROUPS
 
-#: The order number's prefix and patterns; group 1 is the value.
-PREFIX = "S5PRPUR"
-STRICT = r"[S5]{2}PRPUR/(\d{4}/\d{8})"
-ANCHORED = r"(?i)order\s*no\.?\s*:?\s*(\d{4}/\d{8})"
-LOOSE = r"(?:^|\s)(\d{8})(?:\s|$)"
-GARBLED = r"([A-Z0-9]{7}/[0-9OIS]{4}/[0-9OIS]{8})"
-#: A tax id, and what misread letters and digits stand for.
-TAX_ID = "[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z][1-9A-Z]Z[0-9A-Z]"
-LETTERS, AS_DIGITS = "OIQSBZ", "010582"
-DIGITS, AS_LETTERS = "015826", "OISBZG"
+#: The order number is SPRPUR/yyyy/mm/dd-serial, its S also read as 5, with blanks anywhere between its parts.
+PREFIX, PREFIX_WORD, PREFIX_RATIO = "[S5]PRPUR", "SPRPUR", 0.6
+_DATE = r"\s*/\s*\d{4}\s*/\s*\d{2}\s*/\s*(\d{2})\s*-"
+STRICT = rf"(?i)({PREFIX}{_DATE}\s*(\d{{4,6}}))((\d{{0,2}})-[A-Za-z]{{3}}-\d{{2}}\b)?"
+ANCHOR = rf"(?i)({PREFIX}{_DATE})"
+LOOSE = rf"(?i)({PREFIX}\s*/\s*[A-Za-z0-9]{{1,6}}\s*/\s*[A-Za-z0-9]{{1,4}}\s*/\s*[A-Za-z0-9]{{1,4}}\s*-\s*[A-Za-z0-9]{{1,8}})"
+MISSPELT = r"(?<![A-Za-z0-9])([A-Za-z0-9]{4,8})\s*[/\\-]\s*\d{4}\s*[/\\-]\s*\d{2}\s*[/\\-]\s*\d{2}\s*[-–]\s*\d{4,6}(?!\d)"
+#: A tax id, whose 14th character is Z also where it reads as 2, and its part behind the two-digit state code.
+TAX_ID = r"\b(\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9][Z2][A-Z0-9])\b"
+TAX_CORE = r"[A-Z]{5}\d{4}[A-Z][A-Z0-9][Z2][A-Z0-9]"
 #: The zone of each first digit of a PIN, from 1.
 PIN_ZONES = ("NORTH", "NORTH", "CENTRE", "WEST", "SOUTH", "SOUTH", "EAST", "EAST", "ARMY")
 
 
-def _group(value: Column, pattern: str) -> Column:
-    return F.nullif(F.regexp_extract(value, pattern, 1), F.lit(""))
+def _answer(value: Column, confidence: str) -> Column:
+    """(value, confidence) with the value's blanks taken out and in upper case; null for no value."""
+    shown = F.upper(F.regexp_replace(value, r"\s+", ""))
+    return F.when(value.isNotNull() & (value != ""), F.struct(shown.alias("value"), F.lit(confidence).alias("confidence")))
 
 
 def order_number(text: Column) -> Column:
-    """(value, confidence): strict 1.0, behind its label 0.9, bare digits 0.6, misread 0.4, none 0."""
-    garbled = _group(text, GARBLED)
-    near = F.levenshtein(F.substring(garbled, 1, 7), F.lit(PREFIX)) <= 2
-    repaired = F.when(near, F.translate(F.substring(garbled, 9, 13), "OIS", "015"))
-    tries = ((_group(text, STRICT), 1.0), (_group(text, ANCHORED), 0.9), (_group(text, LOOSE), 0.6), (repaired, 0.4))
-    found = [F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(c).alias("confidence"))) for v, c in tries]
-    return F.coalesce(*found, F.struct(F.lit("").alias("value"), F.lit(0.0).alias("confidence")))
+    """(value, confidence) of the first order number: `confident`, `doubtful` or `none`.
+
+    Confident: the whole number, whose serial gives back the digits of a date glued to it if they then name the
+    number's own day; or its beginning, whose serial then stands behind blanks on the same line or is the last one
+    of the next line. Doubtful: the same shape of letters and digits, or a first word that resembles the prefix.
+    """
+    whole = F.regexp_extract(text, STRICT, 0)
+    token, day, serial, tail, left = (F.regexp_extract(whole, STRICT, k) for k in range(1, 6))
+    missing = 2 - F.length(left)
+    glued = (tail != "") & (missing > 0) & (missing <= F.length(serial) - 4) & (F.concat(F.right(serial, missing), left) == day)
+    strict = F.when(glued, F.left(token, F.length(token) - missing)).otherwise(token)
+
+    lines = F.split(F.regexp_extract(text, f"(?s){ANCHOR}(.*)", 3), "\n", 3)
+    same = F.regexp_extract(F.get(lines, F.lit(0)), r"^\s*(\d{4,6})\b", 1)
+    below = F.regexp_extract_all(F.get(lines, F.lit(1)), F.lit(r"(\d{4,6})"), F.lit(1))
+    found = F.coalesce(F.nullif(same, F.lit("")), F.when(F.size(below) > 0, F.element_at(below, -1)))
+    anchored = F.concat(F.regexp_extract(text, ANCHOR, 1), found)
+
+    loose = F.regexp_extract(text, LOOSE, 1)
+    rest = F.when((whole == "") & anchored.isNull() & (loose == ""), text)  # others aren't worth the comparison
+    words = F.regexp_extract_all(F.upper(rest), F.lit(MISSPELT), F.lit(1))
+    at = fuzzy.first_like(words, PREFIX_WORD, PREFIX_RATIO)
+    misspelt = F.get(F.regexp_extract_all(rest, F.lit(MISSPELT), F.lit(0)), at)
+    none = F.struct(F.lit("").alias("value"), F.lit("none").alias("confidence"))
+    return F.coalesce(_answer(strict, "confident"), _answer(anchored, "confident"), _answer(loose, "doubtful"), _answer(misspelt, "doubtful"), none)
 
 
 def strip_prefix(value: Column) -> Column:
     """An order number without its prefix."""
-    return F.regexp_replace(value, "^[S5]{2}PRPUR/?", "")
+    return F.regexp_replace(value, f"(?i)^{PREFIX}/?", "")
 
 
 def tax_id(text: Column) -> Column:
-    """The first tax id of a text, else the first run of 15 signs that is one when put right; blank if none."""
-    run = F.regexp_extract(text, "([0-9A-Z]{15})", 1)
-    digit = lambda at, n: F.translate(F.substring(run, at, n), LETTERS, AS_DIGITS)
-    letter = lambda at, n: F.translate(F.substring(run, at, n), DIGITS, AS_LETTERS)
-    fixed = F.concat(digit(1, 2), letter(3, 5), digit(8, 4), letter(12, 1), F.substring(run, 13, 1), F.translate(F.substring(run, 14, 1), "2", "Z"), F.substring(run, 15, 1))
-    return F.coalesce(_group(text, f"({TAX_ID})"), F.when(F.rlike(fixed, F.lit(f"^{TAX_ID}$")), fixed), F.lit(""))
+    """The first tax id of a text as it stands, else with its blanks left out, else its core with the first two digits
+    that stand apart from it; its 14th character is Z. Blank if there is none."""
+    whole = F.coalesce(F.nullif(F.regexp_extract(text, TAX_ID, 1), F.lit("")), F.nullif(F.regexp_extract(F.replace(text, F.lit(" "), F.lit("")), TAX_ID, 1), F.lit("")))
+    signs = F.replace(F.replace(F.regexp_replace(F.upper(text), "[^A-Z0-9]", ""), F.lit("GSTIN"), F.lit("")), F.lit("UIN"), F.lit(""))
+    core = F.regexp_extract(signs, f"({TAX_CORE})", 1)
+    state = F.regexp_extract(F.replace(signs, core, F.lit("")), r"(\d{2})", 1)
+    put = lambda v, at: F.concat(F.left(v, F.lit(at - 1)), F.lit("Z"), F.substring(v, at + 1, 15))
+    return F.coalesce(put(whole, 14), F.when(core != "", F.concat(state, put(core, 12))), F.lit(""))
 
 
 def canonical_group(value: Column) -> Column:
@@ -54,13 +77,50 @@ def canonical_group(value: Column) -> Column:
     return F.translate(F.upper(value), "".join(CODE_GROUPS), "".join(g[0] * len(g) for g in CODE_GROUPS))
 
 
-def mismatch(a: Column, b: Column) -> Column:
-    """Share of unequal characters of equally long forms; of left-out ones where a is a subsequence of b; else 1."""
-    same = F.aggregate(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    # Walks through b once; what is left of a is what b doesn't hold in order.
-    rest = F.aggregate(F.split(b, ""), a, lambda left, c: F.when(F.substring(left, 1, 1) == c, F.substring(left, 2, 1000)).otherwise(left))
-    longer = F.length(b)
-    return F.round(F.when(F.length(a) == longer, 1 - same / longer).when((F.length(a) < longer) & (F.length(rest) == 0), 1 - F.length(a) / longer).otherwise(1.0), 6)
+def _in_order(part: Column, word: Column) -> Column:
+    """Whether the three characters of `part` stand in `word` in that order, the first one first; canonical forms."""
+    c = [F.substring(part, k, 1) for k in (1, 2, 3)]
+    second = F.instr(F.substring(word, 2, 1000), c[1])
+    third = F.instr(F.substr(word, second + 2, F.lit(1000)), c[2])
+    return (F.length(part) == 3) & (F.left(word, F.lit(1)) == c[0]) & (second > 0) & (third > 0)
+
+
+def vendor_code(raw: Column, name: Column) -> Column:
+    """(code, confidence) of a misread vendor code, put right by what its letters should be by the vendor's name.
+
+    Heads that the name allows: its first word; that word's three letters with any three or more of the second or
+    third word; the longest beginning that the reading shares with the first word; the reading's own six characters if
+    they stand in the words in order. The head with the least share of differing characters (confusable ones don't
+    differ) wins, the longest of equals; only one without any is used. What follows must be digits, confusable
+    characters standing for theirs. `confident` if both hold, else `doubtful`; `none` for a blank reading.
+    """
+    canon = canonical_group
+    clean = F.regexp_replace(raw, r"^\s*[1:;]\s+", "")  # a label's colon read as a sign of its own
+    read = F.upper(F.regexp_replace(clean, r"\s+", ""))
+    words = F.filter(F.transform(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)), F.upper), lambda w: F.length(w) >= 3)
+    first, more = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.slice(words, 2, 2)
+    joined = F.flatten(F.transform(more, lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda n: F.concat(F.left(first, F.lit(3)), F.left(w, n)))))
+    alike = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(read), F.length(first)), F.lit(1))), lambda n: canon(F.left(read, n)) == canon(F.left(first, n)))
+    shared = F.coalesce(F.array_max(alike), F.lit(0))
+    six = canon(F.left(read, F.lit(6)))
+    own = (F.length(read) >= 6) & _in_order(F.left(six, F.lit(3)), canon(first)) & F.exists(more, lambda w: _in_order(F.substring(six, 4, 3), canon(w)))
+    heads = F.concat(F.array(first), joined, F.array(F.when(shared >= 3, F.left(first, shared)).otherwise("")), F.array(F.when(own, F.left(read, F.lit(6))).otherwise("")))
+    fitting = F.filter(heads, lambda h: (h != "") & (F.length(h) <= F.length(read)))
+
+    def scored(h: Column, place: Column) -> Column:
+        pairs = F.zip_with(F.split(canon(F.left(read, F.length(h))), ""), F.split(canon(h), ""), lambda x, y: F.when(x == y, 0).otherwise(1))
+        return F.struct((F.aggregate(pairs, F.lit(0), lambda x, y: x + y) / F.length(h)).alias("miss"), (-F.length(h)).alias("size"), place.alias("place"), h.alias("head"))
+
+    best = F.array_min(F.transform(fitting, scored))
+    sure = F.coalesce(best["miss"] == 0, F.lit(False))
+    head = F.when(sure, best["head"]).otherwise(F.left(read, F.lit(6)))
+    tail = canon(F.substr(read, F.length(head) + 1, F.lit(1000)))
+    fixed = F.concat(head, F.regexp_replace(tail, "[^0-9]", ""))
+    good = sure & F.rlike(tail, F.lit("^[0-9]+$"))
+    answer = lambda v, c: F.struct(v.alias("code"), c.alias("confidence"))
+    blank = F.coalesce(F.trim(F.regexp_replace(raw, r"\s+", "")) == "", F.lit(True))
+    short = F.length(read) < 4
+    return F.when(blank, answer(F.lit(""), F.lit("none"))).when(short, answer(F.trim(clean), F.lit("doubtful"))).otherwise(answer(fixed, F.when(good, "confident").otherwise("doubtful")))
 
 
 def word_grams(words: Column, n: int) -> Column:
@@ -69,6 +129,6 @@ def word_grams(words: Column, n: int) -> Column:
 
 
 def folder_name(value: Column) -> Column:
-    """A name that can be a folder: forbidden characters as underscores, no dots or blanks at its end, never blank."""
-    clean = F.regexp_replace(F.trim(F.regexp_replace(value, r'[<>:"/\\|?*]+', "_")), r"[. ]+$", "")
-    return F.when(clean == "", "Unknown").otherwise(clean)
+    """A name that can be a folder: forbidden characters as underscores, no dots or blanks at its ends, never blank."""
+    clean = F.regexp_replace(F.regexp_replace(value, r'[<>:"/\\|?*]+', "_"), r"^[. ]+|[. ]+$", "")
+    return F.when(F.coalesce(clean, F.lit("")) == "", "Unknown").otherwise(clean)

@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accepted spellings, tried in this order.
-FORMATS = ("dd-MM-yyyy", "dd-MMM-yy", "MMM d, yyyy", "yyyy-MM-dd", "dd/MM/yyyy")
-
-#: These and the spellings with dots, full month names and four-digit years.
-ALL_FORMATS = (*FORMATS, "dd.MM.yyyy", "d MMMM yyyy", "MMMM d, yyyy", "dd-MMM-yyyy", "dd MMM yyyy")
-
-
-def normalize(value: Column, formats: tuple[str, ...] = FORMATS) -> Column:
-    """`dd-MM-yyyy` of the first format that fits, blank if none does."""
-
-    def parsed(form: str) -> Column:
-        found = F.try_to_timestamp(value, F.lit(form))
-        if "yyyy" in form:
-            return found
-        return F.when(F.year(found) >= 2069, found - F.expr("INTERVAL 100 YEARS")).otherwise(found)  # two digits: 1969 to 2068
-
-    tries = [parsed(f) for f in formats]
-    return F.coalesce(F.date_format(F.coalesce(*tries), "dd-MM-yyyy"), F.lit(""))
+#: Spellings by pattern, in the order they are tried; a dash is any of these signs. A month's name holds a
+#: letter, so that a year's zeros (2000) are none.
+DASH = "[-/.–—"
+DAY_NAME = rf"^(\d{{1,2}}){DASH} ]*([A-Za-z][A-Za-z0]{{2,}}|0[A-Za-z][A-Za-z0]+){DASH} ]+(\d{{2,4}})"
+NUMBERS = rf"^(\d{{1,2}}){DASH}](\d{{1,2}}){DASH}](\d{{2,4}})"
+NAME_DAY = rf"^([A-Za-z]{{3,}}){DASH} ]+(\d{{1,2}}),?{DASH} ]+(\d{{2,4}})"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b"
+MONTH_NAMES = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+
+
+def _month(word: Column) -> Column:
+    """The month's number that a word's first three letters name, 0 if none; a 0 among them stands for an o."""
+    return F.array_position(F.array(*map(F.lit, MONTH_NAMES)), F.replace(F.lower(F.left(word, F.lit(3))), F.lit("0"), F.lit("o"))).cast("int")
+
+
+def normalize(value: Column) -> Column:
+    """`dd-MM-yyyy` of a date's beginning: day and month's name, numbers by day, month and year, month's name and day,
+    or year first. Blank where none fits, a day is over 31 or a month is none; the calendar isn't asked further."""
+    text = F.trim(value)
+    two = lambda n: F.lpad(n.cast("int").cast("string"), 2, "0")
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    shown = lambda d, m, y: F.concat_ws("-", two(d), two(m), year(y))
+    found = [[F.regexp_extract(text, p, k) for k in (1, 2, 3)] for p in (DAY_NAME, NUMBERS, NAME_DAY, YEAR_FIRST)]
+    (d1, n1, y1), (d2, m2, y2), (n3, d3, y3), (y4, m4, d4) = found
+    day = lambda d: d.try_cast("int").between(1, 31)
+    return (
+        F.when(d1 != "", F.when(day(d1) & (_month(n1) > 0), shown(d1, _month(n1), y1)).otherwise(""))
+        .when(d2 != "", F.when(day(d2) & m2.try_cast("int").between(1, 12), shown(d2, m2, y2)).otherwise(""))
+        .when((n3 != "") & (_month(n3) > 0), shown(d3, _month(n3), y3))
+        .when(y4 != "", shown(d4, m4, y4))
+        .otherwise("")
+    )
 
 
 def term_days(terms: Column) -> Column:

@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegerType
 
 
 def ratio(a: str, b: str) -> float:
@@ -60,6 +60,15 @@ def sequence_ratio(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_sequence, DoubleType())(a, b)
 
 
+def first_like(words: Column, target: str, least: float) -> Column:
+    """The place (from 0) of the first of an array's words whose `ratio` to a text is large enough; null if none is."""
+
+    def place(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if ws is None else next((k for k, w in enumerate(ws) if ratio(w, target) >= least), None) for ws in lists], dtype="Int32")
+
+    return F.pandas_udf(place, IntegerType())(words)
+
+
 def token_set_ratio(a: Column | str, b: Column | str) -> Column:
     """`token_set` of two columns, ignoring case; null if either is null."""
     return F.pandas_udf(_tokens, DoubleType())(a, b)

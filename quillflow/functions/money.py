@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tax slabs in percent.
+#: Tax slabs in percent that a line's amounts are checked with.
 SLABS = (5.0, 12.0, 18.0, 28.0)
+#: All slabs, those that an implied rate may name, and how near it must be.
+ALL_SLABS, NAMED_SLABS, SLAB_REACH = (0.1, 0.25, 3.0, 5.0, 12.0, 18.0, 28.0, 40.0), (3.0, 5.0, 12.0, 18.0, 28.0), 0.3
 
 
 def number(value: Column) -> Column:
@@ -15,9 +17,10 @@ def number(value: Column) -> Column:
 
 
 def nearest_slab(rate: Column) -> Column:
-    """The slab nearest to a rate, the lower of two equally near."""
-    slabs = F.array(*map(F.lit, SLABS))
-    return F.array_min(F.transform(slabs, lambda s: F.struct(F.abs(s - rate).alias("d"), s.alias("s"))))["s"]
+    """The slab nearest to a rate, the lower of two equally near; null if it isn't a named one or is too far."""
+    slabs = F.array(*map(F.lit, ALL_SLABS))
+    best = F.array_min(F.transform(slabs, lambda s: F.struct(F.abs(s - rate).alias("d"), s.alias("s"))))
+    return F.when(best["s"].isin(*NAMED_SLABS) & (best["d"] <= SLAB_REACH), best["s"])
 
 
 #: What `reconcile_code` says.

@@ -56,18 +56,32 @@ def batch_label(df: DataFrame) -> Column:
     )
 
 
+#: Statuses that a batch's label doesn't count.
+UNCOUNTED = ("EXCLUDED", "NEW TEMPLATE", "DUPLICATE", "DATA MISMATCH", "PENDING IN SF", "MANUALLY UPDATED", "UNSUPPORTED")
+
+
+def status_tallies(status: str) -> list[Column]:
+    """The counts that `tier_label` takes: total, uncounted, excluded, loaded, posted, completed, rejected."""
+    named = {"excluded": "EXCLUDED", "loaded": "LOADED", "posted": "POSTED", "completed": "COMPLETED", "rejected": "REJECTED BY ACCOUNTS"}
+    return [F.count("*").alias("total"), count_if(F.col(status).isin(*UNCOUNTED)).alias("uncounted"), *[count_if(F.col(status) == v).alias(k) for k, v in named.items()]]
+
+
 def tier_label(reincluded: Column, downloaded: Column) -> Column:
-    """Label of a batch by its counts (total, excluded, loaded, posted, completed, rejected), by the first rule that holds."""
-    total, excluded, loaded, posted, completed = (F.col(c) for c in ("total", "excluded", "loaded", "posted", "completed"))
-    reached, counted = loaded + posted + completed, total - excluded
-    cleared = reached + F.col("rejected")
+    """Label of a batch by its tallies, by the first rule that holds.
+
+    A rejected document counts as loaded: it was, and has the same next step. Documents in a status that isn't
+    counted hold no batch back.
+    """
+    total, excluded, posted, completed = (F.col(c) for c in ("total", "excluded", "posted", "completed"))
+    loaded, counted = F.col("loaded") + F.col("rejected"), total - F.col("uncounted")
+    reached = loaded + posted + completed
     tier = F.when(loaded > 0, "LOADED").when(posted > 0, "POSTED").otherwise("COMPLETED")
     return (
         F.when((total > 0) & (excluded == total), "EXCLUDED")
         .when((total > 0) & (completed + excluded == total), "COMPLETED")
-        .when((counted > 0) & (reached > 0) & (cleared == counted), tier)
+        .when((counted > 0) & (reached > 0) & (reached == counted), tier)
         .when(reincluded, "DOWNLOADED")
-        .when(cleared > 0, "IN PROGRESS")
+        .when(reached > 0, "IN PROGRESS")
         .when(downloaded, "DOWNLOADED")
         .otherwise("CREATED")
     )

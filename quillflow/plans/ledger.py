@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillflow.operators import window as win
-from quillflow.operators.aggregate import count_if, tier_label
+from quillflow.operators.aggregate import status_tallies, tier_label
 from quillflow.operators.layout import groups_from_first
 from quillflow.operators.merge import absorb, evolve
 from quillflow.plans.registry import query
@@ -124,29 +124,27 @@ def merge_shell(spark, sf_dir):
     return merged.join(counts, "id", "left").select("id", "amount", F.coalesce("priority", "own").alias("priority"), F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"))
 
 
-TIERED = """
-SELECT strftime(o_orderdate, '%Y%m') AS batch, (year(o_orderdate) * 12 + month(o_orderdate))::BIGINT AS m, (CASE (year(o_orderdate) * 12 + month(o_orderdate)) % 6
-  WHEN 0 THEN ['LOADED','POSTED','COMPLETED'] WHEN 1 THEN ['POSTED','COMPLETED','EXCLUDED'] WHEN 2 THEN ['COMPLETED','EXCLUDED','COMPLETED'] WHEN 3 THEN ['EXCLUDED','EXCLUDED','EXCLUDED']
-  WHEN 4 THEN ['READY TO LOAD','LOADED','REJECTED'] ELSE ['READY TO LOAD','READY TO LOAD','DATA MISMATCH'] END)[(o_orderkey % 3) + 1] AS status FROM orders
-"""
+#: Each month is a batch whose documents stand in some of these statuses.
+_STATUSES = {
+    0: "LOADED|POSTED|COMPLETED", 1: "POSTED|COMPLETED|EXCLUDED", 2: "COMPLETED|EXCLUDED|COMPLETED", 3: "EXCLUDED|EXCLUDED|EXCLUDED", 4: "READY TO LOAD|LOADED|REJECTED BY ACCOUNTS", 5: "READY TO LOAD|READY TO LOAD|DATA MISMATCH",
+    6: "POSTED|POSTED|REJECTED BY ACCOUNTS", 7: "LOADED|DATA MISMATCH|PENDING IN SF", 8: "REJECTED BY ACCOUNTS|REJECTED BY ACCOUNTS|REJECTED BY ACCOUNTS", 9: "DUPLICATE|UNSUPPORTED|MANUALLY UPDATED", 10: "COMPLETED|NEW TEMPLATE|POSTED",
+}
+_BATCH_MONTH = "cast(year(o_orderdate) * 12 + month(o_orderdate) AS bigint)"
+_STATUS = f"split_part(CASE {_BATCH_MONTH} % {len(_STATUSES)} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _STATUSES.items()) + " END, '|', cast(o_orderkey % 3 + 1 AS int))"
 
 
 @query(f"""
-WITH c AS (SELECT batch, m, count(*) AS total, count(*) FILTER (status = 'EXCLUDED') AS x, count(*) FILTER (status = 'LOADED') AS l, count(*) FILTER (status = 'POSTED') AS p, count(*) FILTER (status = 'COMPLETED') AS d, count(*) FILTER (status = 'REJECTED') AS r
-  FROM ({TIERED}) GROUP BY 1, 2)
-SELECT batch, CASE WHEN total > 0 AND x = total THEN 'EXCLUDED' WHEN total > 0 AND d + x = total THEN 'COMPLETED'
-  WHEN total - x > 0 AND l + p + d > 0 AND l + p + d + r = total - x THEN CASE WHEN l > 0 THEN 'LOADED' WHEN p > 0 THEN 'POSTED' ELSE 'COMPLETED' END
-  WHEN m % 7 = 0 THEN 'DOWNLOADED' WHEN l + p + d + r > 0 THEN 'IN PROGRESS' WHEN m % 4 = 1 THEN 'DOWNLOADED' ELSE 'CREATED' END AS label, l + p + d + r > 0 AS locked FROM c
+WITH t AS (SELECT {_BATCH_MONTH} AS m, {_STATUS} AS status FROM orders),
+c AS (SELECT m, count(*) AS total, count(*) FILTER (status IN ('EXCLUDED', 'NEW TEMPLATE', 'DUPLICATE', 'DATA MISMATCH', 'PENDING IN SF', 'MANUALLY UPDATED', 'UNSUPPORTED')) AS u, count(*) FILTER (status = 'EXCLUDED') AS x,
+  count(*) FILTER (status IN ('LOADED', 'REJECTED BY ACCOUNTS')) AS l, count(*) FILTER (status = 'POSTED') AS p, count(*) FILTER (status = 'COMPLETED') AS d FROM t GROUP BY m)
+SELECT m AS batch, CASE WHEN x = total THEN 'EXCLUDED' WHEN d + x = total THEN 'COMPLETED' WHEN total > u AND l + p + d > 0 AND l + p + d = total - u THEN CASE WHEN l > 0 THEN 'LOADED' WHEN p > 0 THEN 'POSTED' ELSE 'COMPLETED' END
+  WHEN m % 7 = 0 THEN 'DOWNLOADED' WHEN l + p + d > 0 THEN 'IN PROGRESS' WHEN m % 4 = 1 THEN 'DOWNLOADED' ELSE 'CREATED' END AS label, l + p + d > 0 AS locked FROM c
 """)
 def batch_tiers(spark, sf_dir):
     """Batch labels by all rules: excluded, completed, least advanced tier, re-included, locked, downloaded, created."""
-    m = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-    of = {0: "LOADED POSTED COMPLETED", 1: "POSTED COMPLETED EXCLUDED", 2: "COMPLETED EXCLUDED COMPLETED", 3: "EXCLUDED EXCLUDED EXCLUDED", 4: "READY LOADED REJECTED", 5: "READY READY MISMATCH"}
-    names = F.split(F.element_at(F.create_map(*(F.lit(x) for pair in of.items() for x in pair)), m % 6), " ")
-    rows = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyyMM").alias("batch"), m.alias("m"), F.element_at(names, (F.col("o_orderkey") % 3 + 1).cast("int")).alias("status"))
-    kinds = ("EXCLUDED", "LOADED", "POSTED", "COMPLETED", "REJECTED")
-    counts = rows.groupBy("batch", "m").agg(F.count("*").alias("total"), *[count_if(F.col("status") == k).alias(k.lower()) for k in kinds])
-    label = tier_label(reincluded=F.col("m") % 7 == 0, downloaded=F.col("m") % 4 == 1)
+    rows = table(spark, sf_dir, "orders").select(F.expr(_BATCH_MONTH).alias("batch"), F.expr(_STATUS).alias("status"))
+    counts = rows.groupBy("batch").agg(*status_tallies("status"))
+    label = tier_label(reincluded=F.col("batch") % 7 == 0, downloaded=F.col("batch") % 4 == 1)
     return counts.select("batch", label.alias("label"), (F.col("loaded") + F.col("posted") + F.col("completed") + F.col("rejected") > 0).alias("locked"))
 
 

@@ -393,7 +393,13 @@ def freight_tax(spark, sf_dir):
     return sums.select("l_orderkey", F.when(closer, "goods only").otherwise("with charges").alias("base"))
 
 
-@query("SELECT l_orderkey, l_linenumber, list_min(list_transform([5.0, 12.0, 18.0, 28.0], lambda s: {'d': abs(s::DOUBLE - l_quantity), 's': s::DOUBLE})).s AS slab FROM lineitem")
+_RATE = "l_quantity + (l_linenumber % 5) * 0.125 - 0.25"
+
+
+@query(f"""
+SELECT l_orderkey, l_linenumber, CASE WHEN s.s IN (3, 5, 12, 18, 28) AND s.d <= 0.3 THEN s.s END AS slab FROM (
+  SELECT l_orderkey, l_linenumber, list_min(list_transform([0.1, 0.25, 3.0, 5.0, 12.0, 18.0, 28.0, 40.0], lambda s: {{'d': abs(s::DOUBLE - ({_RATE})), 's': s::DOUBLE}})) AS s FROM lineitem)
+""")
 def nearest_slab(spark, sf_dir):
-    """The tax slab nearest to an implied rate."""
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money.nearest_slab(F.col("l_quantity")).alias("slab"))
+    """The tax slab that an implied rate names, if it is near enough to one."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", money.nearest_slab(F.expr(_RATE)).alias("slab"))
