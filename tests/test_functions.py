@@ -183,7 +183,7 @@ def test_label_lines_same_as_brute_force(spark):
             m = re.match(r"(?i)^\s*licensed under\s+(?:the\s+)?([A-Za-z0-9. -]+)", line)
             bare = line.lstrip(" ")
             score, value = (1.0, m[1].strip()) if m else (0.0, "")
-            if not m and re.match(r"(?i)^\s*l", line):
+            if not m:
                 score, value = round(SequenceMatcher(None, bare[:14].lower(), "licensed under", autojunk=False).ratio(), 6), bare[14:].strip()
             if score >= 0.6 and (best is None or score > best[1]):
                 best = value, score
