@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries and their SQL."""
-    from quillflow.plans import aggregates, codes, joins, layout, ledger, merges, reports, rules, scalars, streams, windows  # noqa: F401
+    from quillflow.plans import aggregates, codes, documents, joins, layout, ledger, merges, reports, rules, scalars, streams, windows  # noqa: F401
 
     return QUERIES, ORACLES
