@@ -23,6 +23,46 @@ def nearest_slab(rate: Column) -> Column:
     return F.when(best["s"].isin(*NAMED_SLABS) & (best["d"] <= SLAB_REACH), best["s"])
 
 
+#: A rate and an amount as texts print them, a row with two rates and their amounts, and the largest rate.
+RATE, AMOUNT, MOST_RATE = r"(\d{1,2}(?:\.\d+)?)\s*%", r"([\d,]+\.\d{2})", 40
+TWO_RATES = rf"{RATE}\s+[\d,]+\.\d{{2}}\s+(\d{{1,2}}(?:\.\d+)?)\s*%\s+[\d,]+\.\d{{2}}"
+
+
+def _lines_with(text: Column, value) -> Column:
+    """(low, value) of a text's lines that have a value, in order; each line is read once for all keywords."""
+    lines = F.transform(F.split(text, r"\r\n|[\n\r]"), lambda line: F.struct(F.lower(line).alias("low"), value(line).alias("value")))
+    return F.filter(lines, lambda x: x["value"].isNotNull())
+
+
+def _near(lines: Column, keyword: str) -> Column:
+    """The value of the first line that names a keyword; null for zero."""
+    return F.nullif(F.get(F.filter(lines, lambda x: F.contains(x["low"], F.lit(keyword))), F.lit(0))["value"], F.lit(0.0))
+
+
+def _by_kind(lines: Column, *rest: Column) -> Column:
+    """What the lines say of the whole tax: the integrated one, else both halves or the one that is there, else the rest."""
+    whole, central, state = (_near(lines, k) for k in ("igst", "cgst", "sgst"))
+    return F.coalesce(whole, central + state, central, state, *rest)
+
+
+def tax_rate_near(text: Column) -> Column:
+    """The tax rate that a text's lines name: the first percentage, over 0 and up to 40, beside each tax's name."""
+    def rate(line: Column) -> Column:
+        found = F.regexp_extract(line, RATE, 1).try_cast("double")
+        return F.when((found > 0) & (found <= MOST_RATE), found)
+
+    halves = F.zip_with(F.regexp_extract_all(text, F.lit(TWO_RATES), F.lit(1)), F.regexp_extract_all(text, F.lit(TWO_RATES), F.lit(2)), lambda a, b: F.struct(a.try_cast("double").alias("a"), b.try_cast("double").alias("b")))
+    even = F.filter(halves, lambda h: (h["a"] == h["b"]) & (h["a"] + h["b"] > 0) & (h["a"] + h["b"] <= MOST_RATE))
+    lines = _lines_with(text, rate)
+    return _by_kind(lines, F.get(even, F.lit(0))["a"] * 2, _near(lines, "gst"))
+
+
+def tax_amount_near(text: Column) -> Column:
+    """The tax amount that a text's lines name: the last number with two decimals beside each tax's name."""
+    lines = _lines_with(text, lambda line: number(F.try_element_at(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(1)), F.lit(-1))))
+    return _by_kind(lines, _near(lines, "gst"), _near(lines, "total tax amount"))
+
+
 #: What `reconcile_code` says.
 REASONS = ("free", "incomplete", "agrees", "amount held tax", "rate held tax", "quantity misread", "rate misread", "discount")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +43,51 @@ def char_vote(df: DataFrame, keys: list[str], reading: str, order: str) -> DataF
     return best.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda x: x["ch"]), "").alias("voted"))
 
 
+#: Distinct values of a key beyond which they are folded as a stream, not as one list.
+LONG_LIST = 1_000
+
+
+def _signs(value: Column) -> Column:
+    return F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
+
+
+def fold_contained(df: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
+    """(key, out): each key's values in order, without those that one kept before them holds, as they are or in their
+    letters and digits alone.
+
+    A value that comes again is always held by what is kept, so only its first place is taken: keys are reduced to
+    their distinct values before anything is gathered. Few values are folded as a list; a key with more than LONG_LIST
+    streams through in order, with the kept values in hand.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("_at"))
+    sized = first.join(first.groupBy(key).agg(F.count("*").alias("_n")), key)
+
+    def fold(kept: Column, v: Column) -> Column:
+        held = F.exists(kept, lambda x: F.contains(x, v) | ((_signs(v) != "") & F.contains(_signs(x), _signs(v))))
+        return F.when(held, kept).otherwise(F.concat(kept, F.array(v)))
+
+    values = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("_v")))), lambda x: x["_v"])
+    short = sized.where(F.col("_n") <= LONG_LIST).groupBy(key).agg(values.alias("_all"))
+    short = short.select(key, F.aggregate("_all", F.array().cast("array<string>"), fold).alias(out))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, kept = None, []
+        for batch in batches:
+            for k, v in batch.itertuples(index=False):
+                if k != now:
+                    if kept:
+                        yield pd.DataFrame({key: [now], out: [[x for x, _ in kept]]})
+                    now, kept = k, []
+                signs = re.sub("[^a-z0-9]", "", v.lower())
+                if not any(v in x or (signs and signs in s) for x, s in kept):
+                    kept.append((v, signs))
+        if kept:
+            yield pd.DataFrame({key: [now], out: [[x for x, _ in kept]]})
+
+    long = sized.where(F.col("_n") > LONG_LIST).repartition(key).sortWithinPartitions(key, "_at").select(key, value)
+    return short.unionByName(long.mapInPandas(stream, short.schema))
+
+
 def string_list(value: str) -> Column:
     """Distinct values in order, comma-joined."""
     return F.array_join(F.array_sort(F.collect_set(value)), ", ")

@@ -86,3 +86,21 @@ def best_overlap(rows: DataFrame, formats: DataFrame, least: float) -> DataFrame
     scored = a.join(b, "t").where(near).select("x", "y").distinct().withColumn("score", jaccard(F.col("x"), F.col("y")))
     found = scored.where(F.col("score") >= least).join(best, F.col("y") == F.col("labels")).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "fid")).alias("f"))
     return rows.join(found, F.col("labels") == F.col("x")).select("id", "f.fid", (-F.col("f.s")).alias("score"))
+
+
+def template_for_path(files: DataFrame, file: str, path: str, templates: DataFrame) -> DataFrame:
+    """(file, folder, exact, nearest): the active template of a file's own folder, and of the folder nearest above.
+
+    A path is entity/type/name.../file with either slash; with fewer parts it has no folder. Templates have `key`
+    (a folder's path with slashes) and `active`; a key is active if one of its rows is. A folder is looked up by
+    each of its beginnings, an entity and a type at least, in one equi-join, and the longest that is there wins. Files
+    are reduced to their folders first, so a folder with a third of all files is looked up once.
+    """
+    parts = F.filter(F.split(F.replace(F.col(path), F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    located = files.select(file, F.when(F.size(parts) >= 4, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).alias("folder"))
+    folders = located.where("folder is not null").select("folder").distinct()
+    steps = F.split("folder", "/")
+    prefixes = folders.select("folder", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("key"))
+    active = templates.groupBy("key").agg(F.bool_or("active").alias("active")).where("active").select("key")
+    met = prefixes.join(active, "key").groupBy("folder").agg(F.max(F.when(F.col("key") == F.col("folder"), F.col("key"))).alias("exact"), F.max_by("key", F.length("key")).alias("nearest"))
+    return located.join(met, "folder", "left").select(file, "folder", "exact", "nearest")

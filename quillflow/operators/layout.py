@@ -33,6 +33,25 @@ def beside_or_below(boxes: DataFrame, doc: list[str], row: str, x: str, word: st
     return met.withColumn("value", F.coalesce("_beside", "_below", F.lit(""))).withColumn("side", side).drop("_beside", "_below")
 
 
+def labels_in_lines(docs: DataFrame, doc: str, text: str, labels: tuple[str, ...]) -> DataFrame:
+    """(doc, idx, x, label, value, side) of the words of a text that are labels, by `beside_or_below` on its lines.
+
+    Lines with a bar belong to tables and have no boxes. A text's lines stay one array of arrays of words: the next
+    word and the word below are looked up by index, and only label hits leave the row. Nothing is shuffled.
+    """
+    held = F.transform(F.split(text, "\n"), lambda line: F.when(~F.contains(line, F.lit("|")), F.split(line, " ")))
+    rows = docs.where(F.rlike(text, F.lit(rf"(?m)(^|[ \n])({'|'.join(labels)})($|[ \n])"))).select(doc, held.alias("_lines"))
+
+    def hits(words: Column, i: Column) -> Column:
+        spots = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda k: F.get(words, k).isin(*labels))
+        one = lambda k: F.struct((i + 1).cast("long").alias("idx"), (k + 1).cast("long").alias("x"), F.get(words, k).alias("label"), F.get(words, k + 1).alias("beside"), F.get(F.get(F.col("_lines"), i + 1), k).alias("below"))
+        return F.when(words.isNotNull(), F.transform(spots, one)).otherwise(F.array().cast("array<struct<idx:bigint,x:bigint,label:string,beside:string,below:string>>"))
+
+    found = rows.select(doc, F.explode(F.flatten(F.transform("_lines", hits))).alias("h")).select(doc, "h.*")
+    side = F.when(F.col("beside").isNotNull(), "right").when(F.col("below").isNotNull(), "below").otherwise("none")
+    return found.select(doc, "idx", "x", "label", F.coalesce("beside", "below", F.lit("")).alias("value"), side.alias("side"))
+
+
 def nearest_anchor(cells: DataFrame, doc: list[str], row: str, column: str, x: str) -> DataFrame:
     """The cells below a document's first row with `col`, the number of that row's nearest cell, the first of equals.
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillflow.functions import tables
-from quillflow.operators import formats
+from quillflow.functions import money, tables
+from quillflow.operators import formats, joins
 from quillflow.operators.window import global_row_number
 from quillflow.plans.registry import query
 from quillflow.session import ship_package
@@ -76,3 +76,51 @@ def formats_learned(spark, sf_dir):
     known = global_row_number(users.where("user_id % 5 = 0"), "user_id", "no").select(F.concat(F.lit("format"), F.col("no").cast("string")).alias("name"), "tax_id", "seller", "fields", F.array("source").alias("sources"))
     learned, _ = formats.learn(known, users.where("user_id % 5 <> 0"))
     return learned.select("name", "tax_id", "seller", F.array_join("fields", "|").alias("fields"), F.size("sources").cast("long").alias("n_sources"))
+
+
+_AMOUNT = "cast(cast(l_extendedprice * l_tax AS decimal(18, 2)) AS string)"
+_RATE = "cast(cast(l_tax * 100 AS int) AS string)"
+#: What an invoice's text says of its tax, each line in one of several forms.
+TAXED = f"""CASE l_partkey % 10 WHEN 0 THEN 'Goods 18% extra' || chr(10) || 'Output IGST @' || {_RATE} || '%  ' || {_RATE} || ' %  ' || {_AMOUNT} WHEN 1 THEN 'CGST ' || {_RATE} || '% 10.00' || chr(10) || 'SGST ' || {_RATE} || ' % 1,' || lpad({_AMOUNT}, 6, '0')
+  WHEN 2 THEN 'sgst 45%' || chr(10) || 'SGST again ' || {_RATE} || '.5% ' || {_AMOUNT} WHEN 3 THEN {_RATE} || '% 12.00 ' || {_RATE} || ' %  3,000.50' || chr(10) || 'Gst in all 5% 9.99' WHEN 4 THEN 'GST ' || {_RATE} || '%' || chr(10) || 'Total Tax Amount: ' || {_AMOUNT}
+  WHEN 5 THEN 'igst 0% 0.00' || chr(10) || 'cgst @9% of 100.00 9.00' WHEN 6 THEN 'IGST nil' || chr(10) || 'igst ' || {_RATE} || '% ' || {_AMOUNT} || ' ' || chr(10) || 'IGST 28% 1.00' WHEN 7 THEN '50% 1.00 50% 1.00' || chr(10) || '6% 1.00 6% 1.00' WHEN 8 THEN 'no tax here' END"""
+
+
+def _kinds(table_: str, *rest: str) -> str:
+    near = lambda k: f"nullif(list_filter({table_}, lambda x: contains(x.low, '{k}'))[1].value, 0)"
+    return f"coalesce({near('igst')}, {near('cgst')} + {near('sgst')}, {near('cgst')}, {near('sgst')}, " + ", ".join(r if "(" in r else near(r) for r in rest) + ")"
+
+
+@query(rf"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {TAXED} AS note FROM lineitem WHERE l_returnflag = 'R'),
+l AS (SELECT *, list_transform(string_split(note, chr(10)), lambda x: {{'low': lower(x), 'rate': try_cast(regexp_extract(x, '(\d{{1,2}}(?:\.\d+)?)\s*%', 1) AS DOUBLE), 'amount': try_cast(replace(regexp_extract_all(x, '[\d,]+\.\d{{2}}')[-1], ',', '') AS DOUBLE)}}) AS ls,
+  regexp_extract_all(note, '(\d{{1,2}}(?:\.\d+)?)\s*%\s+[\d,]+\.\d{{2}}\s+(\d{{1,2}}(?:\.\d+)?)\s*%\s+[\d,]+\.\d{{2}}', 1) AS one, regexp_extract_all(note, '(\d{{1,2}}(?:\.\d+)?)\s*%\s+[\d,]+\.\d{{2}}\s+(\d{{1,2}}(?:\.\d+)?)\s*%\s+[\d,]+\.\d{{2}}', 2) AS two FROM t),
+v AS (SELECT *, list_transform(list_filter(ls, lambda x: x.rate > 0 AND x.rate <= 40), lambda x: {{'low': x.low, 'value': x.rate}}) AS rates, list_transform(list_filter(ls, lambda x: x.amount IS NOT NULL), lambda x: {{'low': x.low, 'value': x.amount}}) AS amounts,
+  list_filter(list_transform(range(1, len(one) + 1), lambda i: CASE WHEN one[i]::DOUBLE = two[i]::DOUBLE AND 2 * one[i]::DOUBLE > 0 AND 2 * one[i]::DOUBLE <= 40 THEN 2 * one[i]::DOUBLE END), lambda x: x IS NOT NULL) AS halves FROM l)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_kinds('rates', '(halves[1])', 'gst')} AS rate, {_kinds('amounts', 'gst', 'total tax amount')} AS amount FROM v
+""")
+def tax_near_keyword(spark, sf_dir):
+    """The tax rate and amount that an invoice's lines name beside each tax."""
+    note = F.expr(TAXED)
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.tax_rate_near(note).alias("rate"), money.tax_amount_near(note).alias("amount"))
+
+
+#: A file's path of three to six parts, and the folders that have templates, on several levels.
+_PATH = "'E' || (page_id % 3) || CASE WHEN page_id % 2 = 0 THEN '/PART' ELSE chr(92) || 'SERVICE' END || CASE WHEN page_id % 11 = 0 THEN '' ELSE '/n' || (page_id % 7) END || CASE WHEN page_id % 5 < 2 THEN '//deep' || (page_id % 4) ELSE '' END || CASE WHEN page_id % 13 < 3 THEN '/more' ELSE '' END || '/f' || page_id || '.pdf'"
+_KEY = "'E' || (p_partkey % 3) || CASE WHEN p_partkey % 2 = 0 THEN '/PART' ELSE '/SERVICE' END || CASE WHEN p_partkey % 6 = 1 THEN '' ELSE '/n' || (p_partkey % 7) END || CASE WHEN p_partkey % 4 = 2 THEN '/deep' || (p_partkey % 4) ELSE '' END || CASE WHEN p_partkey % 9 = 2 THEN '/more' ELSE '' END"
+
+
+@query(rf"""
+WITH f AS (SELECT page_id, list_filter(string_split(replace({_PATH}, chr(92), '/'), '/'), lambda x: x <> '') AS ps FROM pages),
+g AS (SELECT page_id, CASE WHEN len(ps) >= 4 THEN ps[:-2] END AS ps FROM f),
+k AS (SELECT key FROM (SELECT {_KEY} AS key, p_size % 3 > 0 AS active FROM part) GROUP BY key HAVING bool_or(active)),
+a AS (SELECT list(key) AS ks FROM k),
+m AS (SELECT page_id, array_to_string(ps, '/') AS folder, list_filter(list_transform(range(len(ps), 1, -1), lambda n: array_to_string(ps[:n], '/')), lambda x: list_contains(ks, x)) AS found FROM g, a)
+SELECT page_id, folder, CASE WHEN found[1] = folder THEN folder END AS exact, found[1] AS nearest FROM m
+""")
+def path_templates(spark, sf_dir):
+    """The active template of each file's folder, and of the nearest folder above that has one."""
+    files = table(spark, sf_dir, "pages").select("page_id", F.expr(_PATH).alias("path"))
+    known = table(spark, sf_dir, "part").select(F.expr(_KEY).alias("key"), F.expr("p_size % 3 > 0").alias("active"))
+    return joins.template_for_path(files, "page_id", "path", known)

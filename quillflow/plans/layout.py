@@ -47,10 +47,7 @@ FROM a LEFT JOIN b below ON below.doc_id = a.doc_id AND below.idx = a.idx + 1 AN
 """)
 def label_anchor(spark, sf_dir):
     """The value of a label box: the next box to the right on its row, else the one below it in the next row."""
-    words = _lines(spark, sf_dir).where(~F.contains("line", F.lit("|"))).select("doc_id", "idx", F.posexplode(F.split("line", " ")).alias("x", "word"))
-    boxes = words.withColumn("x", F.col("x").cast("long") + 1)
-    found = ops.beside_or_below(boxes, ["doc_id"], "idx", "x", "word", F.col("word").isin(*LABELS))
-    return found.select("doc_id", "idx", "x", F.col("word").alias("label"), "value", "side")
+    return ops.labels_in_lines(table(spark, sf_dir, "documents"), "doc_id", "text", LABELS)
 
 
 CELLS = rf"""

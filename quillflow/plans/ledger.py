@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillflow.operators import window as win
-from quillflow.operators.aggregate import status_tallies, tier_label
+from quillflow.operators.aggregate import fold_contained, status_tallies, tier_label
 from quillflow.operators.layout import groups_from_first
 from quillflow.operators.merge import absorb, evolve
 from quillflow.plans.registry import query
@@ -260,8 +260,7 @@ def work_order(spark, sf_dir):
     """The turn of each file within its kind, smaller ones first, then by path."""
     kind = F.when(F.contains("text", F.lit("|")), 1).when(F.col("n_chars") < 500, 2).otherwise(3)
     files = table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"), F.col("n_chars").alias("size"), F.col("source").alias("path"))
-    turn = F.rank().over(Window.partitionBy("kind").orderBy("size", "path", "doc_id"))
-    return files.select("kind", "doc_id", turn.cast("long").alias("turn"))
+    return win.turns(files, "kind", ["size", "path"], "doc_id", "turn").select("kind", "doc_id", "turn")
 
 
 @query(r"SELECT page_id, CASE WHEN length(trim(regexp_replace(regexp_extract(html, '(?s)<p>(.*?)</p>', 1), '<[^>]*>', '', 'g'))) >= 20 THEN 'text' ELSE 'other' END AS origin FROM pages")
@@ -344,27 +343,31 @@ def resync_fields(spark, sf_dir):
     return old.join(new, ["l_orderkey", "pos"], "left").select("l_orderkey", F.col("pos").cast("long").alias("pos"), *shown)
 
 
-@query("""
-WITH e AS (SELECT user_id, event_type, ts, event_id, json_extract_string(props, '$.k') AS k FROM events),
+#: An address line as pages print it: in full, without its end, in other signs, or another one.
+_LINE = "CASE event_id % 5 WHEN 0 THEN 'No. ' || (event_id % 3) || ', Main Road, Chennai' WHEN 1 THEN 'no ' || (event_id % 3) || ' main road' WHEN 2 THEN 'Chennai,' WHEN 3 THEN '--' ELSE 'Ward ' || (event_id % 7) END"
+_SIGNS = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_type, ts, event_id, json_extract_string(props, '$.k') AS k, {_LINE} AS line FROM events),
 f AS (SELECT user_id, arg_min(k, (ts, event_id)) AS first_k FROM e GROUP BY 1),
 v AS (SELECT user_id, event_type, count(*) AS n, min((ts, event_id)) AS seen FROM e GROUP BY 1, 2), m AS (SELECT user_id, arg_min(event_type, (-n, seen)) AS voted FROM v GROUP BY 1),
-s AS (SELECT user_id, lpad(k, 2, '0') AS kk, min((ts, event_id)) AS seen FROM e WHERE event_type = 'purchase' GROUP BY 1, 2),
-d AS (SELECT user_id, kk, seen FROM (SELECT *, lag(seen) OVER (PARTITION BY user_id, left(kk, 1) ORDER BY seen) AS before FROM s) WHERE before IS NULL)
-SELECT f.user_id, first_k, voted, coalesce(appended, '') AS appended FROM f JOIN m USING (user_id) LEFT JOIN (SELECT user_id, string_agg(kk, ' | ' ORDER BY seen) AS appended FROM d GROUP BY 1) USING (user_id)
+s AS (SELECT user_id, line, min((ts, event_id)) AS seen FROM e WHERE event_type <> 'click' GROUP BY 1, 2), l AS (SELECT user_id, list([line] ORDER BY seen) AS lines FROM s GROUP BY 1),
+d AS (SELECT user_id, array_to_string(list_reduce(lines, lambda kept, x: CASE WHEN len(list_filter(kept, lambda y: contains(y, x[1]) OR ({_SIGNS.format('x[1]')} <> '' AND contains({_SIGNS.format('y')}, {_SIGNS.format('x[1]')})))) > 0 THEN kept ELSE kept || x END), ' | ') AS appended FROM l)
+SELECT f.user_id, first_k, voted, coalesce(appended, '') AS appended FROM f JOIN m USING (user_id) LEFT JOIN d USING (user_id)
 """)
 def merge_fields(spark, sf_dir):
-    """Fields of several pages in one: the first one's value, the most frequent one, or all that don't nearly repeat
-    (here: begin as) an earlier one, in order."""
+    """Fields of several pages in one: the first one's value, the most frequent one, or all in order that aren't held in
+    one that is kept already, signs aside."""
+    ship_package(spark)
     at = F.struct("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", at.alias("at"), F.get_json_object("props", "$.k").alias("k"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", at.alias("at"), F.get_json_object("props", "$.k").alias("k"), F.expr(_LINE).alias("line"))
     first = rows.groupBy("user_id").agg(F.min_by("k", "at").alias("first_k"))
     counts = rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("at").alias("seen"))
     voted = counts.groupBy("user_id").agg(F.min_by("event_type", F.struct(-F.col("n"), "seen")).alias("voted"))
-    kk = F.lpad("k", 2, "0")
-    single = rows.where("event_type = 'purchase'").groupBy("user_id", F.substring(kk, 1, 1).alias("like")).agg(F.min(F.struct("at", kk.alias("kk"))).alias("f"))
-    texts = F.transform(F.array_sort(F.collect_list("f")), lambda x: x["kk"])  # at most ten
-    appended = single.groupBy("user_id").agg(F.array_join(texts, " | ").alias("appended"))
-    return first.join(voted, "user_id").join(appended, "user_id", "left").select("user_id", "first_k", "voted", F.coalesce("appended", F.lit("")).alias("appended"))
+    appended = fold_contained(rows.where("event_type <> 'click'"), "user_id", "line", "at", "appended")
+    shown = F.coalesce(F.array_join("appended", " | "), F.lit("")).alias("appended")
+    return first.join(voted, "user_id").join(appended, "user_id", "left").select("user_id", "first_k", "voted", shown)
 
 
 @query("""
