@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -133,8 +134,21 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         score = START[kind] + 0.35 * any(w in near for w in RAISES[kind]) - 0.3 * any(w in near for w in LOWERS[kind])
         if kind in BASE or score >= MIN_SCORE:
             out.append((kind, start, end, round(min(1.0, max(0.0, score)), 2)))
-    out = [x for x in out if x[0] != "id_number" or not any(y[0] != "id_number" and y[1] < x[2] and x[1] < y[2] for y in out)]
-    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
+    return sorted(_apart(out), key=lambda x: (x[1], KINDS.index(x[0])))
+
+
+def _apart(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """The spans without the identity numbers that overlap one of another kind, in one sweep over the sorted spans."""
+    starts, reach = [], []  # of the others, and the furthest end so far
+    for _, start, end, _ in sorted((x for x in spans if x[0] != "id_number"), key=lambda x: x[1]):
+        starts.append(start)
+        reach.append(max(end, reach[-1]) if reach else end)
+
+    def clear(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return not k or reach[k - 1] <= start
+
+    return [x for x in spans if x[0] != "id_number" or clear(x[1], x[2])]
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
