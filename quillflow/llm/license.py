@@ -41,6 +41,8 @@ BAND = 8
 MIN_COVERAGE = 0.7
 SHORT = 20
 PART = 15
+#: Clusters that one alignment step takes at once, which bounds its memory.
+AT_ONCE = 8_192
 #: Fingerprint hits that a cluster needs for a template of more than SHORT tokens.
 NEEDED = 3
 
@@ -92,61 +94,99 @@ class Index:
         at = np.minimum(np.searchsorted(self.prints, hashes), len(self.prints) - 1)
         return np.flatnonzero(self.prints[at] == hashes)
 
-    def posted(self, value: np.uint64) -> list[tuple[int, int]]:
-        """Template positions of a fingerprint."""
-        return self.postings[np.searchsorted(self.prints, value) : np.searchsorted(self.prints, value, side="right")]
 
+def align(template: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
+    """(matched template tokens, first and last + 1 text token) of the best local alignment around each diagonal.
+
+    All clusters of a template at once: cluster c aligns with text[low[c]:high[c]], within `band` of diagonals[c]
+    (position in `text` minus position in the template). A step of the loop is a template token, a column a
+    diagonal of the band; cells hold score, matches and the start of the text span. Of equal scores a diagonal step
+    goes before one that skips a template token, and that before one that skips text tokens; the first best cell
+    stays. A run of skipped text tokens is the running maximum of score + column over the row.
+    """
+    n, width = len(diagonals), 2 * band + 1
+    column = np.arange(width, dtype=np.int32)
+    at = (diagonals - band)[:, None] + column
+    score, matches = np.zeros((n, width + 1), np.int32), np.zeros((n, width + 1), np.int32)
+    start = np.zeros((n, width + 1), np.int64)
+    top, out = np.zeros(n, np.int32), np.zeros((n, 3), np.int64)
+    rows = np.arange(n)
+    for token in template:
+        inside = (at >= low[:, None]) & (at < high[:, None])
+        same = inside & (text[np.clip(at, 0, len(text) - 1)] == token)
+        fresh = score[:, :-1] == 0
+        here = score[:, :-1] + np.where(same, 1, -1).astype(np.int32)
+        count = np.where(fresh, 0, matches[:, :-1]) + same
+        begin = np.where(fresh, at, start[:, :-1])
+        skip = score[:, 1:] - 1
+        better = skip > here
+        here = np.where(better, skip, here)
+        count, begin = np.where(better, matches[:, 1:], count), np.where(better, start[:, 1:], begin)
+        here = np.where(inside, here, -1_000)
+        lifted = here + column
+        most = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted == most, column, 0), axis=1)
+        here = most - column
+        live = inside & (here > 0)
+        score[:, :-1] = np.where(live, here, 0)
+        matches[:, :-1] = np.where(live, np.take_along_axis(count, source, 1), 0)
+        start[:, :-1] = np.where(live, np.take_along_axis(begin, source, 1), at + 1)
+        last = score[:, :-1].argmax(1)
+        reached = score[rows, last]
+        won = np.flatnonzero(reached > top)
+        if len(won):
+            top[won] = reached[won]
+            out[won] = np.stack((matches[won, last[won]], start[won, last[won]], at[won, last[won]] + 1), axis=1)
+        at += 1
+    return out
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched template tokens, first and last + 1 text token) of the best local alignment within a band.
 
-    diagonal: text position minus template position. Rows are template tokens; cells hold
-    (score, matches, start of the text span).
+def clusters(index: Index, spots: np.ndarray, hashes: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(template, band, texts, diagonals) of the clusters of near diagonals with enough fingerprint hits.
+
+    `text` has the number of each position's text. Of each template's diagonals in one text, in order, a cluster
+    takes all within the band from its first; the middle one stands for it.
+    """
+    begin = np.searchsorted(index.prints, hashes[spots])
+    width = np.searchsorted(index.prints, hashes[spots], side="right") - begin
+    posting = np.repeat(begin - np.cumsum(width) + width, width) + np.arange(width.sum())
+    spot = np.repeat(spots, width)
+    pairs = np.array(index.postings, np.int64).reshape(-1, 2)[posting]
+    template, diagonal, owner = pairs[:, 0], spot - pairs[:, 1], text[spot]
+    order = np.lexsort((diagonal, owner, template))
+    template, diagonal, owner = template[order], diagonal[order], owner[order]
+    for name in np.unique(template).tolist():
+        low, high = np.searchsorted(template, (name, name + 1))
+        size = len(index.tokens[name])
+        band, needed = min(BAND, max(1, size // 3)), NEEDED if size > SHORT else 1  # narrower for short templates, so that repeats stay apart
+        key = owner[low:high] * (1 << 40) + diagonal[low:high] + (1 << 20)
+        ends = np.searchsorted(key, key + band, side="right")
+        taken, k = [], 0
+        while k < len(key):
+            end = int(ends[k])
+            if end - k >= needed:
+                taken.append((k + end - 1) // 2)
+            k = end
+        if taken:
+            yield name, band, owner[low:high][taken], diagonal[low:high][taken]
+
+
+def find(index: Index, tokens: np.ndarray, spots: np.ndarray, hashes: np.ndarray, text: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[str, int, int, float]]]:
+    """By text: (template, first token, last token + 1, coverage) of the matches around fingerprint hits.
+
+    Text k's tokens are ends[k] to ends[k + 1] of all tokens.
     """
-    width = 2 * band + 1
-    best = (0, 0, 0, 0)
-    above = [(0, 0, 0)] * (width + 1)
-    for i in range(len(template)):
-        row: list[tuple[int, int, int]] = []
-        for d in range(width):
-            j = i + diagonal - band + d
-            if not 0 <= j < len(text):
-                row.append((0, 0, j + 1))
-                continue
-            same = bool(template[i] == text[j])
-            score, matches, start = above[d]
-            if score == 0:
-                matches, start = 0, j
-            cell = (score + (1 if same else -1), matches + same, start)
-            cell = max(cell, (above[d + 1][0] - 1, *above[d + 1][1:]), (row[-1][0] - 1, *row[-1][1:]) if row else (0, 0, j + 1), key=lambda c: c[0])
-            row.append(cell if cell[0] > 0 else (0, 0, j + 1))
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
-        above = [*row, (0, 0, 0)]
-    return best[1], best[2], best[3]
-
-
-def find(index: Index, tokens: np.ndarray, spots: np.ndarray, hashes: np.ndarray) -> list[tuple[str, int, int, float]]:
-    """(template, first token, last token + 1, coverage) of the matches around fingerprint hits."""
-    votes: dict[int, list[int]] = defaultdict(list)
-    for spot in spots.tolist():
-        for template, position in index.posted(hashes[spot]):
-            votes[template].append(spot - position)
-    found = []
-    for template, diagonals in votes.items():
-        diagonals.sort()
-        size = len(index.tokens[template])
-        band = min(BAND, max(1, size // 3))  # narrower for short templates, so that repeats stay apart
-        begin = 0
-        while begin < len(diagonals):
-            end = bisect_right(diagonals, diagonals[begin] + band)
-            if end - begin >= (NEEDED if size > SHORT else 1):
-                middle = diagonals[(begin + end - 1) // 2]
-                matched, low, high = align(index.tokens[template], tokens, middle, band)
-                if matched >= MIN_COVERAGE * size or matched >= PART:
-                    found.append((matched, matched / size, low, high, index.names[template]))
-            begin = end
-    return best(found)
+    found: dict[int, list[tuple[int, float, int, int, str]]] = defaultdict(list)
+    for name, band, owner, diagonal in clusters(index, spots, hashes, text):
+        size = len(index.tokens[name])
+        for k in range(0, len(owner), AT_ONCE):
+            own, near = owner[k : k + AT_ONCE], diagonal[k : k + AT_ONCE]
+            met = align(index.tokens[name], tokens, ends[own], ends[own + 1], near, band)
+            for row in np.flatnonzero((met[:, 0] >= MIN_COVERAGE * size) | (met[:, 0] >= PART)).tolist():
+                matched, low, high = met[row].tolist()
+                base = int(ends[own[row]])
+                found[int(own[row])].append((matched, matched / size, low - base, high - base, index.names[name]))
+    return {doc: best(rows) for doc, rows in found.items()}
 
 
 def best(found: list[tuple[int, float, int, int, str]]) -> list[tuple[str, int, int, float]]:
@@ -198,13 +238,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None) ->
             spots = spots[parent[spots] == parent[spots + GRAM - 1]]
             ends = np.searchsorted(parent, np.arange(len(array) + 1))
             found: list[list[dict]] = [[] for _ in range(len(array))]
-            for doc in np.unique(parent[spots]):
-                low, high = ends[doc], ends[doc + 1]
-                own = spots[slice(*np.searchsorted(spots, (low, high)))] - low
-                matches = find(index.value, tokens[low:high], own, hashes[low:high])
-                if matches:
-                    places = [m.span() for m in _WORDS.finditer(array[int(doc)].as_py())]
-                    found[doc] = [{"template": n, "start": places[a][0], "end": places[b - 1][1], "coverage": c} for n, a, b, c in matches]
+            for doc, matches in find(index.value, tokens, spots, hashes, parent, ends).items():
+                places = [m.span() for m in _WORDS.finditer(array[doc].as_py())]
+                found[doc] = [{"template": n, "start": places[a][0], "end": places[b - 1][1], "coverage": c} for n, a, b, c in matches]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, kind)], names=["doc_id", "matches"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, MATCHES)
