@@ -8,12 +8,14 @@ sought one; an insertion that finds no free slot after `MAX_KICKS` moves doubles
 re-inserts the stored keys. Deleting a digest frees its slot.
 
 Scale: each map task first merges its own rows in an index, so a text that makes up a third of all
-rows sends one record per task; shards are then merged by digest prefix, each bounded by
-`shard_keys` distinct texts on average. The text itself is never shuffled for the result.
+rows sends one record per task (or each `shard_keys` distinct texts, after which a task sends and empties
+its index); shards are then merged by digest prefix, each bounded by `shard_keys` distinct texts on
+average. An update reads and shuffles the touched shards alone. The text itself is never shuffled for the
+result.
 
 Defined cases: a null text counts as empty; a null doc_id never wins over another; repeated rows each
-count in group_size and each get a row, all of them `kept` when their id is the largest; an empty
-table gives no rows; other columns are ignored by `dedup_exact` and kept by `drop_duplicates`.
+count in group_size and each get a row, all of them `kept` when their id is the largest (ties); very long
+texts are hashed whole; an empty table gives no rows; other columns are ignored by `dedup_exact` and kept by `drop_duplicates`.
 """
 
 from __future__ import annotations
@@ -154,70 +156,88 @@ def _records(live: list[list]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], kind) for i, kind in enumerate(kinds.values())], names=list(kinds))
 
 
-def _merge(df: DataFrame, shards: int) -> DataFrame:
-    """Records of (digest, keep_id, group_size) rows merged through one index per task."""
+def _shard(digests_: list[bytes], shards: int) -> pa.Array:
+    return pa.array([int.from_bytes(d[10:14], "little") % shards for d in digests_], pa.int32())
+
+
+def _merge(df: DataFrame, shards: int, most: int | None = None) -> DataFrame:
+    """Records of (digest, keep_id, group_size) rows merged through one index per task, which is sent and emptied at `most` records."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
+            for batch in _records(index.live()):
+                yield pa.RecordBatch.from_arrays([_shard(batch.column("digest").to_pylist(), shards), *batch.columns], names=["shard", *batch.schema.names])
+
         index = CuckooIndex()
         for batch in batches:
             for digest, doc_id, count in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 index.add(digest, doc_id, count)
-        for batch in _records(index.live()):
-            shard = [int.from_bytes(d[10:14], "little") % shards for d in batch.column("digest").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *batch.columns], names=["shard", *batch.schema.names])
+            if most and len(index.records) >= most:
+                yield from sent(index)
+                index = CuckooIndex()
+        yield from sent(index)
 
     return df.select("digest", "keep_id", "group_size").mapInArrow(merge, _PARTIAL)
 
 
 def build_index(keys: DataFrame, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """The index's records, one per live digest: shard, digest, keep_id, group_size."""
+    """The index's records, one per live digest: shard, digest, keep_id, group_size, and the number of shards."""
     least = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(least, -(-keys.count() // shard_keys))
     rows = keys.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return _merge(_merge(rows, shards).repartition(shards, "shard"), shards)
+    return _merge(_merge(rows, shards, shard_keys).repartition(shards, "shard"), shards).withColumn("shards", F.lit(shards))
 
 
 def update_index(index: DataFrame, members: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(index, members) after inserting the documents `added` and deleting the ids `removed`.
 
-    `members` has (doc_id, digest) of the live rows. Only the shards' records of touched digests
-    change: deletions are taken off in the shard's filter, which frees slots at zero, and the
-    largest remaining id of a touched digest comes from `members`.
+    `members` has (doc_id, digest) of the live rows. Only shards with a touched digest are read into a filter
+    again: their rows alone are shuffled, the others stay where they lie. Deletions are taken off in the shard's
+    filter, which frees slots at zero, and the largest remaining id of a touched digest comes from `members`.
     """
+    shards = (index.select("shards").first() or [int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))])[0]
     gone = members.join(removed.select("doc_id").distinct(), "doc_id", "left_semi") if removed is not None else members.limit(0)
     live = members.join(removed.select("doc_id").distinct(), "doc_id", "left_anti") if removed is not None else members
     new = keyed(added) if added is not None else members.limit(0)
     live = live.unionByName(new)
-    touched = gone.unionByName(new).select("digest").distinct()
-    width = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    changes = (
-        index.select("digest", "keep_id", "group_size")
-        .unionByName(new.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
-        .unionByName(gone.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), (-F.count("*")).alias("group_size")))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([_shard(batch.column("digest").to_pylist(), shards), *batch.columns], names=["shard", *batch.schema.names])
+
+    changes = new.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).unionByName(
+        gone.groupBy("digest").agg(F.lit(None).cast("long").alias("keep_id"), (-F.count("*")).alias("group_size"))
     )
+    changes = written(changes.mapInArrow(placed, _PARTIAL), "changes")
+    touched = F.broadcast(changes.select("shard").distinct())  # one number a shard
+    rows = index.join(touched, "shard", "left_semi").drop("shards").unionByName(changes)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index_, drops = CuckooIndex(), []
+        held: dict[int, tuple[CuckooIndex, list[tuple[bytes, int]]]] = {}
         for batch in batches:
-            for digest, doc_id, count in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+            for shard, digest, doc_id, count in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                index_, drops = held.setdefault(shard, (CuckooIndex(), []))
                 if count < 0:
                     drops.append((digest, -count))
                 else:
                     index_.add(digest, doc_id, count)
-        for digest, count in drops:
-            index_.remove(digest, count)
-        yield from _records(index_.live())
-
-    merged = changes.repartition(width, "digest").mapInArrow(apply, "digest binary, keep_id long, group_size long")
-    largest = live.join(touched, "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("_max"), F.lit(True).alias("_touched"))
+        for index_, drops in held.values():
+            for digest, count in drops:
+                index_.remove(digest, count)
+            for batch in _records(index_.live()):
+                yield pa.RecordBatch.from_arrays([_shard(batch.column("digest").to_pylist(), shards), *batch.columns], names=["shard", *batch.schema.names])
+
+    merged = rows.repartition(shards, "shard").mapInArrow(apply, _PARTIAL)
+    largest = live.join(changes.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.max("doc_id").alias("_max"), F.lit(True).alias("_touched"))
     merged = merged.join(largest, "digest", "left").withColumn("keep_id", F.when(F.col("_touched"), F.col("_max")).otherwise(F.col("keep_id")))
-    return merged.select("digest", "keep_id", "group_size"), live
+    same = index.join(touched, "shard", "left_anti")
+    return same.unionByName(merged.drop("_max", "_touched").withColumn("shards", F.lit(shards))), live
 
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, digest: one row per document."""
     keys = keyed(docs)
-    index = build_index(keys).drop("shard")
+    index = build_index(keys).drop("shard", "shards")
     found = keys.join(index, "digest")
     return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"), "digest")
 
