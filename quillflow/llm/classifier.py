@@ -1,18 +1,17 @@
 """Quality classifier: overlapping heuristic labellers, EM on their votes, a hashed linear scorer.
 
-Every document is voted on by heuristics about symbols, capitals, repetition, tables and function
-words; no labels are read. Votes are counted per distinct vote row over all documents in Spark (at
-most 3 ** labellers rows reach the driver), and expectation-maximisation estimates the labellers'
-rates in both classes; the class of bad texts is a mixture of kinds of faults (`weak`), as labellers
-that see one kind agree too often to be told from the class otherwise. Posterior labels of about
-`train_rows` documents, drawn by a fixed hash threshold, train a logistic regression on 2**BITS hashed
-features: counts of byte 4-grams, and one feature for the range in which each shape ratio of the text
-lies. The labellers' votes are no features. It scores every whole text; a document is kept when its
-score is at least KEEP_SCORE.
-
-Defined cases: null or empty texts vote nothing, have no features but their shape and are judged by
-that; very long texts are read whole; equal texts get equal scores; repeated rows are each scored; an
-empty table gives no rows; other columns are ignored.
+Every document is voted on by heuristics about symbols, capitals, repetition, lines, bars, exclamation marks,
+word and sentence lengths, echoed words and letters; no labels are read. Votes are counted per distinct vote row
+over all documents in Spark (at most 3 ** labellers rows reach the driver), and expectation-maximisation
+estimates the labellers' rates in both classes; the class of bad texts is a mixture of kinds of faults (`weak`),
+as labellers that see one kind agree too often to be told from the class otherwise. Posterior labels of about
+`train_rows` documents, drawn by a fixed hash threshold, train a logistic regression on the shares of byte
+4-grams, hashed to 2**BITS buckets. Neither votes nor the ratios that the labellers look at are features. It
+scores every whole text; a document is kept when its score is at least KEEP_SCORE.
+
+Defined cases: null or empty texts have no gram and get the score of the bias; very long texts are read whole;
+equal texts get equal scores (ties); repeated rows are each scored; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,24 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm import weak
-from quillflow.llm.common import arrow_batches, mix64, raw_bytes, texts, words_of
+from quillflow.llm.common import arrow_batches, raw_bytes, texts, words_of
 from quillflow.llm.quality import base_counts, gram_buckets
 
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 8_000
 BITS = 12
-SCALE = 20.0
+SCALE = 40.0
 #: Words under which a text is too short to be faulted for repetition or shape.
 SHORT = 50
 #: Grams that a short text counts as at least, so that a few rare ones do not decide.
-LEAST = 500
+LEAST = 20
 KEEP_SCORE = 0.4
-#: Weight of a shape feature beside a gram's share, and the ends of the ranges of each ratio (see `ratios`).
-SHAPE = 0.5
-EDGES = (
-    (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.8), (0.02, 0.05, 0.1, 0.25, 0.4, 0.6, 0.8), (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75), (0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75),
-    (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.6), (0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 0.8), (2, 3, 4.5, 6, 7.5, 9, 12), (0.01, 0.03, 0.06, 0.1, 0.25, 0.5, 0.7), (1, 5, 20, 50, 150, 600, 2000), (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.6), (0.3, 0.5, 0.65, 0.72, 0.8, 0.85, 0.93),
-)
-
 SCORES = "doc_id long, score double, posterior double, kept boolean"
 LABELLERS = ("symbols", "capitals", "repetition", "duplicate lines", "bars", "exclamations", "word length", "sentences", "echoes", "letters")
 
@@ -106,13 +98,6 @@ def _grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return head[inside], gram_buckets(data, BITS)[inside], np.bincount(head[inside], minlength=len(array))
 
 
-def _shapes(r: np.ndarray) -> np.ndarray:
-    """texts x ratios: the bucket of each ratio's range."""
-    ranges = np.stack([np.digitize(r[:, k], edges) for k, edges in enumerate(EDGES)], axis=1)
-    number = (16 * np.arange(len(EDGES)) + ranges + 1).astype(np.uint64)
-    return (mix64(number * np.uint64(0x9E3779B97F4A7C15)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
-
-
 def fit_labels(docs: DataFrame) -> weak.LabelModel:
     """The label model of the labellers' votes on all documents."""
     arrow_batches(docs.sparkSession)
@@ -143,7 +128,6 @@ def train(docs: DataFrame, model: weak.LabelModel, train_rows: int = TRAIN_ROWS)
             owner, bucket, grams = _grams(array)
             counts = np.bincount(owner * (1 << BITS) + bucket, minlength=len(array) << BITS).reshape(len(array), -1)
             x = SCALE * counts / np.maximum(LEAST, grams)[:, None]
-            np.add.at(x, (np.arange(len(array))[:, None], _shapes(r)), SHAPE)
             code = _code(votes_of(r, r[:, 6] > 0))
             yield pa.RecordBatch.from_pydict({"code": code, "x": pa.array([row.tobytes() for row in x.astype(np.float16)], pa.binary())})
 
@@ -167,7 +151,7 @@ def quality_classes(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
             array = texts(batch)
             r = ratios(array)
             owner, bucket, grams = _grams(array)
-            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams) + SHAPE * w[_shapes(r)].sum(axis=1)
+            logit = w[-1] + SCALE * np.bincount(owner, weights=w[bucket], minlength=len(array)) / np.maximum(LEAST, grams)
             value = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
             posterior = model_.posterior(votes_of(r, r[:, 6] > 0))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(value), pa.array(posterior), pa.array(value >= KEEP_SCORE)], names=["doc_id", "score", "posterior", "kept"])
