@@ -105,3 +105,86 @@ def test_two_writers_merge_both(spark, tmp_path):
         t.join(300)
     assert versions.current(spark, folder) == 4 and conflicts
     assert sorted(r.sources for r in versions.read(spark, folder).collect()) == [["s0"], ["s1"], ["s2"]]
+
+
+def test_fold_contained_same_as_plain_loop(spark, monkeypatch):
+    """Short lists and, with the bound at two values, streams."""
+    import random
+    import re
+
+    from quillflow.operators import aggregate
+
+    rng = random.Random(3)
+    parts = ["12 Main Rd,", "12 main rd", "Main", "--", "-", "Chennai", "chennai.", "600 002", "600002", "x", "Ward 3"]
+    rows = [(k % 7, at, " ".join(rng.choices(parts, k=rng.randint(1, 3))) if rng.random() < 0.9 else None) for at, k in enumerate(rng.choices(range(50), k=400))]
+    wanted = {}
+    for key, _, value in sorted(rows, key=lambda r: r[1]):
+        if value is None:
+            continue
+        signs = lambda t: re.sub("[^a-z0-9]", "", t.lower())
+        kept = wanted.setdefault(key, [])
+        if not any(value in x or (signs(value) and signs(value) in signs(x)) for x in kept):
+            kept.append(value)
+    df = spark.createDataFrame(rows, "key long, at long, value string")
+    for bound in (1_000, 2):
+        monkeypatch.setattr(aggregate, "LONG_LIST", bound)
+        assert {r.key: r.kept for r in aggregate.fold_contained(df, "key", "value", "at", "kept").collect()} == wanted
+
+
+def test_tax_values(spark):
+    from quillflow.functions import money
+
+    texts = [
+        ("Output IGST - TN | 3,060.00", None, 3060.0), ("Output IGST@18%  18 %  219.60", 18.0, 219.6), ("CGST 9% 90.00\nSGST 9 % 90.00", 18.0, 180.0), ("cgst 9%\nno", 9.0, None), ("igst 45%\nIGST 12%\nIGST 5%", 12.0, None),
+        ("9% 1,000.00 9 % 1,000.00", 18.0, None), ("9% 1.00 6% 1.00\ngst 5% 2.00", 5.0, 2.0), ("Total Tax Amount 1,234.50 of 2.00", None, 2.0), ("IGST 0.00\nGST 7.00", None, None), ("CGST 0.00\nSGST 7.00", None, 7.0), ("plain 18% 5.00", None, None), ("", None, None), (None, None, None),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(texts)], "k int, text string")
+    for r in df.select("k", money.tax_rate_near(F.col("text")).alias("rate"), money.tax_amount_near(F.col("text")).alias("amount")).collect():
+        assert (r.rate, r.amount) == texts[r.k][1:], texts[r.k]
+
+
+def test_template_for_path(spark):
+    from quillflow.operators.joins import template_for_path
+
+    files = [(1, "PT/PART/a/b/f.pdf"), (2, "PT\\PART\\a\\f.pdf"), (3, "PT/PART/x/y/f.pdf"), (4, "PT/PART/f.pdf"), (5, None), (6, "/PT//SERVICE/z/f.pdf"), (7, "PT/PART/a/c/d/f.pdf")]
+    known = [("PT/PART/a/b", True), ("PT/PART/a", True), ("PT/PART", True), ("PT/SERVICE/z", False), ("PT/PART/a/c/d", False), ("PT/PART/a/c/d", True), ("PT", True)]
+    found = template_for_path(spark.createDataFrame(files, "id int, path string"), "id", "path", spark.createDataFrame(known, "key string, active boolean"))
+    assert {r.id: (r.exact, r.nearest) for r in found.collect()} == {
+        1: ("PT/PART/a/b",) * 2, 2: ("PT/PART/a",) * 2, 3: (None, "PT/PART"), 4: (None, None), 5: (None, None), 6: (None, None), 7: ("PT/PART/a/c/d",) * 2}
+
+
+def test_labels_in_lines_same_as_boxes(spark):
+    from quillflow.operators import layout
+
+    texts = [(1, "No is 5\nx y z\nis"), (2, "a is\nb c\nd | is x\nis"), (3, "is\nis is\n"), (4, None), (5, "island"), (6, "a  is  b\n1 2 3 4")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line")).where(~F.contains("line", F.lit("|")))
+    boxes = lines.select("doc_id", (F.col("idx") + 1).cast("long").alias("idx"), F.posexplode(F.split("line", " ")).alias("x", "word")).withColumn("x", F.col("x").cast("long") + 1)
+    wanted = layout.beside_or_below(boxes, ["doc_id"], "idx", "x", "word", F.col("word").isin("is")).select("doc_id", "idx", "x", F.col("word").alias("label"), "value", "side")
+    found = layout.labels_in_lines(docs, "doc_id", "text", ("is",))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect())) and found.count() == 8
+
+
+def test_numbers_by_ranges(spark):
+    """Two million rows of few prefixes in twenty ranges, and turns by counted groups."""
+    from pyspark.sql.window import Window
+
+    from quillflow.operators import window
+
+    rows = spark.range(2_000_000).select(F.pmod(F.col("id") * 7919, F.lit(2_000_003)).alias("id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("P"), (F.col("id") % 3).cast("string"))).alias("prefix"))
+    last = spark.createDataFrame([("P0", 100), ("P1", 5)], "prefix string, last int")
+    minted = window.mint(rows, "prefix", "id", last, "no", part_rows=100_000)
+    assert "repartition" not in minted._jdf.queryExecution().toString().lower()
+    checks = minted.groupBy("prefix").agg(F.count("*").alias("n"), F.countDistinct("no").alias("d"), F.min("no").alias("low"), F.max("no").alias("high")).collect()
+    for r in checks:
+        start = {"P0": 100, "P1": 5, "P2": 0, None: 0}[r.prefix]
+        assert r.prefix is None or (r.n == r.d and r.low == f"{r.prefix}{start + 1:06d}" and int(r.high[2:]) == start + r.n)
+    ordered = minted.where("prefix is not null").select("prefix", "id", F.substring("no", 3, 9).cast("long").alias("no"))
+    assert ordered.withColumn("back", F.lag("no").over(Window.partitionBy("prefix").orderBy("id"))).where("no <= back").count() == 0
+    bounds = window.range_bounds(rows, "id", 100_000)
+    assert len(bounds) >= 15
+    some = spark.createDataFrame([(v,) for v in (None, -1, *bounds, 3_000_000)], "v long")
+    assert [r.p for r in some.select(window.range_of(F.col("v"), bounds).alias("p")).collect()] == [0, 0, *range(len(bounds)), len(bounds)]
+    files = spark.range(3_000).select((F.col("id") % 2).alias("kind"), (F.col("id") % 7).alias("size"), F.when(F.col("id") % 4 > 0, "p").alias("path"), "id")
+    wanted = files.select("id", F.row_number().over(Window.partitionBy("kind").orderBy("size", "path", "id")).alias("turn"))
+    assert sorted(map(tuple, window.turns(files, "kind", ["size", "path"], "id", "turn", 500).select("id", "turn").collect())) == sorted(map(tuple, wanted.collect()))
