@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from quillflow.operators.window import global_row_number
 from pyspark.sql.window import Window
 
 
@@ -60,3 +62,32 @@ def evolve(df: DataFrame, add: dict[str, str], rename: dict[str, str], drop: lis
             df = df.withColumnRenamed(old, new)
     df = df.withColumns({c: F.lit(None).cast(kind) for c, kind in add.items() if c not in df.columns})
     return df.drop(*drop)
+
+
+def save_with_children(headers: DataFrame, children: DataFrame, saves: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(headers, children) after saves, each of which finds its header by the key it had, else by its own.
+
+    headers: id, key, name, active; children: id, col, value, active; saves: old_key (null if it isn't renamed), key,
+    name, one a key; values: key, col, value of the saves. A header that is found takes the save's key and name and is
+    active; one that isn't is inserted, numbered after the largest id in order of keys. Of the children of a saved
+    header, those named again take the value and are active, new ones are inserted, the others are deactivated; what
+    happened to each is its `action`, `kept` if nothing did. Children of other headers stay as they are.
+    """
+    found = saves.withColumn("_at", F.coalesce("old_key", "key")).join(headers.select(F.col("key").alias("_at"), "id"), "_at", "left")
+    last = headers.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    new = global_row_number(found.where("id is null").select("key"), "key", "_id", int(last) + 1)
+    saved = found.join(new, "key", "left").select(F.coalesce("id", "_id").alias("id"), F.col("key").alias("_key"), F.col("name").alias("_name"))
+    out = headers.join(saved, "id", "full")
+    there = F.col("_key").isNotNull()
+    out = out.select("id", F.coalesce("_key", "key").alias("key"), F.when(there, F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(there, F.lit(True)).otherwise(F.col("active")).alias("active"))
+
+    given = values.join(saved.select(F.col("_key").alias("key"), "id"), "key").select("id", "col", F.col("value").alias("_value"), F.lit(True).alias("_given"))
+    touched = saved.select("id", F.lit(True).alias("_saved"))
+    met = children.join(given, ["id", "col"], "full").join(touched, "id", "left")
+    named, stood = F.col("_given").isNotNull(), F.col("active").isNotNull()
+    changed = ~F.coalesce("value", F.lit("")).eqNullSafe(F.coalesce("_value", F.lit(""))) | ~F.col("active")
+    action = F.when(named & ~stood, "inserted").when(named & changed, "updated").when(~named & F.col("_saved") & F.col("active"), "deactivated").otherwise("kept")
+    kids = met.withColumn("action", action)
+    value = F.when(F.col("action").isin("inserted", "updated"), F.col("_value")).otherwise(F.col("value"))
+    active = F.when(F.col("action").isin("inserted", "updated"), F.lit(True)).when(F.col("action") == "deactivated", F.lit(False)).otherwise(F.col("active"))
+    return out, kids.select("id", "col", value.alias("value"), active.alias("active"), "action")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillflow.functions import money, tables
-from quillflow.operators import formats, joins
+from quillflow.operators import formats, joins, rules
+from quillflow.operators.merge import save_with_children
 from quillflow.operators.window import global_row_number
 from quillflow.plans.registry import query
 from quillflow.session import ship_package
-from quillflow.sources.tables import table
+from quillflow.sources.tables import profile, table
 
 
 @query("""
@@ -124,3 +125,83 @@ def path_templates(spark, sf_dir):
     files = table(spark, sf_dir, "pages").select("page_id", F.expr(_PATH).alias("path"))
     known = table(spark, sf_dir, "part").select(F.expr(_KEY).alias("key"), F.expr("p_size % 3 > 0").alias("active"))
     return joins.template_for_path(files, "page_id", "path", known)
+
+
+_ORDER_NO = "CASE o_orderkey % 3 WHEN 0 THEN 'SPRPUR/' || o_orderkey WHEN 1 THEN '5prpur' || o_orderkey END"
+
+
+@query(f"""
+WITH h AS (SELECT o_orderkey, 'Invoice' AS type, 'D' || o_orderkey AS number, coalesce(regexp_replace({_ORDER_NO}, '(?i)^[S5]PRPUR/?', ''), '') AS ord FROM orders WHERE o_orderstatus = 'P'),
+l AS (SELECT h.*, (l_linenumber * 10000)::VARCHAR AS line, CASE WHEN l_tax >= 0.08 THEN 'Charge (Item)' END AS charge, l_quantity::BIGINT AS units FROM h JOIN lineitem ON l_orderkey = o_orderkey),
+c AS (SELECT o_orderkey, 'Purchase Header' AS sheet, unnest([{{'col': 'Document Type', 'value': type}}, {{'col': 'No.', 'value': number}}, {{'col': 'Consignment Note No.', 'value': ord}}]) AS c, 1 AS n FROM h
+  UNION ALL SELECT o_orderkey, 'Purchase Line', unnest([{{'col': 'Document Type', 'value': type}}, {{'col': 'Document No.', 'value': number}}, {{'col': 'Line No.', 'value': line}}, {{'col': 'Type', 'value': charge}}]), 1 FROM l
+  UNION ALL SELECT o_orderkey, 'Reservation Entry', unnest([{{'col': 'Source Type', 'value': '39'}}, {{'col': 'Source Subtype', 'value': '1'}}, {{'col': 'Source ID', 'value': number}}, {{'col': 'Source Ref. No.', 'value': line}}, {{'col': 'Quantity', 'value': '1'}}, {{'col': 'Quantity (Base)', 'value': '1'}}]), units FROM l)
+SELECT o_orderkey, sheet, c.col AS col, c.value AS value, sum(n)::BIGINT AS n FROM c WHERE c.value IS NOT NULL GROUP BY ALL
+""")
+def link_keys(spark, sf_dir):
+    """The keys that tie headers, lines and reservations (one a unit), with how many rows of its sheet hold each."""
+    heads = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lit("Invoice").alias("type"), F.expr("'D' || o_orderkey").alias("number"), F.expr(_ORDER_NO).alias("ord"))
+    lines = heads.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.withColumn("line", (F.col("l_linenumber") * 10000).cast("string")).withColumn("charge", F.when(F.col("l_tax") >= 0.08, "Charge (Item)"))
+    none = F.lit(None).cast("string")
+    heads = heads.withColumn("line", none).withColumn("charge", none).withColumn("l_quantity", F.lit(1.0))
+
+    def cells(rows, sheet, units):
+        found = F.explode(rules.linked_cells(sheet, F.col("type"), F.col("number"), F.col("ord"), F.col("line"), F.col("charge")))
+        return rows.select("o_orderkey", F.lit(sheet).alias("sheet"), found.alias("c"), units.cast("long").alias("n")).select("o_orderkey", "sheet", "c.*", "n")
+
+    every = cells(heads, "Purchase Header", F.lit(1)).unionByName(cells(lines, "Purchase Line", F.lit(1))).unionByName(cells(lines, "Reservation Entry", F.col("l_quantity")))
+    return every.groupBy("o_orderkey", "sheet", "col", "value").agg(F.sum("n").alias("n"))
+
+
+_HEADS = "SELECT c_custkey AS id, c_custkey AS key, c_mktsegment AS name, c_custkey % 5 > 0 AS active FROM customer"
+_KIDS = "SELECT o_custkey AS id, o_orderpriority AS col, max(o_orderkey)::VARCHAR AS value, max(o_orderkey) % 3 > 0 AS active FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2"
+
+
+@query(f"""
+WITH h AS ({_HEADS}), k AS ({_KIDS}),
+p AS (SELECT o_custkey, CASE WHEN o_custkey % 4 = 0 THEN o_custkey END AS old_key, CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1000000 END AS key, o_orderkey, o_orderpriority AS col FROM orders WHERE o_orderstatus = 'P'),
+s AS (SELECT key, max(old_key) AS old_key, 'saved ' || max(o_orderkey) AS name FROM p GROUP BY key),
+v AS (SELECT key, col, CASE WHEN max(o_orderkey) % 2 = 0 THEN max(o_orderkey)::VARCHAR END AS value FROM p GROUP BY key, col),
+f AS (SELECT s.*, h.id AS found FROM s LEFT JOIN h ON h.key = coalesce(s.old_key, s.key)),
+n AS (SELECT key, row_number() OVER (ORDER BY key) + (SELECT max(id) FROM h) AS id FROM f WHERE found IS NULL),
+t AS (SELECT f.key, f.name, coalesce(found, n.id) AS id FROM f LEFT JOIN n ON n.key = f.key),
+g AS (SELECT t.id, v.col, v.value FROM v JOIN t ON t.key = v.key),
+m AS (SELECT coalesce(k.id, g.id) AS id, coalesce(k.col, g.col) AS col, k.value AS old, k.active, g.value AS new, g.id IS NOT NULL AS given, k.id IS NOT NULL AS stood FROM k FULL JOIN g ON g.id = k.id AND g.col = k.col),
+a AS (SELECT m.*, CASE WHEN given AND NOT stood THEN 'inserted' WHEN given AND (coalesce(old, '') <> coalesce(new, '') OR NOT active) THEN 'updated' WHEN NOT given AND t.id IS NOT NULL AND active THEN 'deactivated' ELSE 'kept' END AS action FROM m LEFT JOIN t ON t.id = m.id)
+SELECT a.id, coalesce(t.key, h.key) AS key, coalesce(t.name, h.name) AS name, a.col, CASE WHEN action IN ('inserted', 'updated') THEN new ELSE old END AS value, CASE WHEN action IN ('inserted', 'updated') THEN true WHEN action = 'deactivated' THEN false ELSE a.active END AS active, action
+FROM a LEFT JOIN t ON t.id = a.id LEFT JOIN h ON h.id = a.id
+""")
+def save_templates(spark, sf_dir):
+    """Templates saved under the key they had or a new one, with their values merged: updated, inserted, deactivated."""
+    orders, big = table(spark, sf_dir, "orders"), F.max("o_orderkey")
+    heads = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "c_custkey as key", "c_mktsegment as name", "c_custkey % 5 > 0 as active")
+    kids = orders.where("o_orderstatus = 'O'").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("col")).agg(big.cast("string").alias("value"), (big % 3 > 0).alias("active"))
+    parts = orders.where("o_orderstatus = 'P'").selectExpr("CASE WHEN o_custkey % 4 = 0 THEN o_custkey END AS old_key", "CASE WHEN o_custkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1000000 END AS key", "o_orderkey", "o_orderpriority AS col")
+    saves = parts.groupBy("key").agg(F.max("old_key").alias("old_key"), F.concat(F.lit("saved "), big.cast("string")).alias("name"))
+    values = parts.groupBy("key", "col").agg(F.when(big % 2 == 0, big.cast("string")).alias("value"))
+    saved, children = save_with_children(heads, kids, saves, values)
+    return children.join(saved.drop("active"), "id").select("id", "key", "name", "col", "value", "active", "action")
+
+
+PROFILED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+_TYPES = {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderpriority": "string"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, {k} AS position, '{_TYPES[c]}' AS type, count({c}) AS n_values, min({c})::VARCHAR AS least, max({c})::VARCHAR AS most FROM orders" for k, c in enumerate(PROFILED, 1)))
+def column_profile(spark, sf_dir):
+    """The catalogue's entry of each column with its values' number and ends, all from one scan."""
+    return profile(table(spark, sf_dir, "orders").select(*PROFILED))
+
+
+@query("""
+SELECT CASE WHEN grouping(o_orderstatus) = 0 AND grouping(o_orderpriority) = 0 THEN 'both' WHEN grouping(o_orderstatus) = 0 THEN 'status' WHEN grouping(o_orderpriority) = 0 THEN 'priority' ELSE 'all' END AS result, o_orderstatus AS status, o_orderpriority AS priority,
+  count(*) AS n, sum(o_totalprice::DECIMAL(18, 2))::DOUBLE AS amount FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), (o_orderpriority), ())
+""")
+def result_sets(spark, sf_dir):
+    """Four result sets of one call from one scan: by status and priority, by each, and in all."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").cast("decimal(18,2)").alias("amount"))
+    sets = orders.groupingSets([["status", "priority"], ["status"], ["priority"], []], "status", "priority")
+    name = F.when((F.grouping("status") == 0) & (F.grouping("priority") == 0), "both").when(F.grouping("status") == 0, "status").when(F.grouping("priority") == 0, "priority").otherwise("all")
+    found = sets.agg(name.alias("result"), F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+    return found.select("result", "status", "priority", "n", "amount")

@@ -67,3 +67,12 @@ def stage_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = {"created": "signup", "loaded": "view", "posted": "click", "completed": "purchase"}
     firsts = [F.min(F.when(F.col("event_type") == kind, F.col("ts"))).alias(name) for name, kind in stages.items()]
     return table(spark, sf_dir, "events").groupBy("user_id").agg(*firsts)
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """(col, position, type, n_values, least, most) of each column: the catalogue's names and types, and one aggregate."""
+    stats = F.array(*(
+        F.struct(F.lit(c).alias("col"), F.lit(k).alias("position"), F.lit(t).alias("type"), F.count(c).alias("n_values"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("most"))
+        for k, (c, t) in enumerate(df.dtypes, 1)
+    ))
+    return df.agg(stats.alias("s")).select(F.inline("s"))
