@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillflow.operators import geometry
 from quillflow.operators import layout as ops
 from quillflow.plans.ledger import LINE_ORDER
 from quillflow.plans.registry import query
@@ -162,3 +163,43 @@ def party_blocks(spark, sf_dir):
     mark = F.when(F.contains("line", F.lit("icense")), "terms").when(F.contains("line", F.lit("|")), "table")
     lines = ops.blocks(_lines(spark, sf_dir).withColumn("mark", mark), ["doc_id"], "idx", "line", "mark", "party")
     return lines.select("doc_id", "block", "party", F.md5("name").alias("name"), F.when(F.col("address").isNull(), "").otherwise(F.md5("address")).alias("address"))
+
+
+#: Words of lines as boxes: six units a character, twelve a line, heights by the word's length.
+WORDS = f"""
+SELECT doc_id, idx, 6 * (length(array_to_string(ws[1:k - 1], ' ')) + (k > 1)::BIGINT)::BIGINT AS x0, (6 * (length(array_to_string(ws[1:k - 1], ' ')) + (k > 1)::BIGINT + length(w)))::BIGINT AS x1, 12 * idx - length(w) % 3 AS y0, 12 * idx + 6 + length(w) % 4 AS y1, w AS word
+FROM (SELECT doc_id, idx, string_split(replace(line, '|', '  '), ' ') AS ws FROM ({LINES})), unnest(ws) WITH ORDINALITY u(w, k) WHERE w <> ''
+"""
+
+
+def _words(spark, sf_dir):
+    """The word boxes of `WORDS`: a word's place is the length of what stands before it."""
+    words = _lines(spark, sf_dir).select("doc_id", "idx", F.posexplode(F.split(F.replace("line", F.lit("|"), F.lit("  ")), " ")).alias("k", "word"))
+    before = Window.partitionBy("doc_id", "idx").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    words = words.withColumn("x0", 6 * F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0).cast("long"))).where("word <> ''")
+    size = F.length("word")
+    return words.select("doc_id", "idx", "x0", (F.col("x0") + 6 * size).alias("x1"), (12 * F.col("idx") - size % 3).alias("y0"), (12 * F.col("idx") + 6 + size % 4).alias("y1"), "word")
+
+
+@query(f"""
+WITH w AS ({WORDS}),
+g AS (SELECT *, coalesce((x0 - lag(x1) OVER o > 1.5 * greatest(lag(y1 - y0) OVER o, 1))::INTEGER, 1) AS new FROM w WINDOW o AS (PARTITION BY doc_id, idx ORDER BY x0, x1, word)),
+n AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, idx ORDER BY x0, x1, word ROWS UNBOUNDED PRECEDING)::BIGINT AS n FROM g)
+SELECT doc_id, idx, n, string_agg(trim(word), ' ' ORDER BY x0, x1, word) AS text, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM n GROUP BY doc_id, idx, n
+""")
+def word_segments(spark, sf_dir):
+    """Words with coordinates as boxes, parted where a gap is wider than one and a half heights."""
+    return geometry.segments(_words(spark, sf_dir), ["doc_id", "idx"])
+
+
+@query(f"""
+WITH w AS (SELECT *, word IN ('is', 'est', 'ist', 'es') AS label FROM ({WORDS})),
+m AS (SELECT *, sum(label::INTEGER) OVER (PARTITION BY doc_id, idx ORDER BY x0, x1, word ROWS UNBOUNDED PRECEDING) AS o FROM w),
+h AS (SELECT doc_id, idx, o, max(x0) FILTER (label) AS x0, max(word) FILTER (label) AS label, coalesce(string_agg(word, ' ' ORDER BY x0, x1, word) FILTER (NOT label), '') AS r FROM m WHERE o > 0 GROUP BY 1, 2, 3),
+b AS (SELECT h.doc_id, h.idx, h.x0, w.idx AS down, string_agg(w.word, ' ' ORDER BY w.x0, w.x1, w.word) AS t FROM h JOIN w ON w.doc_id = h.doc_id AND w.idx BETWEEN h.idx + 1 AND h.idx + 3 AND w.x0 BETWEEN h.x0 - 60 AND h.x0 + 220 WHERE r = '' GROUP BY 1, 2, 3, 4),
+f AS (SELECT doc_id, idx, x0, arg_min(t, down) AS t FROM b GROUP BY 1, 2, 3)
+SELECT h.doc_id, h.idx, h.x0, h.label, coalesce(nullif(r, ''), f.t, '') AS value, CASE WHEN r <> '' THEN 'right' WHEN f.t IS NOT NULL THEN 'below' ELSE 'none' END AS side FROM h LEFT JOIN f ON f.doc_id = h.doc_id AND f.idx = h.idx AND f.x0 = h.x0
+""")
+def box_values(spark, sf_dir):
+    """The value of each label among boxes with coordinates: right up to the next label, else in the band below."""
+    return geometry.label_values(_words(spark, sf_dir), ["doc_id"], "idx", F.col("word").isin(*LABELS))
