@@ -10,7 +10,8 @@ Only lengths are shuffled, never ids or texts; partitions hold about `PACK_ROWS`
 of a task stays the same at any size, and a source with a third of the rows spreads by doc_id.
 
 Defined cases: a null or empty text is its end id alone; a text of 4096 ids is one full piece, of
-4097 two; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+4097 two; very long texts are cut into as many as they need; of bins with equal space (ties) the last one
+put there is taken; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

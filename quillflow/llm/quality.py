@@ -10,7 +10,8 @@ Counts are summed in Spark: each task sends one row per bucket in use, at most 2
 
 Defined cases: a null or empty text has no words and no n-grams, scores 0 and fails the base rules;
 texts under 4 bytes score 0; without target rows all scores are 0 and the base rules alone decide;
-repeated rows are each judged; other columns are ignored by `quality_scores`, kept by `quality_filter`.
+very long texts are counted whole; a score at the threshold (ties) stays; repeated rows are each judged; an
+empty table gives no rows; other columns are ignored by `quality_scores`, kept by `quality_filter`.
 """
 
 from __future__ import annotations

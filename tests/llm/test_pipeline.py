@@ -120,3 +120,9 @@ def test_stages_take_empty_tables_nulls_and_repeats(spark, stage):
 
 def test_packing_takes_empty_tables(spark):
     assert pipeline.STAGES[4][1](spark, queries.table(spark, FOLDER, "documents").limit(0), FOLDER).count() == 0
+
+
+def test_packing_takes_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, None), (2, ""), (None, "word " * 60000), (None, "word " * 60000), (3, "one two three"), (3, "one two three"), (6, "another"), (4, "a " * 4095), (5, "a " * 4096)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS piece", "1 AS offset", "'y' AS sequence_id", "2 AS length")
+    assert packed_fully(pipeline.STAGES[4][1](spark, docs, FOLDER).collect(), docs.collect()) > 0
