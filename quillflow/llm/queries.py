@@ -167,6 +167,27 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(table(spark, sf_dir, "documents"))
 
 
+#: crc32 of the decimal digits of {0}, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: ord(({0}::VARCHAR)[i])::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, coalesce({CRC32_SQL.format('doc_id')}, 1) AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END + 1]) ELSE ws END AS ws FROM e),
+w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM t),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON y.doc_id = x.doc_id AND y.w = x.w AND y.i > x.i),
+long AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT * FROM long r WHERE NOT EXISTS (SELECT 1 FROM long b WHERE b.doc_id = r.doc_id AND b.q < r.q AND r.q % b.q = 0 AND b.s <= r.s AND b.s + b.n >= r.s + r.n)),
+top AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(s := s, n := n, q := q), (-n / q, s, q)) AS f, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN runs r ON r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.n),
+kept AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN gone ON gone.doc_id = w.doc_id AND gone.i = w.i GROUP BY w.doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, f.s AS start, f.n AS length, f.q AS period, 1000 * f.n // f.q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN top ON top.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+
 def rebuilt_paths(turns: DataFrame) -> DataFrame:
     """Each conversation's path: the first turns of the conversation at the last multiple of 5, then its own after as many."""
     paths = trie.conversation_paths(turns).withColumn("h", (F.crc32(F.col("conv_id").cast("string")) % 9).cast("int"))
@@ -184,15 +205,14 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rebuilt_paths(table(spark, sf_dir, "conversations")))
 
 
-OP12_SQL = """
+OP12_SQL = f"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
-  SELECT conv_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ord(s[i])::BIGINT)),
-    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 9 AS h
-  FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+  SELECT conv_id, {CRC32_SQL.format('conv_id')} % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
 r AS (
   SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.i <= c.h
   UNION ALL
@@ -248,4 +268,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_trie": OP12_SQL, "op13_minhash": OP13_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_periodic_runs": OP11_SQL, "op12_conversation_trie": OP12_SQL, "op13_minhash": OP13_SQL}

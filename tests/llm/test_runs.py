@@ -4,6 +4,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -94,6 +95,11 @@ def test_query_same_as_brute_force(spark):
     found = {r.doc_id: tuple(r[c] for c in COLUMNS) for r in queries.op11_periodic_runs(spark, folder).collect()}
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
     assert len(found) == len(docs)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    answer = con.execute(queries.OP11_SQL)
+    at = [[d[0] for d in answer.description].index(c) for c in COLUMNS]
+    assert {r[at[0]]: tuple(r[k] for k in at) for r in answer.fetchall()} == found
     short = [r for r in docs if len((r.text or "").split()) < 700]
     assert len(short) > 100
     for r in short:
