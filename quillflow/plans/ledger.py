@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillflow.operators import window as win
-from quillflow.operators.aggregate import fold_contained, status_tallies, tier_label
+from quillflow.operators.aggregate import count_if, fold_contained, status_tallies, tier_label
 from quillflow.operators.layout import groups_from_first
 from quillflow.operators.merge import absorb, evolve
 from quillflow.plans.registry import query
