@@ -277,7 +277,8 @@ def test_vendor_codes(spark):
     from quillflow.functions import codes
 
     samples = [
-        ("T9MGoRU0 I", "TPM GURU PRIVATE LIMITED", ("TPMGUR001", "confident")), ("1 ZACD021S", "Zaco Computers Pvt Ltd", ("ZACO0215", "confident")), ("", "TPM GURU PRIVATE LIMITED", ("", "none")),
+        # The longest head without a difference wins, here the whole second word; with its first three letters it were TPMGUR001.
+        ("T9MGoRU0 I", "TPM GURU PRIVATE LIMITED", ("TPMGURU01", "confident")), ("T9MGoR00 I", "TPM GURU PRIVATE LIMITED", ("TPMGURU01", "confident")), ("T9MGoR2 I", "TPM GURU PRIVATE LIMITED", ("TPMGUR21", "confident")), ("1 ZACD021S", "Zaco Computers Pvt Ltd", ("ZACO0215", "confident")), ("", "TPM GURU PRIVATE LIMITED", ("", "none")),
         ("ABCDEF12", "Some Unrelated Name", ("ABCDEF12", "doubtful")), ("BRISK101", "Briskinfosec", ("BRISKI01", "confident")), ("SURINFO01", "Sureworks Infotech", ("SURINFO01", "confident")), (None, "x", ("", "none")), ("ab", None, ("ab", "doubtful")),
     ]
     rng = random.Random(11)
