@@ -66,13 +66,13 @@ def discard(*tables: DataFrame) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, least: int = 1) -> DataFrame:
     """One row of df for each value of a key, as a table in the shared folder that is bucketed and sorted by it.
 
-    Joins on the key don't shuffle it.
+    Joins on the key don't shuffle it. It has as many buckets as shuffles have partitions, and `least` at least.
     """
     spark = df.sparkSession
-    name, parts = f"quillflow_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, parts = f"quillflow_{uuid.uuid4().hex}", max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     writer = df.repartition(parts, key).dropDuplicates([key]).write.bucketBy(parts, key).sortBy(key).format("parquet")
     path = shared_path(spark, "bucketed")
     writer.option("path", path).saveAsTable(name)

@@ -10,7 +10,7 @@ with equal sets form one node. Sets link if their Jaccard similarity J is 0.85 o
   count's bit where samples differ. From its population count z, the number of differing samples is about
   -BITS/2 ln(1 - 2z/BITS), most precise where J is high. Pairs that differ in more than `DIFFER` samples by
   that estimate go: at J = 0.85 at least 79 of 128 samples agree but with probability 1e-10.
-* Confirmation: what remains is compared on whole sets, 100 common >= 85 union.
+* Confirmation: what remains is compared on whole sets (48 bits a shingle), 100 common >= 85 union.
 
 Band keys with few sets give their pairs. Keys with more sets chain them (in map tasks first, so that a key that
 a third of all sets share sends a row or two per task): each set is paired with the smallest of its chain, a
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillflow.llm import near
-from quillflow.llm.common import arrow_batches, bucketed, discard, mix64, texts, written
+from quillflow.llm.common import arrow_batches, discard, mix64, texts, written
 from quillflow.llm.graph import components
 
 PERCENT = 85
@@ -169,7 +169,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for k, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                keep[k] = near._linked(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (a, b)), PERCENT)
+                keep[k] = near._linked(near.unpacked(a), near.unpacked(b), PERCENT)
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     left, right = (sets.select(F.col("node").alias(end), F.col("tokens").alias(name)) for end, name in (("x", "a"), ("y", "b")))
@@ -179,7 +179,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _connect(table: pa.Table) -> pa.RecordBatch:
     """Links between the two blocks of a task that join different components."""
     node, root, n, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "n", "block"))
-    tokens = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")]
+    tokens = [near.unpacked(v) for v in table.column("tokens")]
     bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
     first = int(table.column("i")[0].as_py())
     out = []
@@ -214,7 +214,7 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
     owner = scanned.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     ends = close.unionByName(close.select(F.col("y").alias("x"), F.col("x").alias("y"), "odd"))
-    sets = bucketed(near._sets(docs, owner.join(ends.select(F.col("x").alias("node")).distinct(), "node", "left_semi").select("doc_id"), sketch_of), "node")
+    sets = near._set_table(docs, owner.join(ends.select(F.col("x").alias("node")).distinct(), "node", "left_semi"), sketch_of)
     nearest = ends.groupBy("x").agg(F.min(F.struct("odd", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y"))
     links = written(_confirmed(nearest.distinct(), sets), "links")
     more = written(links.unionByName(_confirmed(near._across(close, components(links)), sets)), "links")
@@ -222,7 +222,7 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     roots = components(more)
     members = clusters.join(owner.select("node", "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = written(near._undecided(members), "open")
-    sets = bucketed(near._sets(docs, owner.join(open_.select("node").distinct(), "node", "left_semi").select("doc_id"), sketch_of), "node")
+    sets = near._set_table(docs, owner.join(open_.select("node").distinct(), "node", "left_semi"), sketch_of)
     links = more.unionByName(written(near._cluster_links(open_, sets, _connect), "links"))
     discard(clusters, open_, sets)
     return links

@@ -30,7 +30,8 @@ Verification: bitmaps of about four bits a token first: a bit of x that y lacks
 y lacks, so overlap <= |x| - |bits(x) not in bits(y)|, which never drops a link. What remains is
 verified on whole sets. No pair that can link is left out, and no group is expanded into pair rows.
 
-Hash collisions (2**-64 per pair of different shingles or sets) are the only source of error.
+Hash collisions are the only source of error: 2**-64 per pair of different shingles or sets, and 2**-48 per pair
+of shingles where whole sets are compared, for which their hashes are cut to six bytes.
 
 Defined cases: null or empty texts have no set, link with nothing and are their own component; one to
 four words are a single shingle; texts of any length are read whole; repeated rows are documents of
@@ -68,6 +69,10 @@ BLOCK_TOKENS = 1_000
 SINGLES_BELOW = 16
 #: Entries that a map task holds before it chains and sends them.
 HELD_ENTRIES = 1_000_000
+#: Bytes of a token where whole sets are compared.
+TOKEN_BYTES = 6
+#: Bytes of sets that a bucket of their table holds, about.
+BUCKET_BYTES = 256 << 20
 #: Bits of the filter of wanted ids: about 16 an id; beyond MOST_BLOOM_BITS ids are joined instead.
 MOST_BLOOM_BITS = 1 << 27
 
@@ -115,6 +120,19 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(np.uint64)
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper six bytes of each token of a sorted set; they keep its order."""
+    return (s >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
+
+
+def unpacked(value: pa.BinaryScalar) -> np.ndarray:
+    """The tokens of `packed`."""
+    data = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, TOKEN_BYTES)
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, :TOKEN_BYTES] = data
+    return out.view("<u8")[:, 0].astype(np.uint64)
+
+
 def may_link(a: np.ndarray, n: int, b: np.ndarray, m: int) -> bool:
     """False only if sets of n and m tokens with these bitmaps can't link; wider ones are folded."""
     while len(a) > len(b):
@@ -377,13 +395,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, sketch: Callable[[np.ndarray], np.
                 nodes, sets = zip(*found, strict=True)
                 yield pa.RecordBatch.from_pydict({
                     "node": pa.array(nodes, pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
-                    "bits": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "bits": pa.array([sketch(s).tobytes() for s in sets], pa.binary()), "tokens": pa.array([packed(s) for s in sets], pa.binary()),
                 })
 
     hashed = [F.xxhash64(F.lit(k), F.col("doc_id")).bitwiseAND(bits - 1).alias(f"h{k}") for k in range(4)] if bloom else []
     return docs.select("text", *hashed).mapInArrow(emit, "node long, n int, bits binary, tokens binary")
 
 
+def _set_table(docs: DataFrame, owner: DataFrame, sketch: Callable[[np.ndarray], np.ndarray] = bitmap) -> DataFrame:
+    """`_sets` of the documents that stand for nodes (node, doc_id, n), bucketed by node in as many buckets as their sizes need."""
+    owner = written(owner.select("doc_id", "n"), "owner")
+    tokens = owner.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    out = bucketed(_sets(docs, owner.select("doc_id"), sketch), "node", -(-tokens * (TOKEN_BYTES + 1) // BUCKET_BYTES))
+    discard(owner)
+    return out
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (x, y) whose whole sets link."""
 
@@ -398,7 +425,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for k, (a, b) in enumerate(zip(batch.column("a"), batch.column("b"), strict=True)):
-                keep[k] = _linked(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64))
+                keep[k] = _linked(unpacked(a), unpacked(b))
             yield batch.select(["x", "y"]).filter(pa.array(keep))
 
     left = sets.select(F.col("node").alias("x"), F.col("bits").alias("a"), "n")
@@ -504,7 +531,7 @@ def _cluster_links(members: DataFrame, sets: DataFrame, connect: Callable[[pa.Ta
 def _connect(table: pa.Table) -> pa.RecordBatch:
     """Links between the two blocks of a task that join different components."""
     node, root, n, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "n", "block"))
-    tokens = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("tokens")]
+    tokens = [unpacked(v) for v in table.column("tokens")]
     bits = [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("bits")]
     width = np.array([len(v) for v in bits])
     maps = {w: (np.flatnonzero(width == w), np.stack([b for b in bits if len(b) == w])) for w in np.unique(width).tolist()}
@@ -556,7 +583,7 @@ def _links(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
     used = pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node"))).unionByName(clusters.select("node")).distinct()
     owner = scanned.where("kind = 0 and node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    sets = bucketed(_sets(docs, owner.join(used, "node", "left_semi").select("doc_id")), "node")
+    sets = _set_table(docs, owner.join(used, "node", "left_semi"))
 
     ends = pairs.select("x", "y", "common").unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), "common"))
     nearest = ends.groupBy("x").agg(F.max(F.struct("common", "y")).alias("b")).select(F.least("x", "b.y").alias("x"), F.greatest("x", "b.y").alias("y"))
