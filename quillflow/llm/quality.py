@@ -1,7 +1,7 @@
 """Quality rules: base counts and a hashed n-gram log-likelihood ratio, target against raw corpus.
 
 Two multinomials over hashed 4-grams of UTF-8 bytes are estimated: one on trusted target texts
-(labels.quality = 1, at most `target_rows` of them, picked by a fixed hash), one on every document.
+(all with labels.quality = 1, found by a join on doc_id), one on every document.
 A text's score is the mean over its n-grams of log p_target - log p_raw, so it does not depend on
 length. A document stays when it passes the base rules and its score is at least `threshold`.
 
@@ -25,10 +25,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillflow.llm.common import arrow_batches, is_in, labelled_ids, raw_bytes, texts, words_of
+from quillflow.llm.common import arrow_batches, raw_bytes, texts, words_of
 
 BITS = 16
-TARGET_ROWS = 20_000
+#: Up to so many trusted ids are broadcast; more are met by a shuffle of the texts, into hashed ids, which sorts none.
+BROADCAST_IDS = 1_000_000
 THRESHOLD = -0.3
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
@@ -37,7 +38,7 @@ SCORES = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
     "n_repeat_words long, base_failed boolean, kept boolean, llr double"
 )
-_COUNTS = "bucket int, raw long, target long"
+_COUNTS = "bucket int, n long"
 
 
 def gram_buckets(data: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -96,32 +97,25 @@ def base_counts(array: pa.Array) -> dict[str, np.ndarray]:
     return counts
 
 
-def gram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, target_rows: int = TARGET_ROWS) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, from all documents; zeros without target texts."""
-    spark = docs.sparkSession
-    arrow_batches(spark)
-    wanted = spark.sparkContext.broadcast(labelled_ids(labels, F.col("quality") == 1, target_rows))
+def gram_weights(docs: DataFrame, labels: DataFrame, bits: int = BITS, broadcast_ids: int = BROADCAST_IDS) -> np.ndarray:
+    """log p_target - log p_raw of each bucket, from all documents and all target texts; zeros without target texts."""
+    arrow_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text")
+    ids = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= broadcast_ids else ids.hint("shuffle_hash")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = np.zeros(1 << bits, np.int64)
-        target = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
             data, offsets = raw_bytes(texts(batch))
-            buckets, owner = gram_buckets(data, bits), _windows(offsets, len(data), 4)
-            inside = owner >= 0
-            raw += np.bincount(buckets[inside], minlength=1 << bits)
-            chosen = is_in(batch.column("doc_id"), wanted.value)
-            if chosen.any():
-                inside &= chosen[owner]
-                target += np.bincount(buckets[inside], minlength=1 << bits)
-        used = np.flatnonzero(raw)
+            counts += np.bincount(gram_buckets(data, bits)[_windows(offsets, len(data), 4) >= 0], minlength=1 << bits)
+        used = np.flatnonzero(counts)
         if len(used):
-            yield pa.RecordBatch.from_pydict(
-                {"bucket": pa.array(used, pa.int32()), "raw": raw[used], "target": target[used]}
-            )
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": counts[used]})
 
-    found = docs.select("doc_id", "text").mapInArrow(count, _COUNTS)
-    found = found.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    every = rows.mapInArrow(count, _COUNTS).select("bucket", F.col("n").alias("raw"), F.lit(0).cast("long").alias("target"))
+    trusted = rows.join(ids, "doc_id", "left_semi").mapInArrow(count, _COUNTS).select("bucket", F.lit(0).cast("long").alias("raw"), F.col("n").alias("target"))
+    found = every.union(trusted).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw = np.zeros(1 << bits)
     target = np.zeros(1 << bits)
     raw[found["bucket"]], target[found["bucket"]] = found["raw"], found["target"]

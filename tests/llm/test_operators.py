@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 exact = pytest.importorskip("quillflow.llm.exact")
 from quillflow.llm import classifier, encode, license, mixing, near, packing, pii, quality, queries, tokenfiles, toxicity, weak  # noqa: E402
@@ -253,6 +254,15 @@ def test_llr_same_as_brute_force(spark):
         assert r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD)
 
 
+def test_grams_of_all_target_texts(spark):
+    docs = spark.range(20_300).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    assert not quality.gram_weights(docs, labels).any()  # all texts are targets, so both models are one
+    some = labels.where("doc_id % 3 = 0")
+    small = quality.gram_weights(docs, some)
+    assert small.any() and (small == quality.gram_weights(docs, some, broadcast_ids=10)).all()
+
+
 # Tokens
 
 
