@@ -86,6 +86,9 @@ TAXED = f"""CASE l_partkey % 10 WHEN 0 THEN 'Goods 18% extra' || chr(10) || 'Out
   WHEN 2 THEN 'sgst 45%' || chr(10) || 'SGST again ' || {_RATE} || '.5% ' || {_AMOUNT} WHEN 3 THEN {_RATE} || '% 12.00 ' || {_RATE} || ' %  3,000.50' || chr(10) || 'Gst in all 5% 9.99' WHEN 4 THEN 'GST ' || {_RATE} || '%' || chr(10) || 'Total Tax Amount: ' || {_AMOUNT}
   WHEN 5 THEN 'igst 0% 0.00' || chr(10) || 'cgst @9% of 100.00 9.00' WHEN 6 THEN 'IGST nil' || chr(10) || 'igst ' || {_RATE} || '% ' || {_AMOUNT} || ' ' || chr(10) || 'IGST 28% 1.00' WHEN 7 THEN '50% 1.00 50% 1.00' || chr(10) || '6% 1.00 6% 1.00' WHEN 8 THEN 'no tax here' END"""
 
+#: The same with the amount's cents rounded as SQL's cast does it: the double's hundredfold, half away from zero, not its decimal digits.
+_TAXED_NOTE = TAXED.replace(_AMOUNT, "cast(cast(cast(round(l_extendedprice * l_tax * 100) AS decimal(20, 0)) / 100 AS decimal(18, 2)) AS string)")
+
 
 def _kinds(table_: str, *rest: str) -> str:
     near = lambda k: f"nullif(list_filter({table_}, lambda x: contains(x.low, '{k}'))[1].value, 0)"
@@ -102,7 +105,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_kinds('rates', '(halves
 """)
 def tax_near_keyword(spark, sf_dir):
     """The tax rate and amount that an invoice's lines name beside each tax."""
-    note = F.expr(TAXED)
+    note = F.expr(_TAXED_NOTE)
     rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", money.tax_rate_near(note).alias("rate"), money.tax_amount_near(note).alias("amount"))
 

@@ -3,6 +3,7 @@
 import threading
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,3 +189,17 @@ def test_numbers_by_ranges(spark):
     files = spark.range(3_000).select((F.col("id") % 2).alias("kind"), (F.col("id") % 7).alias("size"), F.when(F.col("id") % 4 > 0, "p").alias("path"), "id")
     wanted = files.select("id", F.row_number().over(Window.partitionBy("kind").orderBy("size", "path", "id")).alias("turn"))
     assert sorted(map(tuple, window.turns(files, "kind", ["size", "path"], "id", "turn", 500).select("id", "turn").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_tax_amounts_round_as_sql_does(spark, tmp_path):
+    # 0.285 * 100 is below 28.5 and 1.115 * 100 above 111.5, whatever their decimal digits say.
+    from quillflow.plans import documents, registry
+
+    rows = [(1, k, 4, 1, price, 1.0, "R") for k, price in enumerate((0.285, 1.005, 1.115, 8.575, 2.5, 1250.475, 2094.825))] + [(2, 1, 4, 1, None, 1.0, "R")]
+    df = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_tax double, l_returnflag string")
+    df.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    wanted = con.execute(registry.load()[1]["tax_near_keyword"]).fetchall()
+    assert sorted(map(tuple, documents.tax_near_keyword(spark, str(tmp_path)).collect())) == sorted(wanted)
+    assert {row[5] for row in wanted} >= {0.28, 1.12, 8.57}
