@@ -64,11 +64,23 @@ SELECT l_orderkey, unit::BIGINT AS unit, count(*) AS n, sum(l_extendedprice::DEC
 FROM (SELECT *, unnest(range(1, greatest(1, trunc(l_quantity))::INTEGER + 1)) AS unit FROM lineitem) GROUP BY 1, 2
 """)
 def shred_nested(spark, sf_dir):
-    """Documents nested as header and lines, shredded to one row per unit and summed."""
-    item = F.struct("l_linenumber", "l_extendedprice", F.greatest(F.lit(1), F.col("l_quantity").cast("int")).alias("qty"))
+    """Documents nested as header and lines, shredded to one row per unit and summed.
+
+    A unit's sums are those of the lines with as many units, so they are found once for each quantity of a document and
+    the units below it follow; no line's units are made and grouped again.
+    """
+    item = F.struct(F.greatest(F.lit(1), F.col("l_quantity").cast("int")).alias("qty"), F.col("l_extendedprice").cast("decimal(18,4)").alias("price"))
     nested = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))  # bounded by a document's lines
-    units = nested.select("l_orderkey", F.explode("items").alias("i")).select("l_orderkey", "i.*", F.explode(F.sequence(F.lit(1), F.col("i.qty"))).alias("unit"))
-    return units.groupBy("l_orderkey", F.col("unit").cast("long").alias("unit")).agg(F.count("*").alias("n"), total("l_extendedprice").alias("amount"))
+    levels = nested.select("l_orderkey", "items", F.array_sort(F.array_distinct("items.qty")).alias("levels"))
+
+    def step(high, place):
+        held = F.filter("items", lambda x: x["qty"] >= high)
+        amount = F.aggregate(held, F.lit(None).cast("decimal(28,4)"), lambda a, x: F.coalesce(a + x["price"], a, x["price"]).cast("decimal(28,4)"))
+        low = F.coalesce(F.get("levels", place - 1), F.lit(0)) + 1
+        return F.struct(low.alias("low"), high.alias("high"), F.size(held).cast("long").alias("n"), amount.cast("double").alias("amount"))
+
+    steps = levels.select("l_orderkey", F.inline(F.transform("levels", step)))
+    return steps.select("l_orderkey", F.explode(F.sequence("low", "high")).alias("unit"), "n", "amount").withColumn("unit", F.col("unit").cast("long"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events WHERE event_type = 'purchase'")
