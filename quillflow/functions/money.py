@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillflow.functions.text import let
+
 #: Tax slabs in percent that a line's amounts are checked with.
 SLABS = (5.0, 12.0, 18.0, 28.0)
 #: All slabs, those that an implied rate may name, and how near it must be.
@@ -36,13 +38,14 @@ def _lines_with(text: Column, value) -> Column:
 
 def _near(lines: Column, keyword: str) -> Column:
     """The value of the first line that names a keyword; null for zero."""
-    return F.nullif(F.get(F.filter(lines, lambda x: F.contains(x["low"], F.lit(keyword))), F.lit(0))["value"], F.lit(0.0))
+    found = F.get(F.filter(lines, lambda x: F.contains(x["low"], F.lit(keyword))), F.lit(0))["value"]
+    return let(found, lambda value: F.when(value != 0, value))
 
 
 def _by_kind(lines: Column, *rest: Column) -> Column:
     """What the lines say of the whole tax: the integrated one, else both halves or the one that is there, else the rest."""
-    whole, central, state = (_near(lines, k) for k in ("igst", "cgst", "sgst"))
-    return F.coalesce(whole, central + state, central, state, *rest)
+    halves = F.array(_near(lines, "cgst"), _near(lines, "sgst"))
+    return F.coalesce(_near(lines, "igst"), let(halves, lambda h: F.coalesce(h[0] + h[1], h[0], h[1])), *rest)
 
 
 def tax_rate_near(text: Column) -> Column:
@@ -51,16 +54,20 @@ def tax_rate_near(text: Column) -> Column:
         found = F.regexp_extract(line, RATE, 1).try_cast("double")
         return F.when((found > 0) & (found <= MOST_RATE), found)
 
-    halves = F.zip_with(F.regexp_extract_all(text, F.lit(TWO_RATES), F.lit(1)), F.regexp_extract_all(text, F.lit(TWO_RATES), F.lit(2)), lambda a, b: F.struct(a.try_cast("double").alias("a"), b.try_cast("double").alias("b")))
-    even = F.filter(halves, lambda h: (h["a"] == h["b"]) & (h["a"] + h["b"] > 0) & (h["a"] + h["b"] <= MOST_RATE))
-    lines = _lines_with(text, rate)
-    return _by_kind(lines, F.get(even, F.lit(0))["a"] * 2, _near(lines, "gst"))
+    def half(note: Column) -> Column:
+        halves = F.zip_with(F.regexp_extract_all(note, F.lit(TWO_RATES), F.lit(1)), F.regexp_extract_all(note, F.lit(TWO_RATES), F.lit(2)), lambda a, b: F.struct(a.try_cast("double").alias("a"), b.try_cast("double").alias("b")))
+        even = F.filter(halves, lambda h: (h["a"] == h["b"]) & (h["a"] + h["b"] > 0) & (h["a"] + h["b"] <= MOST_RATE))
+        return F.get(even, F.lit(0))["a"] * 2
+
+    return let(text, lambda note: let(_lines_with(note, rate), lambda lines: _by_kind(lines, half(note), _near(lines, "gst"))))
 
 
 def tax_amount_near(text: Column) -> Column:
     """The tax amount that a text's lines name: the last number with two decimals beside each tax's name."""
-    lines = _lines_with(text, lambda line: number(F.try_element_at(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(1)), F.lit(-1))))
-    return _by_kind(lines, _near(lines, "gst"), _near(lines, "total tax amount"))
+    def amount(line: Column) -> Column:
+        return number(F.try_element_at(F.regexp_extract_all(line, F.lit(AMOUNT), F.lit(1)), F.lit(-1)))
+
+    return let(_lines_with(text, amount), lambda lines: _by_kind(lines, _near(lines, "gst"), _near(lines, "total tax amount")))
 
 
 #: What `reconcile_code` says.

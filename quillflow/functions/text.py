@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ CONFUSED, STANDS_FOR = "|81L26", "IBIIZG"
 CODE_GROUPS = ("0OUD", "1ILJF^|!", "2Z", "5S", "6G", "8B", "9P")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is found once, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def collapse(value: Column) -> Column:
     """Lower case, trimmed, white space collapsed."""
     return F.lower(F.regexp_replace(F.trim(value), r"\s+", " "))
