@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillflow.functions import fuzzy
-from quillflow.functions.text import CODE_GROUPS
+from quillflow.functions.text import CODE_GROUPS, let
 
 #: The order number is SPRPUR/yyyy/mm/dd-serial, its S also read as 5, with blanks anywhere between its parts.
 PREFIX, PREFIX_WORD, PREFIX_RATIO = "[S5]PRPUR", "SPRPUR", 0.6
@@ -96,31 +96,45 @@ def vendor_code(raw: Column, name: Column) -> Column:
     """
     canon = canonical_group
     clean = F.regexp_replace(raw, r"^\s*[1:;]\s+", "")  # a label's colon read as a sign of its own
-    read = F.upper(F.regexp_replace(clean, r"\s+", ""))
     words = F.filter(F.transform(F.regexp_extract_all(F.coalesce(name, F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)), F.upper), lambda w: F.length(w) >= 3)
-    first, more = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.slice(words, 2, 2)
-    joined = F.flatten(F.transform(more, lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda n: F.concat(F.left(first, F.lit(3)), F.left(w, n)))))
-    alike = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(read), F.length(first)), F.lit(1))), lambda n: canon(F.left(read, n)) == canon(F.left(first, n)))
-    shared = F.coalesce(F.array_max(alike), F.lit(0))
-    six = canon(F.left(read, F.lit(6)))
-    own = (F.length(read) >= 6) & _in_order(F.left(six, F.lit(3)), canon(first)) & F.exists(more, lambda w: _in_order(F.substring(six, 4, 3), canon(w)))
-    heads = F.concat(F.array(first), joined, F.array(F.when(shared >= 3, F.left(first, shared)).otherwise("")), F.array(F.when(own, F.left(read, F.lit(6))).otherwise("")))
-    fitting = F.filter(heads, lambda h: (h != "") & (F.length(h) <= F.length(read)))
-
-    def scored(h: Column, place: Column) -> Column:
-        pairs = F.zip_with(F.split(canon(F.left(read, F.length(h))), ""), F.split(canon(h), ""), lambda x, y: F.when(x == y, 0).otherwise(1))
+    given = let(clean, lambda c: F.struct(c.alias("clean"), F.upper(F.regexp_replace(c, r"\s+", "")).alias("read"), words.alias("words")))
+
+    def parts(g: Column) -> Column:
+        first = F.coalesce(F.get(g["words"], F.lit(0)), F.lit(""))
+        return let(first, lambda f: F.struct(
+            g["clean"].alias("clean"), g["read"].alias("read"), canon(g["read"]).alias("signs"), f.alias("first"), canon(f).alias("begin"), F.slice(g["words"], 2, 2).alias("more")))
+
+    def heads_of(p: Column) -> Column:
+        joined = F.flatten(F.transform(p["more"], lambda w: F.transform(F.sequence(F.lit(3), F.length(w)), lambda n: F.concat(F.left(p["first"], F.lit(3)), F.left(w, n)))))
+        alike = F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length(p["read"]), F.length(p["first"])), F.lit(1))), lambda n: F.left(p["signs"], n) == F.left(p["begin"], n))
+        shared = let(F.coalesce(F.array_max(alike), F.lit(0)), lambda n: F.when(n >= 3, F.left(p["first"], n)).otherwise(""))
+        six = F.left(p["signs"], F.lit(6))
+        own = (F.length(p["read"]) >= 6) & _in_order(F.left(six, F.lit(3)), p["begin"]) & F.exists(p["more"], lambda w: _in_order(F.substring(six, 4, 3), canon(w)))
+        heads = F.concat(F.array(p["first"]), joined, F.array(shared), F.array(F.when(own, F.left(p["read"], F.lit(6))).otherwise("")))
+        return F.filter(heads, lambda h: (h != "") & (F.length(h) <= F.length(p["read"])))
+
+    def scored(p: Column, h: Column, place: Column) -> Column:
+        pairs = F.zip_with(F.split(F.left(p["signs"], F.length(h)), ""), F.split(canon(h), ""), lambda x, y: F.when(x == y, 0).otherwise(1))
         return F.struct((F.aggregate(pairs, F.lit(0), lambda x, y: x + y) / F.length(h)).alias("miss"), (-F.length(h)).alias("size"), place.alias("place"), h.alias("head"))
 
-    best = F.array_min(F.transform(fitting, scored))
-    sure = F.coalesce(best["miss"] == 0, F.lit(False))
-    head = F.when(sure, best["head"]).otherwise(F.left(read, F.lit(6)))
-    tail = canon(F.substr(read, F.length(head) + 1, F.lit(1000)))
-    fixed = F.concat(head, F.regexp_replace(tail, "[^0-9]", ""))
-    good = sure & F.rlike(tail, F.lit("^[0-9]+$"))
     answer = lambda v, c: F.struct(v.alias("code"), c.alias("confidence"))
-    blank = F.coalesce(F.trim(F.regexp_replace(raw, r"\s+", "")) == "", F.lit(True))
-    short = F.length(read) < 4
-    return F.when(blank, answer(F.lit(""), F.lit("none"))).when(short, answer(F.trim(clean), F.lit("doubtful"))).otherwise(answer(fixed, F.when(good, "confident").otherwise("doubtful")))
+
+    def settled(p: Column, best: Column) -> Column:
+        sure = F.coalesce(best["miss"] == 0, F.lit(False))
+        headed = F.struct(sure.alias("sure"), F.when(sure, best["head"]).otherwise(F.left(p["read"], F.lit(6))).alias("head"))
+
+        def tailed(h: Column) -> Column:
+            tail = F.substr(p["signs"], F.length(h["head"]) + 1, F.lit(1000))
+            return let(tail, lambda t: answer(F.concat(h["head"], F.regexp_replace(t, "[^0-9]", "")), F.when(h["sure"] & F.rlike(t, F.lit("^[0-9]+$")), "confident").otherwise("doubtful")))
+
+        return let(headed, tailed)
+
+    def code(p: Column) -> Column:
+        fixed = let(F.array_min(F.transform(heads_of(p), lambda h, place: scored(p, h, place))), lambda best: settled(p, best))
+        blank = F.coalesce(F.trim(F.regexp_replace(raw, r"\s+", "")) == "", F.lit(True))
+        return F.when(blank, answer(F.lit(""), F.lit("none"))).when(F.length(p["read"]) < 4, answer(F.trim(p["clean"]), F.lit("doubtful"))).otherwise(fixed)
+
+    return let(let(given, parts), code)
 
 
 def word_grams(words: Column, n: int) -> Column:
