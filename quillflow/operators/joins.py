@@ -65,27 +65,52 @@ def first_of(rows: DataFrame, formats: DataFrame, key: str) -> DataFrame:
     return rows.select("id", key).join(formats.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("fid").alias("fid")), key).select("id", "fid")
 
 
+#: For d labels that may be missing, how many of a set's labels are combined: as many as give at most 300 combinations.
+_COMBINED = (10**6, 299, 23, 10, 6, 5, 4, 3, 3, 3, 3, *[2] * 13)
+
+
+def _combinations(labels: Column, spare: Column, take: Column) -> Column:
+    """A hash of each choice of `take` labels out of an array's first `take + spare`, in their order."""
+    begin = F.array(F.struct(F.lit(42).cast("long").alias("h"), F.lit(0).alias("out"), F.lit(0).alias("held")))
+
+    def grow(states: Column, label: Column) -> Column:
+        kept = F.transform(F.filter(states, lambda s: s["held"] < take), lambda s: F.struct(F.xxhash64(s["h"], label).alias("h"), s["out"].alias("out"), (s["held"] + 1).alias("held")))
+        left = F.transform(F.filter(states, lambda s: s["out"] < spare), lambda s: F.struct(s["h"].alias("h"), (s["out"] + 1).alias("out"), s["held"].alias("held")))
+        return F.concat(kept, left)
+
+    return F.aggregate(F.slice(labels, F.lit(1), take + spare), begin, grow, lambda states: F.transform(states, lambda s: s["h"]))
+
+
 def best_overlap(rows: DataFrame, formats: DataFrame, least: float) -> DataFrame:
     """(id, fid, score): for each row the format of the best Jaccard of label sets from `least` on, the first of equals.
 
-    Sets of n and m labels can only reach it with `least` n common labels, so of each set's labels in one
-    fixed order (rare ones first) some label of the first n - ceil(least n) + 1 is common: both sides are
-    joined on these alone, equal sets first reduced to one each.
+    Equal sets are reduced to one each, and a set that a format has itself needs no other. Of others, sets of n and m
+    labels can only reach `least` with c = ceil(least (n + m) / (1 + least)) common labels, so n - c of the one and m - c
+    of the other may be missing; with d the larger of these, in one fixed order of labels (rare ones first) the
+    first n - c + k and m - c + k labels have k in common. Both sides are joined on their combinations of k, with k as
+    large as _COMBINED allows: few sets share one even where a few labels are in nearly all sets.
     """
     sets = rows.select("labels").distinct()
     best = formats.groupBy("labels").agg(F.min("fid").alias("fid"))
-    counts = sets.unionByName(best.select("labels")).select(F.explode("labels").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-
-    def prefixes(df: DataFrame) -> DataFrame:
-        ranked = df.select("labels", F.explode("labels").alias("t")).join(counts, "t").groupBy("labels").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))  # bounded by the set
-        size = F.size("labels")
-        return ranked.select("labels", F.explode(F.slice("o", 1, size - F.ceil(size * least - 1e-9).cast("int") + 1)).alias("x")).select("labels", "x.t")
-
-    a, b = prefixes(sets).withColumnRenamed("labels", "x"), prefixes(best.select("labels")).withColumnRenamed("labels", "y")
-    near = (F.size("x") >= least * F.size("y") - 1e-9) & (F.size("y") >= least * F.size("x") - 1e-9)
-    scored = a.join(b, "t").where(near).select("x", "y").distinct().withColumn("score", jaccard(F.col("x"), F.col("y")))
-    found = scored.where(F.col("score") >= least).join(best, F.col("y") == F.col("labels")).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "fid")).alias("f"))
-    return rows.join(found, F.col("labels") == F.col("x")).select("id", "f.fid", (-F.col("f.s")).alias("score"))
+    equal = rows.join(best, "labels").where(F.size("labels") > 0).select("id", "fid", F.lit(1.0).alias("score"))
+    lone, known = sets.join(best, "labels", "left_anti").where(F.size("labels") > 0), best.select("labels").where(F.size("labels") > 0)
+    counts = lone.unionByName(known).select(F.explode("labels").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def keyed(df: DataFrame, others: DataFrame, swapped: bool) -> DataFrame:
+        ranked = df.select("labels", F.explode("labels").alias("t")).join(counts, "t").groupBy("labels").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("o"))  # bounded by the set
+        sizes = others.select(F.size("labels").alias("m")).distinct()  # no more than there are labels
+        n, m = F.size("labels"), F.col("m")
+        both = ranked.join(F.broadcast(sizes), (n >= least * m - 1e-9) & (m >= least * n - 1e-9))
+        both = both.withColumn("c", F.greatest(F.ceil((n + m) * (least / (1 + least)) - 1e-9).cast("int"), F.lit(1)))
+        d = F.greatest(n, m) - F.col("c")
+        both = both.withColumn("k", F.least("c", F.coalesce(F.get(F.array(*map(F.lit, _COMBINED)), d), F.lit(1))))
+        pair = (m, n) if swapped else (n, m)
+        return both.select("labels", *[c.alias(f"n{i}") for i, c in enumerate(pair)], F.explode(_combinations(F.col("o"), n - F.col("c"), F.col("k"))).alias("h"))
+
+    a, b = keyed(lone, known, False).withColumnRenamed("labels", "x"), keyed(known, lone, True).withColumnRenamed("labels", "y")
+    scored = a.join(b, ["n0", "n1", "h"]).select("x", "y").withColumn("score", jaccard(F.col("x"), F.col("y"))).where(F.col("score") >= least)
+    found = scored.join(best, F.col("y") == F.col("labels")).groupBy("x").agg(F.min(F.struct((-F.col("score")).alias("s"), "fid")).alias("f"))
+    return equal.unionByName(rows.join(found, F.col("labels") == F.col("x")).select("id", "f.fid", (-F.col("f.s")).alias("score")))
 
 
 def template_for_path(files: DataFrame, file: str, path: str, templates: DataFrame) -> DataFrame:
