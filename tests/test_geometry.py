@@ -57,3 +57,11 @@ def test_label_values_same_as_plain_loop(spark):
     found = geometry.label_values(spark.createDataFrame(words, WORDS).repartition(3), ["doc"], "row", F.col("word").isin("No", "Date"))
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     assert {w[5] for w in wanted} == {"right", "below", "none"}
+
+
+def test_label_values_of_rows_shuffle_no_words(spark):
+    rows = [(1, 1, [(0, 9, "No", True), (12, 20, "a", False), (24, 30, "No", True)]), (1, 2, []), (1, 3, [(30, 40, "b", False), (400, 410, "c", False)]), (2, 1, [(0, 9, "No", True)])]
+    df = spark.createDataFrame(rows, "doc long, row long, boxes array<struct<x0: long, x1: long, word: string, label: boolean>>")
+    assert sorted(map(tuple, geometry.label_values_of_rows(df, ["doc"], "row").collect())) == [(1, 1, 0, "No", "a", "right"), (1, 1, 24, "No", "b", "below"), (2, 1, 0, "No", "", "none")]
+    found = spark.createDataFrame([([2, 3, 1],), ([],)], "v array<bigint>").select(geometry.sums_before("v").alias("s")).collect()
+    assert [list(r.s) for r in found] == [[0, 2, 5], []]
