@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillflow.functions import money, tables
+from quillflow.functions.text import let
 from quillflow.operators import formats, joins, rules
 from quillflow.operators.merge import save_with_children
 from quillflow.operators.window import global_row_number
@@ -142,19 +143,35 @@ c AS (SELECT o_orderkey, 'Purchase Header' AS sheet, unnest([{{'col': 'Document
 SELECT o_orderkey, sheet, c.col AS col, c.value AS value, sum(n)::BIGINT AS n FROM c WHERE c.value IS NOT NULL GROUP BY ALL
 """)
 def link_keys(spark, sf_dir):
-    """The keys that tie headers, lines and reservations (one a unit), with how many rows of its sheet hold each."""
-    heads = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", F.lit("Invoice").alias("type"), F.expr("'D' || o_orderkey").alias("number"), F.expr(_ORDER_NO).alias("ord"))
-    lines = heads.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.withColumn("line", (F.col("l_linenumber") * 10000).cast("string")).withColumn("charge", F.when(F.col("l_tax") >= 0.08, "Charge (Item)"))
+    """The keys that tie headers, lines and reservations (one a unit), with how many rows of its sheet hold each.
+
+    A key stands in one order, so each order's cells are counted within its own row; they aren't grouped again.
+    """
+    heads = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_orderkey").agg(F.count("*").alias("copies"))
+    line = F.struct((F.col("l_linenumber") * 10000).cast("string").alias("line"), F.when(F.col("l_tax") >= 0.08, "Charge (Item)").alias("charge"), F.col("l_quantity").cast("long").alias("units"))
+    lines = heads.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(
+        F.first("copies").alias("copies"), F.collect_list(F.when(F.col("l_orderkey").isNotNull(), line)).alias("lines"))  # bounded by an order's lines
+    orders = lines.select("o_orderkey", "copies", "lines", F.lit("Invoice").alias("type"), F.expr("'D' || o_orderkey").alias("number"), F.expr(_ORDER_NO).alias("ord"))
     none = F.lit(None).cast("string")
-    heads = heads.withColumn("line", none).withColumn("charge", none).withColumn("l_quantity", F.lit(1.0))
 
-    def cells(rows, sheet, units):
-        found = F.explode(rules.linked_cells(sheet, F.col("type"), F.col("number"), F.col("ord"), F.col("line"), F.col("charge")))
-        return rows.select("o_orderkey", F.lit(sheet).alias("sheet"), found.alias("c"), units.cast("long").alias("n")).select("o_orderkey", "sheet", "c.*", "n")
+    def cells(sheet, number, charge, rows):
+        found = rules.linked_cells(sheet, F.col("type"), F.col("number"), F.col("ord"), number, charge)
+        return F.transform(found, lambda c: F.struct(c.alias("key"), rows.alias("n")))
 
-    every = cells(heads, "Purchase Header", F.lit(1)).unionByName(cells(lines, "Purchase Line", F.lit(1))).unionByName(cells(lines, "Reservation Entry", F.col("l_quantity")))
-    return every.groupBy("o_orderkey", "sheet", "col", "value").agg(F.sum("n").alias("n"))
+    def counted(sheet, every):
+        def one(held, key):
+            n = F.aggregate(F.filter(held, lambda c: c["key"] == key), F.lit(None).cast("long"), lambda n, c: F.coalesce(n + c["n"], n, c["n"]))
+            return F.struct(F.lit(sheet).alias("sheet"), key["col"].alias("col"), key["value"].alias("value"), n.alias("n"))
+
+        return let(every, lambda held: F.transform(F.array_distinct(F.transform(held, lambda c: c["key"])), lambda key: one(held, key)))
+
+    of_lines = lambda sheet, n: F.flatten(F.transform("lines", lambda x: cells(sheet, x["line"], x["charge"], n(x))))
+    copies = F.col("copies")
+    sheets = (
+        counted("Purchase Header", cells("Purchase Header", none, none, copies)), counted("Purchase Line", of_lines("Purchase Line", lambda x: copies)),
+        counted("Reservation Entry", of_lines("Reservation Entry", lambda x: x["units"] * copies)),
+    )
+    return orders.select("o_orderkey", F.inline(F.concat(*sheets)))
 
 
 _HEADS = "SELECT c_custkey AS id, c_custkey AS key, c_mktsegment AS name, c_custkey % 5 > 0 AS active FROM customer"

@@ -203,3 +203,18 @@ def test_tax_amounts_round_as_sql_does(spark, tmp_path):
     wanted = con.execute(registry.load()[1]["tax_near_keyword"]).fetchall()
     assert sorted(map(tuple, documents.tax_near_keyword(spark, str(tmp_path)).collect())) == sorted(wanted)
     assert {row[5] for row in wanted} >= {0.28, 1.12, 8.57}
+
+
+def test_link_keys_counts_within_orders(spark, tmp_path):
+    from quillflow.plans import documents, registry
+
+    orders = [(3, "P"), (4, "P"), (5, "P"), (5, "P"), (6, "F")]
+    lines = [(3, 1, 2.0, 0.08), (3, 1, 3.0, 0.0), (3, 2, 1.0, 0.08), (5, 1, 4.0, 0.0), (5, 2, None, 0.0), (6, 1, 1.0, 0.0), (7, 1, 1.0, 0.0)]
+    con = duckdb.connect()
+    for name, rows, schema in (("orders", orders, "o_orderkey long, o_orderstatus string"), ("lineitem", lines, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = documents.link_keys(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(registry.load()[1]["link_keys"]).fetchall())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2  # orders and their lines; cells aren't grouped
