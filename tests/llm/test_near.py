@@ -1,6 +1,7 @@
 import random
 import re
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -103,3 +104,35 @@ def test_prefix_shares_a_key():
         frequent = np.sort(rng.permutation(both)[: int(rng.integers(0, len(both) + 1))])
         rank = rng.permutation(len(frequent))
         assert np.intersect1d(near.signatures(a, frequent, rank)[0], near.signatures(b, frequent, rank)[0]).size
+
+
+def test_whole_sets_are_sent_only_where_bitmaps_let_them_link(spark, monkeypatch):
+    """Sixty sets of four passages, no two of the same four, and a near copy of two of them."""
+    rng = random.Random(8)
+    passages = [[f"p{k}_{i}" for i in range(40)] for k in range(14)]
+    chosen = rng.sample(list(combinations(range(14), 4)), 60)
+    texts = [sum((passages[p] for p in some), []) for some in chosen]
+    texts += [texts[0] + ["more"], texts[1] + ["more"]]
+    rows = [(k, " ".join(words)) for k, words in enumerate(texts)]
+    sent, cluster_links, set_table = [], near._cluster_links, near._set_table
+
+    def table(docs, owner, *args, whole=True, **kwargs):
+        sent.extend([owner.count()] * whole)
+        return set_table(docs, owner, *args, **kwargs, **({} if whole else {"whole": False}))
+
+    monkeypatch.setattr(near, "SMALL", 4)
+    monkeypatch.setattr(near, "_set_table", table)
+    monkeypatch.setattr(near, "_cluster_links", lambda members, sets: sent.append(members.count()) or cluster_links(members, sets))
+    found = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert max(sent) <= 4
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+
+
+def test_blocks_of_bitmaps_and_of_sets_find_the_same_links(spark, monkeypatch):
+    """Families in clusters of many blocks, whose links are found by no pair before."""
+    monkeypatch.setattr(near, "SMALL", 1)
+    monkeypatch.setattr(near, "BLOCK", 5)
+    monkeypatch.setattr(near, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(near, "BITMAP_BLOCK_TOKENS", 90)
+    rows = corpus(6, 160, words=80, hot=4)
+    assert sorted(map(tuple, near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())) == brute(rows)
