@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -106,6 +107,25 @@ def test_prefix_shares_a_key():
         assert np.intersect1d(near.signatures(a, frequent, rank)[0], near.signatures(b, frequent, rank)[0]).size
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for k in range(files.size()) if (name := files.apply(k).getName()).startswith("shuffle_") and name.endswith(".data")}
+
+
+@pytest.mark.parametrize("query", ["near_duplicates", "drop_near_duplicates"])
+def test_shuffle_files_go_with_each_step(spark, query):
+    docs = spark.createDataFrame(corpus(3, 120), "doc_id long, text string").repartition(3)
+    docs.count()
+    before, setting = shuffle_files(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    found = getattr(near, query)(docs)
+    until = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < until:  # executors delete them a little later
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert found.count() == (120 if query == "near_duplicates" else len({c for _, n, c in brute([tuple(r) for r in docs.collect()])}))
+
+
 def test_whole_sets_are_sent_only_where_bitmaps_let_them_link(spark, monkeypatch):
     """Sixty sets of four passages, no two of the same four, and a near copy of two of them."""
     rng = random.Random(8)
